@@ -63,6 +63,11 @@ def _last_spelling(values: Column) -> Column:
     )
 
 
+def _typed(values: Column, kind: str) -> Column:
+    return F.transform(values, lambda v: F.struct(
+        F.lit(kind).alias("type"), F.lower(v).alias("key"), v.alias("value"), F.lit(STRENGTH[kind]).alias("strength")))
+
+
 def anchors_of(text: Column) -> Column:
     """All anchors of a text, unique by (type, lower-cased value) and sorted by it."""
     source = F.coalesce(text, F.lit(""))
@@ -72,9 +77,7 @@ def anchors_of(text: Column) -> Column:
         found = F.regexp_extract_all(blanked if protect else source, F.lit(_unicode(pattern)), F.lit(group))
         values = F.transform(found, case) if case else found
         unique = _last_spelling(values) if kind in _MIXED_CASE else F.array_distinct(values)
-        groups.append(F.transform(unique, lambda v, kind=kind: F.struct(
-            F.lit(kind).alias("type"), F.lower(v).alias("key"), v.alias("value"),
-            F.lit(STRENGTH[kind]).alias("strength"))))
+        groups.append(_typed(unique, kind))
     ordered = F.array_sort(F.flatten(F.array(*groups)))
     return F.transform(ordered, lambda a: F.struct(a["type"].alias("type"), a["value"].alias("value"),
                                                    a["strength"].alias("strength"))).cast(f"array<{ANCHOR}>")

@@ -147,7 +147,7 @@ def join_nonblank(*parts: Column) -> Column:
 def join_values(*groups: Column) -> Column:
     """Blank-joined text of scalars and arrays (each cast to an array by the caller), blanks left out."""
     flat = F.flatten(F.array(*groups))
-    return F.array_join(F.filter(F.transform(flat, F.trim), lambda p: p.isNotNull() & (p != "")), " ")
+    return F.array_join(F.filter(F.transform(flat, lambda v: F.trim(v)), lambda p: p.isNotNull() & (p != "")), " ")
 
 
 def work_text(goal: Column, problem: Column, entity_list: Column, artifact_list: Column) -> Column:
@@ -200,13 +200,13 @@ def token_set(text: Column) -> Column:
 def fixed3(value: Column) -> Column:
     """``%.3f`` of a value in 0..1 already rounded to four digits, by its exact binary value (ties to even)."""
     n = F.round(value * 10000).cast("long")
-    scaled = (value * F.lit(float(2**60))).cast("decimal(38,0)") * F.lit(10000).cast("decimal(10,0)")
-    exact = n.cast("decimal(19,0)") * F.lit(2**60).cast("decimal(19,0)")
+    scaled = (value * F.lit(float(2**62))).cast("long").cast("decimal(19,0)") * F.lit(10000).cast("decimal(5,0)")
+    exact = n.cast("decimal(5,0)") * F.lit(2**62).cast("decimal(19,0)")
     down = F.floor(n / 10).cast("long")
     rest = n % 10
     up = (
         F.when(rest != 5, (rest > 5).cast("long"))
-        .when(scaled > exact, F.lit(1).cast("long"))
+        .when((n < 20) | (scaled > exact), F.lit(1).cast("long"))  # 0.0005 and 0.0015 lie above the tie
         .when(scaled < exact, F.lit(0).cast("long"))
         .otherwise(down % 2)
     )
