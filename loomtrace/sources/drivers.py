@@ -154,3 +154,60 @@ def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("u"), s(uid)).alias("external_user_id"),
         F.concat(F.lit("p_"), s(uid - uid % 12 + uid % 6)).alias("person_id"),
     )
+
+
+LIFECYCLES = ["active", "waiting", "resolved", "blocked"]
+CATEGORIES = ["same_work", "same_topic", "branching", "recurrence", "unrelated"]
+
+
+def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` as linkage cases: an order is an incoming message, each of its lines a candidate piece of work."""
+    li = table(spark, sf_dir, "lineitem")
+    o, p, u = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
+    s = lambda c: c.cast("string")
+    piece = lambda cond, *parts: F.when(cond, F.concat(*parts)).otherwise("")
+    incoming = F.concat(
+        F.lit("Notice"), piece(o % 3 == 0, F.lit(" OPS-"), s(o % 4)), piece(o % 5 == 0, F.lit(" customer acme"), s(o % 2)),
+        piece(o % 7 == 0, F.lit(" repo svc"), s(o % 3)), piece(o % 11 == 0, F.lit(" this revealed more work")),
+        piece(o % 4 == 1, F.lit(" still failing")), piece(o % 6 == 1, F.lit(" it is back")))
+    goal = F.concat(F.lit("goal "), s(u % 5))
+    state = F.concat(
+        F.lit("Handling"), piece(p % 3 == 0, F.lit(" OPS-"), s(u % 4)), piece(p % 4 == 0, F.lit(" customer acme"), s(u % 2)),
+        piece(p % 5 == 0, F.lit(" repo svc"), s(u % 3)))
+    empty = F.array().cast("array<string>")
+    return li.select(
+        o.alias("case_id"),
+        F.concat(F.lit("c"), F.lpad(s(F.col("l_linenumber")), 3, "0"), F.lit("_"), s(p), F.lit("_"), s(u)).alias("candidate_id"),
+        pick(CATEGORIES, o % 5).alias("category"),
+        incoming.alias("incoming_text"),
+        F.when(o % 9 == 0, F.concat(F.lit("goal "), s(o % 5))).otherwise("").alias("incoming_goal"),
+        F.when(o % 8 == 0, F.array(F.concat(F.lit("Ent"), s(o % 3)))).otherwise(empty).alias("incoming_entities"),
+        F.when(o % 13 == 0, F.array(F.concat(F.lit("art"), s(o % 2)))).otherwise(empty).alias("incoming_artifacts"),
+        goal.alias("candidate_goal"), state.alias("candidate_state"),
+        F.concat_ws(" ", goal, state).alias("candidate_text"),
+        pick(LIFECYCLES, p % 4).alias("lifecycle"),
+        F.when(u % 2 == 0, F.array(F.concat(F.lit("ent"), s(u % 3)))).otherwise(empty).alias("candidate_entities"),
+        F.when(u % 3 == 0, F.array(F.concat(F.lit("art"), s(u % 2)))).otherwise(empty).alias("candidate_artifacts"),
+        ((p * 37 + u * 11) % 101 / 100.0).alias("score"),
+        (F.col("l_linenumber").cast("long") * 1000000000 + p * 10000 + u).alias("created"),
+        (u % 4 == 3).alias("other_person"), (p % 2 == 0).alias("unresolved"),
+        pick(["attach", "new", "branch", "attach", "new"], o % 5).alias("expected_decision"),
+    )
+
+
+def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` as stored model opinions: two providers per case, three runs each."""
+    o = F.col("o_orderkey")
+    role = F.explode(F.arrays_zip(
+        F.array(F.lit("primary"), F.lit("verifier")).alias("provider"), F.array(F.lit(0), F.lit(1)).alias("i"))).alias("r")
+    base = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", role).select(
+        "*", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("run"))
+    i = F.col("r.i")
+    turn = (o + i * (F.col("o_custkey") % 3) + F.when(o % 10 == 0, F.col("run")).otherwise(0)) % 4
+    action = pick(["new", "attach", "branch", "abstain"], turn)
+    cid = F.when(action.isin("attach", "branch"), F.concat(F.lit("t"), (o % 7 + F.when(o % 17 == 0, i).otherwise(0)).cast("string")))
+    return base.filter(~((i == 1) & (o % 9 == 4))).select(
+        F.lit("org_0").alias("organization_id"), o.alias("case_id"), F.col("r.provider").alias("provider"),
+        F.lit("m1").alias("model"), "run", action.alias("action"), cid.alias("candidate_id"),
+        ((o * 7 + i * 13) % 41 / 100.0 + 0.6).alias("confidence"),
+        F.when(o % 50 == 0, "L1").otherwise("L2").alias("maturity"))
