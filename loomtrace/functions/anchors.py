@@ -31,21 +31,22 @@ ACCOUNT = r"(?i)\baccount[_\s:-]+([A-Za-z0-9_-]+)\b"
 REPO = r"(?i)\b(?:repo|repository)[_\s:=]+([A-Za-z0-9_.-]+)\b"
 PROJECT = r"(?i)\bproject[_\s:=]+([A-Za-z0-9_.-]+)\b"
 
-# type -> (pattern, group, case rule, whether spans of uuids and incidents are blanked first)
+# type -> (pattern, group, case rule, whether spans of uuids and incidents are blanked first, needles); the pattern can only
+# match when the lower-cased text holds one of the needles, which is far cheaper to look for
 _EXTRACT = [
-    ("ticket", TICKET, 1, F.upper, True),
-    ("pr", PR, 1, None, False),
-    ("incident", INCIDENT, 1, None, False),
-    ("trace_id", UUID, 0, F.lower, False),
-    ("file", FILE, 0, None, False),
-    ("env_var", ENV_VAR, 0, None, False),
-    ("url", URL, 0, None, False),
-    ("customer", CUSTOMER, 1, F.lower, False),
-    ("tenant", TENANT, 1, F.lower, False),
-    ("account", ACCOUNT, 1, F.lower, False),
-    ("repo", REPO, 1, F.lower, False),
-    ("project", PROJECT, 1, F.lower, False),
-    ("git_sha", GIT_SHA, 0, F.lower, True),
+    ("ticket", TICKET, 1, F.upper, True, ["-"]),
+    ("pr", PR, 1, None, False, ["pr", "pull"]),
+    ("incident", INCIDENT, 1, None, False, ["inc"]),
+    ("trace_id", UUID, 0, F.lower, False, ["-"]),
+    ("file", FILE, 0, None, False, ["."]),
+    ("env_var", ENV_VAR, 0, None, False, ["_"]),
+    ("url", URL, 0, None, False, ["://"]),
+    ("customer", CUSTOMER, 1, F.lower, False, ["tomer"]),
+    ("tenant", TENANT, 1, F.lower, False, ["tenant"]),
+    ("account", ACCOUNT, 1, F.lower, False, ["account"]),
+    ("repo", REPO, 1, F.lower, False, ["repo"]),
+    ("project", PROJECT, 1, F.lower, False, ["project"]),
+    ("git_sha", GIT_SHA, 0, F.lower, True, []),
 ]
 _MIXED_CASE = {"file", "url"}
 
@@ -71,14 +72,22 @@ def _typed(values: Column, kind: str) -> Column:
 def anchors_of(text: Column) -> Column:
     """All anchors of a text, unique by (type, lower-cased value) and sorted by it."""
     source = F.coalesce(text, F.lit(""))
-    blanked = F.regexp_replace(F.regexp_replace(source, _unicode(UUID), " "), _unicode(INCIDENT), " ")
+    lower = F.lower(source)
+    empty = F.array().cast("array<string>")
+    no_uuid = F.when(lower.contains("-"), F.regexp_replace(source, _unicode(UUID), " ")).otherwise(source)
+    blanked = F.when(lower.contains("inc"), F.regexp_replace(no_uuid, _unicode(INCIDENT), " ")).otherwise(no_uuid)
     groups = []
-    for kind, pattern, group, case, protect in _EXTRACT:
+    for kind, pattern, group, case, protect, needles in _EXTRACT:
         found = F.regexp_extract_all(blanked if protect else source, F.lit(_unicode(pattern)), F.lit(group))
+        if needles:
+            possible = lower.contains(needles[0])
+            for needle in needles[1:]:
+                possible = possible | lower.contains(needle)
+            found = F.when(possible, found).otherwise(empty)
         values = F.transform(found, case) if case else found
         unique = _last_spelling(values) if kind in _MIXED_CASE else F.array_distinct(values)
         groups.append(_typed(unique, kind))
-    ordered = F.array_sort(F.flatten(F.array(*groups)))
+    ordered = F.sort_array(F.flatten(F.array(*groups)))
     return F.transform(ordered, lambda a: F.struct(a["type"].alias("type"), a["value"].alias("value"),
                                                    a["strength"].alias("strength"))).cast(f"array<{ANCHOR}>")
 
@@ -90,52 +99,56 @@ def merge_anchors(first: Column, second: Column) -> Column:
     return F.concat(first, added)
 
 
-def anchor_keys(anchors: Column, strength: str) -> Column:
-    """``type:value`` keys of the anchors of one strength."""
-    own = F.filter(anchors, lambda a: a["strength"] == strength)
-    return F.array_distinct(F.transform(own, lambda a: F.concat(a["type"], F.lit(":"), F.lower(F.trim(a["value"])))))
+def anchor_keys(anchors: Column) -> Column:
+    """``strength|type:value`` keys of all anchors, values lower-cased."""
+    return F.array_distinct(F.transform(anchors, lambda a: F.concat(
+        a["strength"], F.lit("|"), a["type"], F.lit(":"), F.lower(F.trim(a["value"])))))
+
+
+def boundary_types(anchors: Column) -> Column:
+    own = F.filter(anchors, lambda a: a["strength"] == "boundary")
+    return F.array_distinct(F.transform(own, lambda a: a["type"]))
 
 
 def _types(keys: Column) -> Column:
     return F.array_distinct(F.transform(keys, lambda k: F.substring_index(k, ":", 1)))
 
 
-def compare_anchors(df: DataFrame, existing: str, incoming: str, prefix: str = "") -> DataFrame:
+def compare_anchors(df: DataFrame, existing: str, incoming: str) -> DataFrame:
     """Add the evidence two anchor sets give about being the same work.
 
-    ``hard_new``: a boundary type is on both sides without a common value. ``strong_attach``: a strong anchor is
-    shared and there is no hard_new. The match lists and the rules (sorted by type) are added too.
+    ``hard_new``: a boundary type is on both sides without a common value. ``strong_attach``: a strong anchor is shared and
+    there is no hard_new. The match lists and the rules (sorted by type) are added too.
     """
-    p = prefix
-    keyed = df
-    for strength in ("boundary", "strong", "medium", "scope"):
-        keyed = keyed.withColumns({
-            f"_e_{strength}": anchor_keys(F.col(existing), strength),
-            f"_i_{strength}": anchor_keys(F.col(incoming), strength),
-        })
-    keyed = keyed.withColumns({
-        f"{p}{s}_matches": F.array_sort(F.array_intersect(f"_e_{s}", f"_i_{s}"))
-        for s in ("boundary", "strong", "medium", "scope")
+    empty = F.array().cast("array<string>")
+    keyed = df.withColumns({
+        "_shared": F.sort_array(F.array_intersect(anchor_keys(F.col(existing)), anchor_keys(F.col(incoming)))),
+        "_common": F.array_intersect(boundary_types(F.col(existing)), boundary_types(F.col(incoming))),
     })
-    common = F.array_intersect(_types(F.col("_e_boundary")), _types(F.col("_i_boundary")))
-    mismatch = F.array_sort(F.array_except(common, _types(F.col(f"{p}boundary_matches"))))
-    keyed = keyed.withColumn(f"{p}boundary_mismatches", mismatch)
-    hard = F.size(f"{p}boundary_mismatches") > 0
+    any_shared = F.size("_shared") > 0
+
+    def of(strength: str) -> Column:
+        own = F.filter("_shared", lambda k: k.startswith(strength + "|"))
+        return F.when(any_shared, F.transform(own, lambda k: F.substr(k, F.lit(len(strength) + 2)))).otherwise(empty)
+
+    keyed = keyed.withColumns({f"{s}_matches": of(s) for s in ("boundary", "strong", "medium", "scope")})
+    keyed = keyed.withColumn("boundary_mismatches", F.when(F.size("_common") > 0, F.sort_array(
+        F.array_except("_common", _types(F.col("boundary_matches"))))).otherwise(empty))
+    hard = F.size("boundary_mismatches") > 0
 
     def rules(types: Column, name: str, effect: str) -> Column:
-        return F.transform(types, lambda t: F.struct(t.alias("type"), F.lit(name).alias("rule"),
-                                                     F.lit(effect).alias("effect")))
-
-    traces = F.array_sort(F.concat(
-        rules(_types(F.col(f"{p}boundary_matches")), "boundary_match", "support"),
-        rules(F.col(f"{p}boundary_mismatches"), "boundary_mismatch", "new"),
-        rules(_types(F.col(f"{p}strong_matches")), "strong_anchor_match", "attach"),
-        rules(_types(F.col(f"{p}medium_matches")), "medium_anchor_match", "support"),
-        rules(_types(F.col(f"{p}scope_matches")), "scope_anchor_match", "candidate_only"),
+        return F.transform(types, lambda t: F.struct(t.alias("type"), F.lit(name).alias("rule"), F.lit(effect).alias("effect")))
+
+    traces = F.sort_array(F.concat(
+        rules(_types(F.col("boundary_matches")), "boundary_match", "support"),
+        rules(F.col("boundary_mismatches"), "boundary_mismatch", "new"),
+        rules(_types(F.col("strong_matches")), "strong_anchor_match", "attach"),
+        rules(_types(F.col("medium_matches")), "medium_anchor_match", "support"),
+        rules(_types(F.col("scope_matches")), "scope_anchor_match", "candidate_only"),
     ))
     return keyed.withColumns({
-        f"{p}hard_new": hard,
-        f"{p}strong_attach": (F.size(f"{p}strong_matches") > 0) & ~hard,
-        f"{p}anchor_relevant": (F.size(f"{p}strong_matches") > 0) | (F.size(common) > 0),
-        f"{p}anchor_rules": traces,
-    }).drop(*[f"_{side}_{s}" for side in "ei" for s in ("boundary", "strong", "medium", "scope")])
+        "hard_new": hard,
+        "strong_attach": (F.size("strong_matches") > 0) & ~hard,
+        "anchor_relevant": (F.size("strong_matches") > 0) | (F.size("_common") > 0),
+        "anchor_rules": traces,
+    }).drop("_shared", "_common")

@@ -1,0 +1,27 @@
+"""Anchor extraction on one string, for the routing fold, from the same patterns as the column version."""
+
+from __future__ import annotations
+
+import re
+
+from loomtrace.functions import anchors as a
+
+_UUID, _INCIDENT = re.compile(a.UUID), re.compile(a.INCIDENT)
+_CASE = {"ticket": str.upper, "trace_id": str.lower, "customer": str.lower, "tenant": str.lower, "account": str.lower,
+         "repo": str.lower, "project": str.lower, "git_sha": str.lower}
+_PATTERNS = [(kind, re.compile(pattern), group, protect, needles)
+             for kind, pattern, group, _, protect, needles in a._EXTRACT]
+
+
+def anchors_in(text: str) -> list[tuple[str, str]]:
+    """Sorted unique (type, value) anchors of a text."""
+    lower = text.lower()
+    blanked = _INCIDENT.sub(" ", _UUID.sub(" ", text))
+    found: dict[tuple[str, str], str] = {}
+    for kind, pattern, group, protect, needles in _PATTERNS:
+        if needles and not any(n in lower for n in needles):
+            continue
+        for match in pattern.finditer(blanked if protect else text):
+            value = _CASE.get(kind, str)(match.group(group))
+            found[kind, value.lower()] = value
+    return [(kind, value) for (kind, _), value in sorted(found.items())]

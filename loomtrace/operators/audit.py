@@ -80,7 +80,7 @@ def sample_digest(sample: DataFrame) -> DataFrame:
     row = struct_digest(*[c for c in sample.columns if not c.startswith("human_")])
     return sample.select("audit_id", row.alias("d")).groupBy().agg(
         F.count("*").alias("sample_size"),
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("audit_id", "d"))), lambda x: x["d"]), ""), 256)
+        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("audit_id", "d"))), lambda x: x["d"]), ""), 256)
         .alias("sample_sha256"))
 
 

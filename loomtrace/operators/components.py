@@ -1,0 +1,29 @@
+"""Connected components of persons, by label propagation over (person, key) edges."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from loomtrace.session import durable
+
+
+def connected(edges: DataFrame, scope: list[str], node: str, key: str) -> DataFrame:
+    """``scope, node, component`` of distinct, already stored edges: nodes that share a key, directly or through others, get the same component.
+
+    Each round takes the least label per key, then per node, both with partial aggregation, so a key shared by very many
+    nodes costs one partial row per task; pointer jumping (the label of the label) keeps long chains short. Every round is
+    written to the checkpoint folder, so no lineage grows and lost executors do not restart the loop.
+    """
+    pairs = edges.select(*scope, node, key)
+    labels = durable(pairs.select(*scope, node).distinct().withColumn("component", F.col(node)))
+    while True:
+        least = pairs.join(labels, [*scope, node]).groupBy(*scope, key).agg(F.min("component").alias("component"))
+        seen = pairs.join(least, [*scope, key]).groupBy(*scope, node).agg(F.min("component").alias("near"))
+        moved = labels.join(seen, [*scope, node]).select(
+            *scope, node, F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        jump = moved.select(*scope, F.col(node).alias("component"), F.col("component").alias("further"))
+        updated = durable(moved.join(jump, [*scope, "component"], "left").select(
+            *scope, node, "old", F.least("component", F.coalesce("further", "component")).alias("component")))
+        labels = updated.drop("old")
+        if updated.filter("component <> old").isEmpty():
+            return labels

@@ -24,7 +24,7 @@ def model_inputs(lines: DataFrame, key: str, position: str, line: str, history_c
     kept = ranked.withColumn("_cur", current_len).filter(
         (F.col("_n") > 1) & (F.col("_after") - F.col("_cur") <= history_chars))
     history = kept.groupBy(key).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct(position, line))), lambda x: x[line]), "\n").alias("h"))
+        F.sort_array(F.collect_list(F.struct(position, line))), lambda x: x[line]), "\n").alias("h"))
     return last.join(history, key, "left").select(
         key, F.right(F.coalesce("h", F.lit("")), F.lit(history_chars)).alias("history"),
         F.substring(F.col(f"c.{line}"), 1, current_chars).alias("current"))

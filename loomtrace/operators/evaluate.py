@@ -32,7 +32,7 @@ def order_statistics(df: DataFrame, value: str, low: float, high: float, cells:
         if n <= 10_000:
             break
     ranked = inside.groupBy("v").agg(F.count("*").alias("n")).groupBy().agg(
-        F.array_sort(F.collect_list(F.struct("v", "n"))).alias("vs"))
+        F.sort_array(F.collect_list(F.struct("v", "n"))).alias("vs"))
     walk = F.aggregate(
         "vs", F.struct(F.lit(rest or 0).cast("long").alias("rest"), F.lit(None).cast("double").alias("at")),
         lambda s, c: F.when(s["at"].isNotNull(), s).when(

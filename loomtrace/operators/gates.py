@@ -245,7 +245,7 @@ def event_anchor_tokens(text: Column) -> Column:
     """Lower-cased tokens with a hyphen and a digit, brackets and end marks stripped."""
     plain = F.translate(F.lower(text), ",.", "  ")
     words = F.filter(F.split(plain, r"(?U)\s+"), lambda t: t.contains("-") & F.regexp_like(t, F.lit(r"(?U)\d")))
-    return F.array_sort(F.array_distinct(F.transform(words, lambda t: F.trim(t, F.lit("()[]{}:;!?")))))
+    return F.sort_array(F.array_distinct(F.transform(words, lambda t: F.trim(t, F.lit("()[]{}:;!?")))))
 
 
 def hybrid_gate(rows: DataFrame) -> DataFrame:

@@ -111,7 +111,7 @@ def first_seen(events: DataFrame, value: Column, name: str) -> DataFrame:
         TID, "thread_id", F.struct("ts", "seq").alias("pos"), value.alias("v")).filter(
         F.col("v").isNotNull() & (F.col("v") != "")).groupBy(TID, "thread_id", "v").agg(F.min("pos").alias("pos"))
     return firsts.groupBy(TID, "thread_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias(name))
+        F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias(name))
 
 
 def analysis(events: DataFrame, continuity: DataFrame) -> DataFrame:

@@ -199,7 +199,7 @@ def duplicate_calls(events: DataFrame, window: int = 1, chunk: Column | None = N
     base = tools.withColumn("_chunk", cut)
     tails = ordered.top_rows(base, [TID, "_chunk"], [F.desc("ts"), F.desc("seq")], window)
     chunk_tails = tails.groupBy(TID, "_chunk").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct(*ORDER, "fp"))), lambda c: c["fp"]).alias("tail"))
+        F.sort_array(F.collect_list(F.struct(*ORDER, "fp"))), lambda c: c["fp"]).alias("tail"))
     per_key = Window.partitionBy(TID).orderBy("_chunk").rowsBetween(-window, -1)
     carried = chunk_tails.select(TID, "_chunk", F.flatten(F.collect_list("tail").over(per_key)).alias("carried"))
     inside = Window.partitionBy(TID, "_chunk").orderBy(*ORDER).rowsBetween(-window, -1)

@@ -212,5 +212,5 @@ def mean_pool(token_vectors: DataFrame, key: str, vector: str, start: str, end:
     inside = token_vectors.filter((F.col(position) >= F.col(start)) & (F.col(position) < F.col(end)))
     flat = inside.select(key, F.posexplode(vector).alias("dim", "x"))
     means = flat.groupBy(key, "dim").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))),
+    return means.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "m"))),
                                               lambda s: s["m"]).alias("pooled"))

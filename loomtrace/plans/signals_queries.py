@@ -209,4 +209,4 @@ def _(spark, sf):
     said = _events(spark, sf).filter("text <> ''")
     top = ordered.top_rows(said, ["trajectory_id"], [F.desc("ts"), F.desc("seq")], 8)
     return top.groupBy("trajectory_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("ts", "seq", "text"))), lambda x: x["text"]), "|").alias("recent_context"))
+        F.sort_array(F.collect_list(F.struct("ts", "seq", "text"))), lambda x: x["text"]), "|").alias("recent_context"))
