@@ -8,11 +8,19 @@ SCOPE = ["organization_id", "workspace_id"]
 
 
 def person_candidates(events: DataFrame, trajectories: DataFrame) -> DataFrame:
-    """(event, trajectory) pairs of one workspace and person."""
+    """(event, trajectory) pairs of one workspace and person, for a bounded set of events."""
     keys = [*SCOPE, "person_id"]
     return events.select(*keys, "event_id").join(trajectories.select(*keys, "trajectory_id"), keys)
 
 
+def person_counts(events: DataFrame, trajectories: DataFrame) -> DataFrame:
+    """Number of trajectories of the event's own person, per event, without listing pairs."""
+    keys = [*SCOPE, "person_id"]
+    counts = trajectories.groupBy(*keys).agg(F.count("*").alias("person_candidates"))
+    return events.select(*keys, "event_id").join(counts, keys, "left").withColumn(
+        "person_candidates", F.coalesce("person_candidates", F.lit(0)))
+
+
 def _signature(anchors: Column, strength: str) -> Column:
     own = F.filter(anchors, lambda a: a["strength"] == strength)
     value = (lambda a: F.concat(a["type"], F.lit(":"), F.lower(a["value"]))) if strength == "strong" else (lambda a: a["type"])

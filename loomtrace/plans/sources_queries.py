@@ -1,3 +1,85 @@
+"""Table reads, schema evolution, digests and listings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loomtrace.operators import audit
+from loomtrace.plans.oracle import BASE, TRACE
 from loomtrace.plans.registry import Section
+from loomtrace.sources import drivers, tables
 
 SECTION = Section()
+
+
+@SECTION.add("a1_load_trajectory", f"""WITH {TRACE} SELECT event_id, seq, actor_type, coalesce(text, '') AS text, tool_name
+  FROM te WHERE trajectory_id = 'u7'""")
+def _(spark, sf):
+    return tables.load_trajectory(drivers.trace_events(spark, sf), "u7").select(
+        "event_id", "seq", "actor_type", "text", "tool_name")
+
+
+@SECTION.add("a3_json_lines", f"""WITH {BASE} SELECT event_id, event_type, round(value, 6) AS value, k FROM b""")
+def _(spark, sf):
+    lines = drivers.events_with_k(spark, sf).select(F.explode(F.array(
+        F.to_json(F.struct("event_id", "event_type", "value", "k")), F.lit("   "))).alias("line"))
+    schema = "event_id BIGINT, event_type STRING, value DOUBLE, k BIGINT"
+    parsed = lines.filter(F.trim("line") != "").select(F.from_json("line", schema).alias("r"))
+    return parsed.select("r.event_id", "r.event_type", F.round("r.value", 6).alias("value"), "r.k")
+
+
+@SECTION.add("a4_benchmark_digests", """SELECT item_id, sha256(text) AS digest, sha256(text) = sha256(CASE WHEN item_id % 10 = 3
+    THEN text || ' ' ELSE text END) AS matches FROM benchmark""")
+def _(spark, sf):
+    items = drivers.table(spark, sf, "benchmark")
+    expected = items.select("item_id", F.sha2(F.when(F.col("item_id") % 10 == 3, F.concat("text", F.lit(" "))).otherwise(
+        F.col("text")), 256).alias("expected"))
+    return items.select("item_id", F.sha2("text", 256).alias("digest")).join(expected, "item_id").select(
+        "item_id", "digest", (F.col("digest") == F.col("expected")).alias("matches"))
+
+
+@SECTION.add("a8_schema_evolution", f"""WITH {TRACE} SELECT event_id, CASE WHEN seq % 2 = 0 THEN thread_id END AS thread_id,
+    CASE WHEN seq % 2 = 0 THEN goal_id END AS goal_id, actor_type FROM te""")
+def _(spark, sf):
+    e = drivers.trace_events(spark, sf).select("event_id", "thread_id", "goal_id", "actor_type", "seq")
+    old = e.filter("seq % 2 = 1").drop("thread_id", "goal_id")
+    return tables.evolve(old, e.filter("seq % 2 = 0")).drop("seq")
+
+
+@SECTION.add("a10_list_trajectories", f"""WITH {BASE} SELECT 'u' || user_id AS trajectory_id, 'org_' || (user_id % 3) AS organization_id,
+    strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS created, arg_min(event_type, event_id) AS goal, arg_max(event_type, event_id) AS current_state
+  FROM b WHERE user_id % 3 = 1 AND user_id % 2 = 0 GROUP BY 1, 2""")
+def _(spark, sf):
+    e = drivers.org_events(spark, sf).join(drivers.table(spark, sf, "events").select(
+        F.col("event_id").alias("ingest_seq"), "event_type", "ts"), "ingest_seq")
+    states = e.groupBy(F.col("external_user_id").alias("trajectory_id"), "organization_id", "workspace_id").agg(
+        F.min("ts").alias("created"), F.min_by("event_type", "ingest_seq").alias("goal"),
+        F.max_by("event_type", "ingest_seq").alias("current_state"))
+    return tables.list_trajectories(states, "org_1", "ws_0").select(
+        "trajectory_id", "organization_id", F.date_format("created", "yyyy-MM-dd HH:mm:ss").alias("created"), "goal", "current_state")
+
+
+@SECTION.add("a11_list_corrections", """SELECT o_orderkey AS correction_id, CASE WHEN o_orderkey % 4 = 0 THEN 'k' || (o_custkey % 3) END AS kind,
+    o_orderkey % 4 = 0 AS has_diagnosis FROM orders WHERE o_custkey % 3 = 1""")
+def _(spark, sf):
+    o = drivers.table(spark, sf, "orders")
+    c = o.select(F.concat(F.lit("org_"), (F.col("o_custkey") % 3).cast("string")).alias("organization_id"),
+                 F.col("o_orderkey").alias("correction_id"), F.col("o_orderdate").alias("created_at"),
+                 F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit('{"kind":"k'), (F.col("o_custkey") % 3).cast("string"),
+                                                               F.lit('"}'))).alias("diagnosis_json"))
+    return tables.list_corrections(c, "org_1").select(
+        "correction_id", F.col("diagnosis.kind").alias("kind"), F.col("diagnosis").isNotNull().alias("has_diagnosis"))
+
+
+@SECTION.add("i7_corrections", """SELECT o_orderkey AS event_id, ['confirm', 'attach', 'merge', 'delete'][o_orderkey % 4 + 1] AS action,
+    o_orderkey % 4 <> 3 AS accepted FROM orders""")
+def _(spark, sf):
+    action = drivers.pick(["confirm", "attach", "merge", "delete"], F.col("o_orderkey") % 4)
+    none = F.lit(None).cast("string")
+    requests = drivers.table(spark, sf, "orders").select(
+        F.lit("org_0").alias("organization_id"), F.col("o_orderkey").alias("event_id"), action.alias("action"),
+        *[none.alias(c) for c in ("decision_id", "decision_record_id", "source", "trajectory_id", "reason_code", "diagnosis")],
+        F.col("o_orderdate").alias("created_at"))
+    good, bad = audit.corrections(requests)
+    return good.select("event_id", F.col("correction.decision").alias("action"), F.lit(True).alias("accepted")).unionByName(
+        bad.select("event_id", "action", F.lit(False).alias("accepted")))

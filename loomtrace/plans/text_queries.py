@@ -32,17 +32,17 @@ def _(spark, sf):
         "doc_id", F.sha2("t", 256).alias("redacted_sha"), "redacted", "categories")
 
 
-@SECTION.add("b11_unique_ignoring_case", r"""WITH s AS (SELECT doc_id, unnest(string_split(text, '.')) AS part,
-    generate_subscripts(string_split(text, '.'), 1) AS i FROM documents),
-  c AS (SELECT doc_id, i, trim(regexp_replace(part, '\s+', ' ', 'g')) AS part FROM s),
-  f AS (SELECT doc_id, min(i) AS i, lower(part) AS lp FROM c WHERE part <> '' GROUP BY doc_id, lower(part))
-  SELECT doc_id, count(*) AS parts, sha256(string_agg(c.part, '|' ORDER BY f.i)) AS sha
-  FROM f JOIN c USING (doc_id, i) GROUP BY 1""")
+@SECTION.add("b11_unique_ignoring_case", r"""WITH s AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS part,
+    generate_subscripts(string_split(text, ' '), 1) AS i FROM conversations),
+  c AS (SELECT conv_id, turn, i, trim(regexp_replace(part, '\s+', ' ', 'g')) AS part FROM s),
+  f AS (SELECT conv_id, turn, min(i) AS i, lower(part) AS lp FROM c WHERE part <> '' GROUP BY conv_id, turn, lower(part))
+  SELECT conv_id, turn, count(*) AS parts, sha256(string_agg(c.part, '|' ORDER BY f.i)) AS sha
+  FROM f JOIN c USING (conv_id, turn, i) GROUP BY 1, 2""")
 def _(spark, sf):
-    d = drivers.table(spark, sf, "documents").select(
-        "doc_id", text.unique_ignoring_case(F.split("text", r"\.")).alias("u"))
+    d = drivers.table(spark, sf, "conversations").select(
+        "conv_id", "turn", text.unique_ignoring_case(F.split("text", " ")).alias("u"))
     return d.filter(F.size("u") > 0).select(
-        "doc_id", F.size("u").cast("long").alias("parts"), F.sha2(F.array_join("u", "|"), 256).alias("sha"))
+        "conv_id", "turn", F.size("u").cast("long").alias("parts"), F.sha2(F.array_join("u", "|"), 256).alias("sha"))
 
 
 @SECTION.add("b12_work_state_extraction", rf"""WITH {ORG}, c AS (SELECT event_id, trim(regexp_replace(text, '\s+', ' ', 'g'))
@@ -121,18 +121,15 @@ def _(spark, sf):
         found, lambda a: F.concat(a["type"], F.lit(":"), a["value"])), "|").alias("anchors"))
 
 
-@SECTION.add("b14_document_anchor_counts", r"""WITH u AS (SELECT doc_id, unnest(list_distinct(list_transform(
-    regexp_extract_all(text, '\b[A-Z][A-Z0-9]*_[A-Z0-9_]+\b'), lambda v: 'env_var:' || v))) AS a FROM documents
-  UNION ALL SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '(?i)https?://[^\s<>"]+'),
-    lambda v: 'url:' || lower(v)))) FROM documents
-  UNION ALL SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text,
-    '\b([A-Z][A-Z0-9]{1,9}-[0-9]+)\b', 1), lambda v: 'ticket:' || v))) FROM documents)
-  SELECT split_part(a, ':', 1) AS type, count(*) AS documents FROM u GROUP BY 1""")
+@SECTION.add("b14_page_anchor_counts", r"""WITH p AS (SELECT page_id, url || ' ' || html AS text FROM pages),
+  u AS (SELECT page_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '(?i)https?://[^\s<>"]+'),
+    lambda v: 'url:' || lower(v)))) AS a FROM p
+  UNION ALL SELECT page_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '\b[A-Z][A-Z0-9]*_[A-Z0-9_]+\b'),
+    lambda v: 'env_var:' || v))) FROM p)
+  SELECT split_part(a, ':', 1) AS type, count(*) AS anchors FROM u GROUP BY 1""")
 def _(spark, sf):
-    d = drivers.table(spark, sf, "documents").select(
-        F.explode(anchors.anchors_of(F.col("text"))).alias("a"))
-    return d.filter("a.type in ('env_var', 'url', 'ticket')").groupBy(F.col("a.type").alias("type")).agg(
-        F.count("*").alias("documents"))
+    p = drivers.table(spark, sf, "pages").select(F.explode(anchors.anchors_of(F.concat_ws(" ", "url", "html"))).alias("a"))
+    return p.filter("a.type in ('env_var', 'url')").groupBy(F.col("a.type").alias("type")).agg(F.count("*").alias("anchors"))
 
 
 def _like(patterns):
