@@ -30,37 +30,43 @@ def _signature(anchors: Column, strength: str) -> Column:
 def rescue_counts(events: DataFrame, trajectories: DataFrame) -> DataFrame:
     """Per event the number of other persons' trajectories of its workspace that its anchors recall.
 
-    A trajectory is recalled by a shared strong anchor or by a boundary type on both sides. Pairs are never listed: events and
-    trajectories are first collapsed to distinct (strong anchors, boundary types, person) signatures with counts, signatures
-    are matched, and the counts are added up. Copies and common boundary types so cost one row each.
+    A trajectory is recalled by a boundary type on both sides or by a shared strong anchor. Pairs are never listed. Boundary
+    recall only depends on the sets of boundary types, of which a workspace has at most eight, so it is a sum of counts per
+    set. Strong recall matches distinct strong-anchor signatures with counts, so copies cost one row; signatures the boundary
+    types recall already are left out.
     """
-    def collapsed(rows: DataFrame) -> DataFrame:
-        return rows.select(*SCOPE, "person_id", _signature(F.col("anchors"), "strong").alias("strong"),
+    person = [*SCOPE, "person_id"]
+
+    def collapsed(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.select(*person, *more, _signature(F.col("anchors"), "strong").alias("strong"),
                            _signature(F.col("anchors"), "boundary").alias("boundary"))
 
-    sig = [*SCOPE, "strong", "boundary"]
-    theirs = collapsed(trajectories).filter(F.size("strong") + F.size("boundary") > 0)
-    totals = theirs.groupBy(*sig).agg(F.count("*").alias("n"))
-    per_person = theirs.groupBy(*sig, "person_id").agg(F.count("*").alias("own"))
-    asked = collapsed(events).filter(F.size("strong") + F.size("boundary") > 0).select(*sig).distinct()
-
-    def keys(rows: DataFrame) -> DataFrame:
-        return rows.select(*sig, F.explode(F.concat(
-            F.transform("strong", lambda s: F.concat(F.lit("s:"), s)),
-            F.transform("boundary", lambda b: F.concat(F.lit("b:"), b)))).alias("key"))
-
-    mine = keys(asked)
-    other = keys(totals).withColumnsRenamed({"strong": "t_strong", "boundary": "t_boundary"})
-    matched = mine.join(other, [*SCOPE, "key"]).select(*sig, "t_strong", "t_boundary").distinct()
-    t_sig = totals.withColumnsRenamed({"strong": "t_strong", "boundary": "t_boundary"})
-    recalled = matched.join(t_sig, [*SCOPE, "t_strong", "t_boundary"]).groupBy(*sig).agg(F.sum("n").alias("recalled"))
-    t_own = per_person.withColumnsRenamed({"strong": "t_strong", "boundary": "t_boundary"})
-    own = matched.join(t_own, [*SCOPE, "t_strong", "t_boundary"]).groupBy(*sig, "person_id").agg(F.sum("own").alias("own"))
-    rows = events.select("event_id", *SCOPE, "person_id", _signature(F.col("anchors"), "strong").alias("strong"),
-                         _signature(F.col("anchors"), "boundary").alias("boundary"))
-    return rows.join(recalled, sig, "left").join(own, [*sig, "person_id"], "left").select(
-        *SCOPE, "person_id", "event_id",
-        (F.coalesce("recalled", F.lit(0)) - F.coalesce("own", F.lit(0))).cast("long").alias("rescue_candidates"))
+    asked = collapsed(events, "event_id")
+    theirs = collapsed(trajectories).groupBy(*person, "strong", "boundary").agg(F.count("*").alias("n"))
+    overlap = F.arrays_overlap("boundary", "t_boundary")
+
+    def by_boundary(keys: list[str], name: str) -> DataFrame:
+        sets = theirs.groupBy(*keys, F.col("boundary").alias("t_boundary")).agg(F.sum("n").alias("n"))
+        wanted = asked.select(*keys, "boundary").distinct()
+        return wanted.join(sets, keys).filter(overlap).groupBy(*keys, "boundary").agg(F.sum("n").alias(name))
+
+    def by_strong(keys: list[str], name: str) -> DataFrame:
+        def exploded(rows: DataFrame) -> DataFrame:
+            return rows.select("*", F.explode("strong").alias("key"))
+        sets = theirs.groupBy(*keys, "strong", "boundary").agg(F.sum("n").alias("n"))
+        wanted = asked.filter(F.size("strong") > 0).select(*keys, "strong", "boundary").distinct()
+        renamed = sets.withColumnsRenamed({"boundary": "t_boundary", "strong": "t_strong"})
+        other = exploded(sets).select(*keys, "key", F.col("strong").alias("t_strong"), F.col("boundary").alias("t_boundary"))
+        matched = exploded(wanted).join(other, [*keys, "key"]).filter(~overlap).select(
+            *keys, "strong", "boundary", "t_strong", "t_boundary").distinct()
+        return matched.join(renamed, [*keys, "t_strong", "t_boundary"]).groupBy(*keys, "strong", "boundary").agg(F.sum("n").alias(name))
+
+    rows = asked
+    for keys, tag in ((SCOPE, "all"), (person, "own")):
+        rows = rows.join(by_boundary(keys, f"b_{tag}"), [*keys, "boundary"], "left").join(
+            by_strong(keys, f"s_{tag}"), [*keys, "strong", "boundary"], "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return rows.select(*person, "event_id", (n("b_all") + n("s_all") - n("b_own") - n("s_own")).cast("long").alias("rescue_candidates"))
 
 
 def rescue_candidates(events: DataFrame, trajectories: DataFrame) -> DataFrame:

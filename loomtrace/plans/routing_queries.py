@@ -1,3 +1,174 @@
+"""Sequential routing and what follows from its decisions.
+
+The fold has no plain SQL counterpart; tests compare it with a brute-force router on small fixtures. What is derived from
+given decisions has oracles where the input is a table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loomtrace.operators import audit, identity, routing, workstate
 from loomtrace.plans.registry import Section
+from loomtrace.sources import drivers
+from loomtrace.session import durable
 
 SECTION = Section()
+
+
+def work_events(spark, sf):
+    e = drivers.org_events(spark, sf)
+    return routing.work_events(identity.resolve(e, drivers.identities(spark, sf)))
+
+
+def decisions(spark, sf):
+    """Work events and their decisions, both stored once: later steps read them several times."""
+    events = durable(work_events(spark, sf))
+    return events, durable(routing.route(events))
+
+
+@SECTION.add("i2_routing_decisions")
+def _(spark, sf):
+    d = routing.route(work_events(spark, sf))
+    return d.select("organization_id", "event_id", "decision", "trajectory_id", "parent_id", "confidence", "source",
+                    F.round("candidate_score", 6).alias("candidate_score"), F.round("second_score", 6).alias("second_score"),
+                    F.array_join(F.transform("rules", lambda r: r["rule"]), "|").alias("rules"))
+
+
+@SECTION.add("i1_work_states")
+def _(spark, sf):
+    events, d = decisions(spark, sf)
+    s = workstate.work_states(workstate.assigned(events, d))
+    return s.select("organization_id", "trajectory_id", "person_id", "durable_goal", "current_state", "version",
+                    F.array_join("surfaces", "|").alias("surfaces"), F.array_join("recent_context", "|").alias("recent_context"),
+                    F.size("anchors").alias("anchors"))
+
+
+@SECTION.add("i3_structural_deltas")
+def _(spark, sf):
+    d = routing.route(work_events(spark, sf))
+    names = F.json_object_keys(F.get_json_object("state_delta", "$.fields"))
+    return d.select("organization_id", "event_id", "trajectory_id", F.coalesce(F.get_json_object(
+        "state_delta", "$.trajectory_created") == "true", F.lit(False)).alias("created"), F.coalesce(
+        F.array_join(F.sort_array(names), "|"), F.lit("")).alias("changed_fields"))
+
+
+@SECTION.add("i4_structural_signals")
+def _(spark, sf):
+    return workstate.structural_signals(routing.route(work_events(spark, sf)))
+
+
+@SECTION.add("i5_trajectory_versions")
+def _(spark, sf):
+    d = routing.route(work_events(spark, sf)).filter("decision <> 'clarify'")
+    return d.groupBy("organization_id", "trajectory_id").agg(F.count("*").alias("version"), F.max("arrival").alias("last_arrival"))
+
+
+@SECTION.add("i6_proposals", """SELECT o_orderkey AS event_id, CASE WHEN o_orderkey % 5 = 4 THEN 'rejected' WHEN o_orderkey % 5 = 3 THEN 'pending'
+    WHEN (o_orderkey % 4 <> 0 AND o_custkey % 3 = 0) OR o_orderkey % 7 = 0 THEN 'stale' ELSE 'confirmed' END AS status FROM orders""")
+def _(spark, sf):
+    o = drivers.table(spark, sf, "orders")
+    key, s = F.col("o_orderkey"), lambda c: c.cast("string")
+    org = F.lit("org").alias("organization_id")
+    tid = F.when(key % 4 != 0, F.concat(F.lit("t"), s(F.col("o_custkey"))))
+    d = o.select(org, key.alias("event_id"), F.when(key % 4 == 0, "new").otherwise("attach").alias("decision"), tid.alias("trajectory_id"))
+    before = o.select(org, F.concat(F.lit("t"), s(F.col("o_custkey"))).alias("trajectory_id")).distinct().withColumn("version", F.lit(1))
+    after = before.withColumn("version", F.when(F.substring("trajectory_id", 2, 20).cast("long") % 3 == 0, 2).otherwise(1))
+    actions = o.filter(key % 5 != 3).select(org, key.alias("event_id"), F.when(key % 5 == 4, "reject").otherwise("confirm").alias("action"),
+                                           F.lit(1).alias("at"))
+    fresh = d.withColumn("decision", F.when(F.col("event_id") % 7 == 0, "clarify").otherwise(F.col("decision")))
+    return audit.resolve_proposals(audit.proposals(d, before), actions, after, fresh).select("event_id", "status")
+
+
+@SECTION.add("i8_instrumentation")
+def _(spark, sf):
+    _, d = decisions(spark, sf)
+    versions = d.filter("decision <> 'clarify'").groupBy("organization_id", "trajectory_id").agg(F.count("*").alias("version"))
+    out = audit.instrumentation(d.withColumn("margin", F.col("candidate_score") - F.col("second_score")), versions)
+    return out.withColumns({"rules": F.size("rules"), **{c: F.round(c, 6) for c in ("candidate_score", "second_score", "margin")}})
+
+
+@SECTION.add("i9_import_equals_live")
+def _(spark, sf):
+    """States of the batch fold over all persons together and over independent components: no difference is left."""
+    events = durable(work_events(spark, sf))
+    whole = events.select("organization_id", "workspace_id", "person_id").distinct().withColumn("component", F.lit("all"))
+    left = workstate.work_states(workstate.assigned(events, durable(routing.route(events, whole))))
+    right = workstate.work_states(workstate.assigned(events, durable(routing.route(events))))
+    return workstate.set_difference(left, right)
+
+
+@SECTION.add("i11_gated_clarifications")
+def _(spark, sf):
+    """Clarified events decided by stored opinions behind the exact-anchor gate."""
+    from loomtrace.operators.gates import event_anchor_tokens, hybrid_gate
+    events, d = decisions(spark, sf)
+    clarified = d.filter("decision = 'clarify'").join(events.select("organization_id", "event_id", "problem"), ["organization_id", "event_id"])
+    key = F.xxhash64("event_id")
+    opinions = clarified.select(
+        "organization_id", "event_id", "trajectory_id", "problem", drivers.pick(["attach", "new", "abstain", "branch"], F.pmod(key, F.lit(4))).alias("action"),
+        ((F.pmod(key, F.lit(31)) + 70) / 100.0).alias("confidence"))
+    states = workstate.work_states(workstate.assigned(events, d)).select("organization_id", "trajectory_id", F.transform(
+        "anchors", lambda a: F.lower(a["value"])).alias("values"))
+    rows = opinions.join(states, ["organization_id", "trajectory_id"], "left").withColumns({
+        "candidate_id": F.when(F.col("action").isin("attach", "branch"), F.col("trajectory_id")), "candidate_known": F.col("values").isNotNull(),
+        "exact_anchor": F.arrays_overlap(event_anchor_tokens(F.col("problem")), "values")})
+    return hybrid_gate(rows).select("organization_id", "event_id", "gate_reason", "gated_action", "gated_candidate")
+
+
+@SECTION.add("h17_product_outcomes", """WITH p AS (SELECT l_orderkey AS t, CASE WHEN l_linenumber % 2 = 0 THEN 'note ' || (l_partkey % 3)
+    ELSE 'deployment_validation=' || CASE WHEN l_suppkey % 5 = 0 THEN 'success' ELSE 'failed' END END AS outcome, l_linenumber % 2 = 1 AND l_suppkey % 5 = 0
+    AS ok, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS pos FROM lineitem),
+  f AS (SELECT t, outcome, min(pos) AS pos FROM p GROUP BY 1, 2), g AS (SELECT t, string_agg(outcome, '|' ORDER BY pos) AS new_outcomes FROM f
+    WHERE outcome <> 'note 1' GROUP BY 1), d AS (SELECT t, bool_or(ok) AS ok FROM p GROUP BY 1)
+  SELECT o_orderkey::VARCHAR AS trajectory_id, 'note 1' || coalesce('|' || new_outcomes, '') AS outcomes, CASE WHEN coalesce(ok, false) THEN 'resolved' ELSE 'active' END AS lifecycle,
+    CASE WHEN coalesce(ok, false) THEN 'deployment validated successfully' ELSE o_orderstatus END AS current_state
+  FROM orders LEFT JOIN g ON g.t = o_orderkey LEFT JOIN d ON d.t = o_orderkey""")
+def _(spark, sf):
+    li, odd = drivers.table(spark, sf, "lineitem"), F.col("l_linenumber") % 2 == 1
+    p = li.select(F.lit("org").alias("organization_id"), F.col("l_orderkey").cast("string").alias("trajectory_id"),
+                  F.when(odd, "deployment_validation").otherwise("comment").alias("event_name"),
+                  F.when(F.col("l_suppkey") % 5 == 0, "success").otherwise("failed").alias("status"),
+                  F.when(odd, " ").otherwise(F.concat(F.lit("note "), (F.col("l_partkey") % 3).cast("string"))).alias("description"),
+                  (F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey") * 10000 + F.col("l_suppkey")).alias("at"))
+    states = drivers.table(spark, sf, "orders").select(
+        F.lit("org").alias("organization_id"), F.col("o_orderkey").cast("string").alias("trajectory_id"), F.array(F.lit("note 1")).alias("outcomes"),
+        F.lit("active").alias("lifecycle"), F.col("o_orderstatus").alias("current_state"), F.array().cast("array<string>").alias("recent_context"))
+    return workstate.product_outcomes(states, p).select("trajectory_id", F.array_join("outcomes", "|").alias("outcomes"), "lifecycle", "current_state")
+
+
+@SECTION.add("d7a_decision_counts")
+def _(spark, sf):
+    """Decisions, clarifications by source and rule counts, with their share of all events."""
+    from loomtrace.operators.evaluate import histogram
+    d = routing.route(work_events(spark, sf))
+    flat = d.select("decision", F.when(F.col("decision") == "clarify", F.col("source")).alias("clarify_source"), F.array_join(
+        F.transform("rules", lambda r: r["rule"]), "|").alias("rules"))
+    return histogram(flat, {"decision": F.col("decision"), "clarify_source": F.col("clarify_source"), "rules": F.col("rules")})
+
+
+@SECTION.add("k16_clarification_diagnostics")
+def _(spark, sf):
+    from loomtrace.operators.evaluate import histogram, score_band
+    d = routing.route(work_events(spark, sf)).filter("decision = 'clarify'")
+    return histogram(d, {
+        "top_score": score_band(F.col("candidate_score")), "margin": score_band(F.col("candidate_score") - F.col("second_score")),
+        "top_linker": F.col("top_linker"), "top_anchor_relevant": F.col("top_anchor_relevant"), "candidate_count": F.col("candidate_count"),
+        "set_decision": F.col("set_decision"), "gate_decision": F.col("gate_decision")})
+
+
+@SECTION.add("k19_same_surface_control")
+def _(spark, sf):
+    """Pairwise clustering of routing against the user of each event, with real surfaces and with one constant surface."""
+    from loomtrace.operators.evaluate import pair_counts
+    e = drivers.org_events(spark, sf)
+    ids = drivers.identities(spark, sf)
+
+    def score(events, tag):
+        w = durable(routing.work_events(identity.resolve(events, ids)))
+        d = routing.route(w).filter("decision <> 'clarify'")
+        gold = e.select("organization_id", "event_id", "external_user_id")
+        rows = d.join(gold, ["organization_id", "event_id"])
+        return pair_counts(rows, "external_user_id", "trajectory_id").withColumn("condition", F.lit(tag))
+
+    return score(e, "real_surfaces").unionByName(score(e.withColumn("surface", F.lit("one")), "one_surface"))
