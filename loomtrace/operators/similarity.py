@@ -41,8 +41,9 @@ def _count_terms(cut: DataFrame, keys: list[str]) -> DataFrame:
     pairs = F.when(F.size("t") > 1, F.zip_with(
         F.expr("slice(t, 1, size(t) - 1)"), F.expr("slice(t, 2, size(t) - 1)"), lambda a, b: F.concat_ws(" ", a, b)
     )).otherwise(F.array().cast("array<string>"))
-    return cut.select(*keys, F.explode(F.concat("t", pairs)).alias("term")).groupBy(*keys, "term").agg(
-        F.count("*").alias("tf"))
+    # the outer form keeps the optimizer from evaluating the token list once more as a "not empty" filter
+    return cut.select(*keys, F.explode_outer(F.concat("t", pairs)).alias("term")).filter("term is not null").groupBy(
+        *keys, "term").agg(F.count("*").alias("tf"))
 
 
 def joined_term_counts(pieces: DataFrame, keys: list[str], position: str, chunk: Column,

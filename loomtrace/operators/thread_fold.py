@@ -1,0 +1,107 @@
+"""Sequential thread assignment of a trace: a human message joins an earlier thread or opens one.
+
+Explicit thread ids win; otherwise a policy scores the message against the threads that exist at that moment (TF-IDF of a
+corpus of just these texts). Tokens are cut in Spark; the fold keeps term counts per thread and streams over sorted rows.
+"""
+
+from __future__ import annotations
+
+import math
+from collections import Counter, deque
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
+from loomtrace.operators.similarity import STOP_WORDS, tokens
+
+OUTPUT = ("trajectory_id STRING, event_id STRING, thread_id STRING, decision STRING, score DOUBLE, second_score DOUBLE, "
+          "is_new BOOLEAN")
+
+
+def _terms(words: list[str]) -> Counter:
+    return Counter(words) + Counter(f"{a} {b}" for a, b in zip(words, words[1:]))
+
+
+def scores(query: Counter, documents: list[Counter]) -> list[float]:
+    """Cosine of the query with each document; idf over documents and query."""
+    n = len(documents) + 1
+    df = Counter(t for d in [query, *documents] for t in d)
+    idf = {t: math.log((1 + n) / (1 + c)) + 1 for t, c in df.items()}
+    norm = lambda d: math.sqrt(sum((c * idf[t]) ** 2 for t, c in d.items()))
+    q = norm(query)
+    out = []
+    for d in documents:
+        dot = sum(c * d[t] * idf[t] ** 2 for t, c in query.items() if t in d)
+        out.append(dot / (q * norm(d)) if dot else 0.0)
+    return out
+
+
+class _Thread:
+    """Term counts of a thread's joined texts: of all of them, and of the last ten."""
+
+    def __init__(self):
+        self.all: Counter = Counter()
+        self.last: str | None = None
+        self.recent: deque = deque(maxlen=10)
+
+    def add(self, words: list[str], spoken: bool) -> None:
+        if words:
+            self.all.update(_terms(words))
+            if self.last is not None:
+                self.all[f"{self.last} {words[0]}"] += 1
+            self.last = words[-1]
+        if spoken:
+            self.recent.append(words)
+
+    def terms(self, policy: str) -> Counter:
+        return self.all if policy == "router" else _terms([w for words in self.recent for w in words])
+
+
+def _decide(policy: str, ranked: list[tuple[float, str]]) -> tuple[str, float, float]:
+    top, second = ranked[0][0], ranked[1][0] if len(ranked) > 1 else 0.0
+    if policy == "resolver":
+        return ("attach" if top >= 0.15 else "new"), top, second
+    if top >= 0.30 and top - second >= 0.08:
+        return "attach", top, second
+    return ("suggest" if top >= 0.15 else "new"), top, second
+
+
+def assign_threads(events: DataFrame, policy: str = "router", stop: list[str] | None = None) -> DataFrame:
+    """Thread of every human event. ``policy``: ``router`` (all texts, margin) or ``resolver`` (last ten spoken texts)."""
+    if policy not in ("router", "resolver"):
+        raise ValueError(f"unknown policy: {policy}")
+    cut = events.select("trajectory_id", "event_id", "ts", "seq", "actor_type", F.nullif("thread_id", F.lit("")).alias("thread_id"),
+                        (F.trim("text") != "").alias("has_text"),
+                        tokens(F.coalesce("text", F.lit("")), STOP_WORDS if stop is None else stop).alias("words"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trajectory, threads = None, {}
+        for batch in batches:
+            rows = []
+            for e in batch.itertuples(index=False):
+                if e.trajectory_id != trajectory:
+                    trajectory, threads = e.trajectory_id, {}
+                words, spoken = list(e.words), e.actor_type in ("human", "agent")
+                thread = e.thread_id
+                if e.actor_type == "human":
+                    decision, top, second = "explicit", None, None
+                    if thread is None:
+                        known = [t for t in threads if policy == "router" or threads[t].recent]
+                        decision, top, second = "new", 1.0, 0.0
+                        if known:
+                            ranked = sorted(zip(scores(_terms(words), [threads[t].terms(policy) for t in known]), known),
+                                            key=lambda x: -x[0])
+                            decision, top, second = _decide(policy, ranked)
+                            thread = ranked[0][1] if decision != "new" else None
+                        if thread is None:
+                            thread = "thread_" + sha256(f"{trajectory}:{e.event_id}".encode()).hexdigest()[:12]
+                    rows.append((trajectory, e.event_id, thread, decision, top, second, decision == "new"))
+                if thread is not None and e.has_text:
+                    threads.setdefault(thread, _Thread()).add(words, spoken)
+            if rows:
+                yield pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in OUTPUT.split(",")])
+
+    ordered = cut.repartition("trajectory_id").sortWithinPartitions("trajectory_id", "ts", "seq")
+    return ordered.mapInPandas(fold, OUTPUT)

@@ -16,13 +16,13 @@ SECTION = Section()
 
 
 def _sides(spark, sf):
-    e = drivers.org_events(spark, sf).select(
+    e = durable(drivers.org_events(spark, sf).select(
         "organization_id", "workspace_id", F.col("external_user_id").alias("person_id"), "event_id", "conversation_id",
-        anchors_of(F.col("text")).alias("anchors"))
+        anchors_of(F.col("text")).alias("anchors")))
     t = e.select("organization_id", "workspace_id", "person_id", F.col("conversation_id").alias("trajectory_id"),
                  F.explode("anchors").alias("a")).distinct().groupBy(
         "organization_id", "workspace_id", "person_id", "trajectory_id").agg(F.collect_list("a").alias("anchors"))
-    return e, t
+    return e, durable(t)
 
 
 _SIDES = f"""{ORG}, ea AS (SELECT organization_id AS o, workspace_id AS w, external_user_id AS p, event_id, conversation_id AS t,
@@ -37,7 +37,7 @@ _SIDES = f"""{ORG}, ea AS (SELECT organization_id AS o, workspace_id AS w, exter
   SELECT oe.event_id, coalesce(c, 0) AS rescue_candidates FROM oe LEFT JOIN n ON n.event_id = oe.event_id""")
 def _(spark, sf):
     events, trajectories = _sides(spark, sf)
-    return retrieval.rescue_counts(durable(events), durable(trajectories)).select("event_id", "rescue_candidates")
+    return retrieval.rescue_counts(events, trajectories).select("event_id", "rescue_candidates")
 
 
 

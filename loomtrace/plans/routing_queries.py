@@ -172,3 +172,35 @@ def _(spark, sf):
         return pair_counts(rows, "external_user_id", "trajectory_id").withColumn("condition", F.lit(tag))
 
     return score(e, "real_surfaces").unionByName(score(e.withColumn("surface", F.lit("one")), "one_surface"))
+
+
+def _untagged(spark, sf):
+    """Trace events without thread ids on three of four human messages."""
+    e = drivers.trace_events(spark, sf)
+    return e.withColumn("thread_id", F.when(F.col("seq") % 4 == 0, F.col("thread_id")))
+
+
+@SECTION.add("h01_thread_assignment_fold")
+def _(spark, sf):
+    from loomtrace.operators.thread_fold import assign_threads
+    return assign_threads(_untagged(spark, sf), "resolver").withColumn("score", F.round("score", 6)).drop("second_score")
+
+
+@SECTION.add("h02_thread_assignment_fold")
+def _(spark, sf):
+    from loomtrace.operators.thread_fold import assign_threads
+    return assign_threads(_untagged(spark, sf), "router").withColumns({c: F.round(c, 6) for c in ("score", "second_score")})
+
+
+@SECTION.add("i10_snapshot_resume")
+def _(spark, sf):
+    """Decisions after a snapshot that differ from those of the whole fold: none."""
+    events = durable(work_events(spark, sf))
+    middle = events.agg(F.expr("max(arrival) div 2").alias("m"))
+    marked = durable(events.join(F.broadcast(middle)).withColumn("early", F.col("arrival") <= F.col("m")).drop("m"))
+    early = marked.filter("early").drop("early")
+    states = durable(workstate.work_states(workstate.assigned(early, durable(routing.route(early)))))
+    resumed = routing.route(marked.filter("not early").drop("early"), snapshot=states)
+    whole = routing.route(events).join(marked.filter("not early").select("organization_id", "event_id"), ["organization_id", "event_id"])
+    columns = ["organization_id", "event_id", "decision", "trajectory_id", "source"]
+    return whole.select(columns).exceptAll(resumed.select(columns))

@@ -128,7 +128,7 @@ def _(spark, sf):
     lambda v: 'env_var:' || v))) FROM p)
   SELECT split_part(a, ':', 1) AS type, count(*) AS anchors FROM u GROUP BY 1""")
 def _(spark, sf):
-    p = drivers.table(spark, sf, "pages").select(F.explode(anchors.anchors_of(F.concat_ws(" ", "url", "html"))).alias("a"))
+    p = drivers.table(spark, sf, "pages").select(F.explode_outer(anchors.anchors_of(F.concat_ws(" ", "url", "html"))).alias("a"))
     return p.filter("a.type in ('env_var', 'url')").groupBy(F.col("a.type").alias("type")).agg(F.count("*").alias("anchors"))
 
 

@@ -1,0 +1,47 @@
+"""Routing as a stream: the batch fold's step with its open work in the state store.
+
+Needs the RocksDB state store provider. State: one entry per trajectory of a group. A micro-batch of a group is sorted by
+arrival before it is folded, so its size is what a task holds; bound it with the source's rate options.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from loomtrace.operators.routing import _COLUMNS, GROUP, OUTPUT, Router
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class RoutingProcessor(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.work = handle.getMapState("work", "trajectory_id STRING", "record STRING")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        stored = {k[0]: json.loads(v[0]) for k, v in self.work.iterator()}
+        router = Router(stored)
+        batch = pd.concat(list(rows)).sort_values(["arrival", "event_id"], kind="stable")
+        out = []
+        for e in batch.itertuples(index=False):
+            done = router.handle(e)
+            if done is not None:
+                out.append(done | {"component": key[2]})
+        for tid in router.changed:
+            record = {k: v for k, v in router.work[tid].items() if k != "types"}
+            self.work.updateValue((tid,), (json.dumps(record),))
+        if out:
+            yield pd.DataFrame(out, columns=_COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+def route_stream(events: DataFrame) -> DataFrame:
+    """Decisions of a stream of work events that carry ``component`` (a constant keeps a workspace together)."""
+    return events.groupBy(*GROUP).transformWithStateInPandas(
+        statefulProcessor=RoutingProcessor(), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
