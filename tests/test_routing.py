@@ -1,0 +1,211 @@
+"""The routing fold against a plain router that keeps everything in lists and looks at every trajectory."""
+
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from loomtrace.functions.anchors import STRENGTH
+from loomtrace.functions.work_anchors import anchors_in
+from loomtrace.operators import routing, workstate
+from loomtrace.streaming.routing_stream import route_stream
+
+EVENT = ("organization_id STRING, workspace_id STRING, person_id STRING, event_id STRING, ingest_seq BIGINT, conversation_id STRING, "
+         "surface STRING, goal STRING, text STRING, entities ARRAY<STRING>, artifacts ARRAY<STRING>")
+PHRASES = ["OPS-{n} checkout fails", "update OPS-{n} still failing again", "customer acme{m} reports checkout trouble", "this revealed a gap in checkout",
+           "draft the planning note", "checkout rollout for project atlas{m}", "we found PR #{n}", "quarterly numbers please", "INC-{n} is back",
+           "we ask the customer", "acme{m} checkout fails", "please pull", "{n} requests fail"]
+
+
+def events(seed, n=70, orgs=2):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        text = rng.choice(PHRASES).format(n=rng.randint(1, 4), m=rng.randint(1, 2))
+        goal = rng.choice(["", "", "restore checkout", "ask the customer"])
+        out.append((f"o{rng.randint(1, orgs)}", "w", f"p{rng.randint(1, 4)}", f"e{i}", i, f"c{rng.randint(1, 3)}", rng.choice(["slack", "chat"]), goal, text,
+                    rng.choice([[], [], ["Web"], ["web", "api"]]), rng.choice([[], [], ["plan.md"]])))
+    return out
+
+
+def plain(rows):
+    """(decision, trajectory) per (organisation, event), straight from the rules."""
+    strong_types = {k for k, v in STRENGTH.items() if v == "strong"}
+    boundary = {k for k, v in STRENGTH.items() if v == "boundary"}
+    work, out = [], {}
+    for org, ws, person, eid, at, conv, surface, goal, text, ents, arts in rows:
+        text = " ".join(text.split())
+        goal = goal or " ".join(text.split()[:12]).replace(",", "")
+        full = " ".join(x for x in [goal, text, *ents, *arts] if x)
+        anchors = {(k, v.lower()) for k, v in anchors_in(text) + anchors_in(full)}
+        low = full.lower()
+        branch = "this revealed" in low
+        cont = any(w in low.split() for w in ("still", "again")) or "we found" in low
+        reopen = "is back" in low or "failing again" in low
+        tok = set((goal + " " + text).lower().split())
+
+        def relevant(t):
+            types = {k for k, _ in t["a"]} & {k for k, _ in anchors}
+            return bool({a for a in t["a"] & anchors if a[0] in strong_types}) or bool(types & boundary)
+
+        mine = [t for t in work if t["org"] == org]
+        cands = [t for t in mine if t["p"] == person] + [t for t in mine if t["p"] != person and relevant(t)]
+
+        def new(prefix=None):
+            t = {"org": org, "p": person, "id": routing.trajectory_id(org, ws, eid), "goal": goal, "state": text, "e": list(ents), "f": list(arts), "a": set(anchors)}
+            work.append(t)
+            return t["id"]
+
+        if not cands:
+            out[org, eid] = ("new", new())
+            continue
+
+        def score(t):
+            other = set((t["goal"] + " " + t["state"]).lower().split())
+            return len(tok & other) / len(tok | other)
+
+        ranked = sorted(((score(t), t) for t in cands), key=lambda x: -x[0])
+        top, best = ranked[0]
+        if top < 0.12 and not any(relevant(t) for t in cands):
+            out[org, eid] = ("new", new())
+            continue
+
+        def decide(t, s):
+            for k in boundary:
+                x, y = {a for a in t["a"] if a[0] == k}, {a for a in anchors if a[0] == k}
+                if x and y and not x & y:
+                    return "new", 0.99, False
+            if any(a[0] in strong_types for a in t["a"] & anchors):
+                return "attach", 0.99, True
+            e1, e2 = {x.lower() for x in t["e"]}, {x.lower() for x in ents}
+            f1, f2 = {x.lower() for x in t["f"]}, {x.lower() for x in arts}
+            if (e1 and e2 and not e1 & e2) or (f1 and f2 and not f1 & f2):
+                return "new", 0.99, False
+            if branch:
+                return "branch", 0.90, False
+            if t["goal"].lower() == goal.lower() != "":
+                return "attach", 0.95, False
+            if e1 & e2 or f1 & f2:
+                return "uncertain", 0.55, False
+            if cont:
+                return "attach", 0.90, False
+            return "uncertain", 0.65 if s >= 0.72 else 0.45 if s < 0.2 else 0.40, False
+
+        d = [(s, t, *decide(t, s)) for s, t in ranked]
+        kinds = [x[2] for x in d]
+        action, chosen = "uncertain", None
+        if all(k == "new" for k in kinds):
+            action = "new"
+        elif "attach" in kinds or "branch" in kinds:
+            strong = [x for x in d if x[2] == "attach" and x[4]]
+            for kind, xs in (("attach", strong), ("branch", [x for x in d if x[2] == "branch"]), ("attach", [x for x in d if x[2] == "attach"])):
+                if xs:
+                    x = sorted(xs, key=lambda x: (x[3], x[0]), reverse=True)[0]
+                    if xs is strong or not x[0] < top - 0.15:
+                        action, chosen = kind, x[1]
+                    break
+        if action == "uncertain":
+            plausible = [x for x in d if x[0] >= 0.12]
+            if top < 0.12 or (plausible and all(x[2] == "new" for x in plausible)):
+                action = "new"
+        if action == "uncertain":
+            out[org, eid] = ("clarify", best["id"])
+        elif action == "new":
+            out[org, eid] = ("new", new())
+        elif chosen["p"] != person:
+            out[org, eid] = ("clarify", chosen["id"])
+        elif action == "branch":
+            out[org, eid] = ("branch", new())
+        else:
+            chosen["state"] = text
+            chosen["e"] += [x for x in ents if x not in chosen["e"]]
+            chosen["f"] += [x for x in arts if x not in chosen["f"]]
+            joined = " ".join(x for x in [chosen["goal"], text, *chosen["e"], *chosen["f"]] if x)
+            chosen["a"] |= anchors | {(k, v.lower()) for k, v in anchors_in(joined)}
+            out[org, eid] = ("attach", chosen["id"])
+    return out
+
+
+def work(spark, rows):
+    return routing.work_events(spark.createDataFrame(rows, EVENT))
+
+
+def result(df):
+    return {(r["organization_id"], r["event_id"]): (r["decision"], r["trajectory_id"]) for r in df.collect()}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_fold_equals_plain_router(spark, seed):
+    rows = events(seed)
+    shuffled = rows[:]
+    random.Random(seed).shuffle(shuffled)
+    assert result(routing.route(work(spark, shuffled).repartition(5))) == plain(rows)
+
+
+def test_all_decisions_occur():
+    seen = {d for s in (1, 2, 3) for d, _ in plain(events(s)).values()}
+    assert seen == {"new", "attach", "branch", "clarify"}
+
+
+def test_states_from_decisions_equal_the_folds_states(spark):
+    rows = events(4)
+    ev = work(spark, rows)
+    d = routing.route(ev)
+    got = {r["trajectory_id"]: r for r in workstate.work_states(workstate.assigned(ev, d)).collect()}
+    router_states = {}
+    for org in ("o1", "o2"):
+        router = routing.Router()
+        for e in ev.filter(F.col("organization_id") == org).orderBy("arrival").toPandas().itertuples(index=False):
+            router.handle(e)
+        router_states |= router.work
+    assert got.keys() == router_states.keys()
+    for tid, t in router_states.items():
+        for f in routing.FIELDS:
+            value = [a.asDict() for a in got[tid][f]] if f == "anchors" else got[tid][f]
+            assert value == [dict(a) for a in t[f]] if f == "anchors" else value == t[f], (tid, f)
+
+
+def test_cross_person_and_tenant_isolation(spark):
+    base = ("w", "x", 0, "c", "slack", "", "OPS-9 fails", [], [])
+    rows = [("a", "w", "p1", "e1", 1, "c", "slack", "", "OPS-9 fails", [], []), ("a", "w", "p2", "e2", 2, "c", "slack", "", "OPS-9 fails", [], []),
+            ("b", "w", "p1", "e1", 3, "c", "slack", "", "OPS-9 fails", [], [])]
+    assert base
+    got = {(r["organization_id"], r["event_id"]): (r["decision"], r["source"]) for r in routing.route(work(spark, rows)).collect()}
+    assert got == {("a", "e1"): ("new", "no_candidates"), ("a", "e2"): ("clarify", "cross_person_structural_rescue"), ("b", "e1"): ("new", "no_candidates")}
+
+
+def test_delta_and_signals(spark):
+    rows = [("a", "w", "p", "e1", 1, "c", "slack", "fix it", "OPS-9 fails", [], []), ("a", "w", "p", "e2", 2, "c", "chat", "fix it", "OPS-9 works", ["x"], [])]
+    d = routing.route(work(spark, rows))
+    deltas = {r["event_id"]: json.loads(r["state_delta"]) for r in d.collect()}
+    assert deltas["e1"]["trajectory_created"] and "entities" not in deltas["e1"]["fields"]
+    assert set(deltas["e2"]["fields"]) == {"current_state", "entities", "recent_context", "surfaces"}
+    s = {(r["event_id"], r["signal"]): r["value"] for r in workstate.structural_signals(d).collect()}
+    assert len(s) == 18 and s["e1", "trajectory_created"] == "true" and s["e2", "cross_surface_continuation"] == "true"
+    assert s["e2", "surface_count"] == "2" and s["e2", "structurally_inert"] == "false"
+
+
+def test_product_event_resolves_then_reopen(spark):
+    rows = [("a", "w", "p", "e1", 1, "c", "slack", "fix the login", "login broken today", [], []), ("a", "w", "p", "e2", 2, "c", "slack", "", "", [], []),
+            ("a", "w", "p", "e3", 3, "c", "slack", "deployment login fix", "deployment validated login is back", [], [])]
+    tid = routing.trajectory_id("a", "w", "e1")
+    raw = spark.createDataFrame(rows, EVENT)
+    hit = F.col("event_id") == "e2"
+    raw = raw.withColumns({"product_trajectory": F.when(hit, tid), "product_event": F.when(hit, "deployment_validation"), "product_status": F.when(hit, "success")})
+    got = {r["event_id"]: (r["decision"], r["source"], r["trajectory_id"]) for r in routing.route(routing.work_events(raw)).collect()}
+    assert got["e2"] == ("product_outcome", "product_event", tid)
+    assert got["e3"] == ("attach", "reopen_gate", tid)
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    rows = events(6, n=40)
+    ev = work(spark, rows).withColumn("component", F.lit("all")).withColumn("seed_json", F.lit(None).cast("string"))
+    for part, (lo, hi) in enumerate([(0, 15), (15, 16), (16, 40)]):
+        ev.filter((F.col("arrival") >= lo) & (F.col("arrival") < hi)).coalesce(1).write.parquet(str(tmp_path / f"in/batch{part}.parquet"))
+    src = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = (route_stream(src).writeStream.format("memory").queryName("routed").option("checkpointLocation", str(tmp_path / "ck"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = result(spark.table("routed"))
+    assert got == plain(rows)
