@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomtrace.operators import ordered
+from loomtrace.session import by_key
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -190,7 +191,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, pivot_count: int = 16, b
         return pd.DataFrame({"id_a": np.minimum(ia, ib)[keep], "id_b": np.maximum(ia, ib)[keep],
                              "similarity": cosine[a, b][keep]})
 
-    found = tasks.groupBy("cell", "i", "j").applyInPandas(compare, "id_a BIGINT, id_b BIGINT, similarity DOUBLE")
+    found = by_key(tasks, "cell", "i", "j").groupBy("cell", "i", "j").applyInPandas(compare, "id_a BIGINT, id_b BIGINT, similarity DOUBLE")
     counts = distinct.select("id", "copies")
     sized = found.join(counts.toDF("id_a", "copies_a"), "id_a").join(counts.toDF("id_b", "copies_b"), "id_b")
     shared = (found.join(per_trajectory.toDF("id_a", "trajectory_id", "n_a"), "id_a")

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from loomtrace.operators.similarity import STOP_WORDS, tokens
+from loomtrace.session import by_key
 
 OUTPUT = ("trajectory_id STRING, event_id STRING, thread_id STRING, decision STRING, score DOUBLE, second_score DOUBLE, "
           "is_new BOOLEAN")
@@ -103,5 +104,5 @@ def assign_threads(events: DataFrame, policy: str = "router", stop: list[str] |
             if rows:
                 yield pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in OUTPUT.split(",")])
 
-    ordered = cut.repartition("trajectory_id").sortWithinPartitions("trajectory_id", "ts", "seq")
+    ordered = by_key(cut, "trajectory_id").sortWithinPartitions("trajectory_id", "ts", "seq")
     return ordered.mapInPandas(fold, OUTPUT)

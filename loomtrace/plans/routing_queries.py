@@ -29,7 +29,7 @@ def decisions(spark, sf):
 
 @SECTION.add("i2_routing_decisions")
 def _(spark, sf):
-    d = routing.route(work_events(spark, sf))
+    d = routing.route(durable(work_events(spark, sf)))
     return d.select("organization_id", "event_id", "decision", "trajectory_id", "parent_id", "confidence", "source",
                     F.round("candidate_score", 6).alias("candidate_score"), F.round("second_score", 6).alias("second_score"),
                     F.array_join(F.transform("rules", lambda r: r["rule"]), "|").alias("rules"))
@@ -46,7 +46,7 @@ def _(spark, sf):
 
 @SECTION.add("i3_structural_deltas")
 def _(spark, sf):
-    d = routing.route(work_events(spark, sf))
+    d = routing.route(durable(work_events(spark, sf)))
     names = F.json_object_keys(F.get_json_object("state_delta", "$.fields"))
     return d.select("organization_id", "event_id", "trajectory_id", F.coalesce(F.get_json_object(
         "state_delta", "$.trajectory_created") == "true", F.lit(False)).alias("created"), F.coalesce(
@@ -55,12 +55,12 @@ def _(spark, sf):
 
 @SECTION.add("i4_structural_signals")
 def _(spark, sf):
-    return workstate.structural_signals(routing.route(work_events(spark, sf)))
+    return workstate.structural_signals(routing.route(durable(work_events(spark, sf))))
 
 
 @SECTION.add("i5_trajectory_versions")
 def _(spark, sf):
-    d = routing.route(work_events(spark, sf)).filter("decision <> 'clarify'")
+    d = routing.route(durable(work_events(spark, sf))).filter("decision <> 'clarify'")
     return d.groupBy("organization_id", "trajectory_id").agg(F.count("*").alias("version"), F.max("arrival").alias("last_arrival"))
 
 
@@ -141,7 +141,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Decisions, clarifications by source and rule counts, with their share of all events."""
     from loomtrace.operators.evaluate import histogram
-    d = routing.route(work_events(spark, sf))
+    d = routing.route(durable(work_events(spark, sf)))
     flat = d.select("decision", F.when(F.col("decision") == "clarify", F.col("source")).alias("clarify_source"), F.array_join(
         F.transform("rules", lambda r: r["rule"]), "|").alias("rules"))
     return histogram(flat, {"decision": F.col("decision"), "clarify_source": F.col("clarify_source"), "rules": F.col("rules")})
@@ -150,7 +150,7 @@ def _(spark, sf):
 @SECTION.add("k16_clarification_diagnostics")
 def _(spark, sf):
     from loomtrace.operators.evaluate import histogram, score_band
-    d = routing.route(work_events(spark, sf)).filter("decision = 'clarify'")
+    d = routing.route(durable(work_events(spark, sf))).filter("decision = 'clarify'")
     return histogram(d, {
         "top_score": score_band(F.col("candidate_score")), "margin": score_band(F.col("candidate_score") - F.col("second_score")),
         "top_linker": F.col("top_linker"), "top_anchor_relevant": F.col("top_anchor_relevant"), "candidate_count": F.col("candidate_count"),

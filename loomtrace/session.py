@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,14 +25,25 @@ def local_session(app: str = "loomtrace", cores: str = "*", shuffle_partitions:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back, cutting its lineage.
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only when that is unset (unit tests on
-    one machine) a temporary folder is used.
+    This cuts the lineage, so lost executors restart nothing before it, and computes ``df`` once (``checkpoint()`` would
+    compute it twice unless it is cached). The folder is the cluster's ``spark.checkpoint.dir``; only when that is unset (unit
+    tests on one machine) a temporary one is taken.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomtrace-ckpt-"))
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="loomtrace-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/tables/{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partition by ``keys`` for work that costs far more time than its bytes suggest.
+
+    The explicit number keeps adaptive execution from merging such partitions by size alone.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -32,8 +32,7 @@ class RoutingProcessor(StatefulProcessor):
             if done is not None:
                 out.append(done | {"component": key[2]})
         for tid in router.changed:
-            record = {k: v for k, v in router.work[tid].items() if k != "types"}
-            self.work.updateValue((tid,), (json.dumps(record),))
+            self.work.updateValue((tid,), (json.dumps(router.work[tid]),))
         if out:
             yield pd.DataFrame(out, columns=_COLUMNS)
 
