@@ -47,3 +47,10 @@ def by_key(df: DataFrame, *keys: str) -> DataFrame:
     The explicit number keeps adaptive execution from merging such partitions by size alone.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def by_key_balanced(df: DataFrame, *keys: str) -> DataFrame:
+    """Like ``by_key``, but cut by sampled key ranges: rows of a key stay together, and large keys do not share a partition
+    by a chance of hashing. Sampling reads ``df`` once more, so store a costly ``df`` first (``durable``).
+    """
+    return df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
