@@ -11,9 +11,10 @@ def model_inputs(lines: DataFrame, key: str, position: str, line: str, history_c
     """Per key the newline-joined tail of its history and the head of its last line.
 
     Only the last ``history_chars`` characters of a history are wanted, so lines are kept from the end until they
-    suffice: a reverse running length drops the rest before anything is gathered.
+    suffice: a reverse running length drops the rest before anything is gathered. A joined line adds at least one
+    character, so at most ``history_chars + 2`` last lines can matter; only those of a key reach its task.
     """
-    sized = lines.select(key, position, line)
+    sized = ordered.top_rows(lines.select(key, position, line), [key], [F.desc(position)], history_chars + 2).drop("rank")
     last = sized.groupBy(key).agg(F.max_by(F.struct(position, line), position).alias("c"))
     w = Window.partitionBy(key).orderBy(F.desc(position)).rowsBetween(Window.unboundedPreceding, -1)
     after = F.coalesce(F.sum(F.length(line) + 1).over(w), F.lit(0))
