@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomtrace.operators import ordered
-from loomtrace.session import by_key
+from loomtrace.session import by_key, durable
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -148,9 +148,9 @@ def similar_pairs(vectors: DataFrame, threshold: float, pivot_count: int = 16, b
     each task compares two blocks. Returns ``id_a, id_b, similarity, pairs`` where ``pairs`` counts the pairs of copies
     that belong to different trajectories; pairs of equal vectors appear with ``id_a = id_b``.
     """
-    members = vectors.groupBy("embedding", "trajectory_id").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    distinct = members.groupBy("embedding").agg(
-        F.min("id").alias("id"), F.sum("n").alias("copies"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    members = durable(vectors.groupBy("embedding", "trajectory_id").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    distinct = durable(members.groupBy("embedding").agg(
+        F.min("id").alias("id"), F.sum("n").alias("copies"), F.sum(F.col("n") * F.col("n")).alias("squares")))
     per_trajectory = members.join(distinct.select("embedding", F.col("id").alias("rep")), "embedding").select(
         "rep", "trajectory_id", "n")
     radius = math.acos(threshold)
@@ -170,8 +170,8 @@ def similar_pairs(vectors: DataFrame, threshold: float, pivot_count: int = 16, b
             yield pd.DataFrame({"id": batch["id"].to_numpy()[row], "home": home[row].astype("int32"),
                                 "cell": cell.astype("int32"), "unit": list(unit[row])})
 
-    placed = distinct.select("id", "embedding").mapInPandas(
-        assign, "id BIGINT, home INT, cell INT, unit ARRAY<DOUBLE>")
+    placed = durable(distinct.select("id", "embedding").mapInPandas(
+        assign, "id BIGINT, home INT, cell INT, unit ARRAY<DOUBLE>"))
     sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # at most pivot_count rows
     blocks = F.create_map(*[x for c, n in sizes.items() for x in (F.lit(c), F.lit(max(1, -(-n // block_rows))))])
     grid = placed.withColumn("blocks", F.element_at(blocks, F.col("cell"))).withColumn(

@@ -417,8 +417,8 @@ def _(spark, sf):
     return events.join(candidates, "case_id").filter("score >= 0.12").select("case_id", "candidate_id", "score")
 
 
-@SECTION.add("e7_score_lookup", f"""WITH {PAIRS} SELECT case_id, candidate_id, score FROM cp WHERE category = 'recurrence'""")
+@SECTION.add("e7_score_lookup", f"WITH {PAIRS} SELECT case_id, candidate_id, score FROM cp")
 def _(spark, sf):
     p = drivers.candidate_pairs(spark, sf)
     scores = p.select("case_id", "candidate_id", "score")
-    return p.filter("category = 'recurrence'").select("case_id", "candidate_id").join(scores, ["case_id", "candidate_id"])
+    return p.select("case_id", "candidate_id").join(scores, ["case_id", "candidate_id"])

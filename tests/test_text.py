@@ -10,7 +10,7 @@ TEXTS = [
     ("INC-77 trace 123E4567-e89b-12d3-a456-426614174000", [("incident", "77"), ("trace_id", "123e4567-e89b-12d3-a456-426614174000")]),
     ("see src/App.py then SRC/app.py", [("file", "SRC/app.py")]),
     ("customer cannot log in", [("customer", "cannot")]),
-    ("tenant: North account_9 repo=svc.a project atlas", [("project", "atlas"), ("repo", "svc.a"), ("tenant", "north")]),
+    ("tenant: North account_9 repo=svc.a project atlas", [("account", "9"), ("project", "atlas"), ("repo", "svc.a"), ("tenant", "north")]),
     ("set DB_HOST, INC_99 at https://x.y/z?q=1|2 commit deadbeef1", [
         ("env_var", "DB_HOST"), ("env_var", "INC_99"), ("git_sha", "deadbeef1"), ("incident", "99"), ("url", "https://x.y/z?q=1|2")]),
     ("", []),
