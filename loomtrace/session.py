@@ -1,16 +1,15 @@
-"""Session helpers: builder for local use and the checkpoint folder used to cut lineage."""
+"""Session helpers: builder for local use, tables in the shared checkpoint folder, partitioning helpers."""
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(app: str = "loomtrace", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(app: str = "loomtrace", cores: str = "*", shuffle_partitions: int = 8, checkpoint_dir: str | None = None) -> SparkSession:
     """A session for tests and benches; on a cluster the caller brings its own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -18,27 +17,47 @@ def local_session(app: str = "loomtrace", cores: str = "*", shuffle_partitions:
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.files.maxPartitionBytes", "16m")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
-    This cuts the lineage, so lost executors restart nothing before it, and computes ``df`` once (``checkpoint()`` would
-    compute it twice unless it is cached). The folder is the cluster's ``spark.checkpoint.dir``; only when that is unset (unit
-    tests on one machine) a temporary one is taken.
+    Where neither is set (tests on one machine) it is a folder in the warehouse, which a cluster shares as well; it is then set
+    as the context's checkpoint folder.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        folder = tempfile.mkdtemp(prefix="loomtrace-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/tables/{uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return folder.rstrip("/")
+
+
+def durable(df: DataFrame, *partition_by: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    This cuts the lineage, so lost executors restart nothing before it, and computes ``df`` once (``checkpoint()`` would
+    compute it twice unless it is cached). Worth it only for a step that is read more than once. ``release`` deletes it.
+    """
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``durable`` has written and nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        root = f"{shared_folder(spark)}/tables/"
+        for name in {f.split("/tables/")[1].split("/")[0] for f in table.inputFiles() if "/tables/" in f}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(root + name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def by_key(df: DataFrame, *keys: str) -> DataFrame:
