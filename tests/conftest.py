@@ -9,8 +9,8 @@ from loomtrace.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("tests", cores="4", shuffle_partitions=4)
+def spark(tmp_path_factory):
+    session = local_session("tests", cores="4", shuffle_partitions=4, checkpoint_dir=f"file://{tmp_path_factory.mktemp('shared')}")
     session.sparkContext.setLogLevel("ERROR")
     session.conf.set("spark.sql.streaming.stateStore.providerClass",
                      "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
