@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtrace.session import durable, release
@@ -41,3 +41,34 @@ def components(links: DataFrame) -> DataFrame:
         before = now
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
+
+
+def with_leaders(postings: DataFrame, leaders: int = 8) -> DataFrame:
+    """``postings`` (``key``, ``node``, more) of keys that two rows share, with the key's ``leader`` node.
+
+    A leader is the least node after flipping bits that depend on the key, so the keys of one large group choose between a few
+    leaders. Counts and minima are combined before the shuffle; hot keys are then joined by a join that Spark can split.
+    """
+    flip = F.xxhash64(F.pmod(F.xxhash64("key"), F.lit(leaders)))
+    shared = postings.groupBy("key").agg(F.count("*").alias("df"), F.min(F.col("node").bitwiseXOR(flip)).alias("x")).filter("df > 1")
+    return postings.join(shared.select("key", F.col("x").bitwiseXOR(flip).alias("leader")), "key")
+
+
+def still_apart(postings: DataFrame, labels: DataFrame, fits: Column, fields: list[str]) -> DataFrame:
+    """Distinct pairs ``a < b`` of nodes that share a key, satisfy ``fits`` and are in different components so far.
+
+    ``postings`` as ``with_leaders`` gives them. Most nodes of a key are in its leader's component, and pairs within it are never
+    formed: only nodes outside it are compared with all nodes of the key. ``fits`` reads ``<field>_a`` and ``<field>_b``.
+    """
+    held = postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mains = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                    F.min(F.when(F.col("node") == F.col("leader"), F.col("component"))).alias("main"))
+    rest = durable(held.join(mains.filter("lo < hi").select("key", "main"), "key").select(
+        "key", "node", "component", *fields, (F.col("component") == F.col("main")).alias("in_main")))
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("node", "component", *fields)]
+    x, y = rest.filter("NOT in_main").select("key", *side("a")), rest.select("key", *side("b"), "in_main")
+    apart = (F.col("component_a") != F.col("component_b")) & (F.col("in_main") | (F.col("node_a") < F.col("node_b")))
+    pairs = x.join(y, "key").filter(apart & fits)
+    out = durable(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
+    release(rest)
+    return out
