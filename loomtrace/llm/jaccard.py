@@ -17,21 +17,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.llm.arrow import lists, map_rows, utf8
-from loomtrace.llm.links import by_ids, components
+from loomtrace.llm.links import by_ids, components, still_apart, with_leaders
 from loomtrace.llm.registry import table
 from loomtrace.llm.shingles import WordHashes, commonness, shingle_set
 from loomtrace.session import durable, release
 
 #: Linked when 100 * intersection >= PERCENT * union.
 PERCENT, SIZE = 80, 5
-#: Bits of the bitmap of a set, and how many different leaders the shingles of one group of near copies choose between.
-BITMAP, LEADERS = 1024, 8
+#: Bits of the bitmap of a small set; larger sets take four times as many until there are 2 for 3 shingles.
+BITMAP = 1024
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def parity_bitmap(s: np.ndarray) -> np.ndarray:
+    """For each bucket of hashes whether the set has an odd number of them, as 64-bit words."""
+    bits = BITMAP
+    while 2 * len(s) > 3 * bits:
+        bits *= 4
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Per row: ``doc_id``, set size ``n``, digest of the set, group key (digest of prefix and size), bitmap and prefix."""
     import pyarrow as pa
@@ -51,9 +60,8 @@ def signatures(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
                 p = s[np.argsort(order[s >> shift], kind="stable")[:prefix_length(len(s), percent)]] if len(s) else s
                 prefixes.append(p.view(np.int64))
                 groups.append(xxhash.xxh3_64_intdigest(p.tobytes(), seed=len(s)) - (1 << 63))
-                odd = np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
-                bitmaps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-            return {"n": n, "set_key": keys, "grp": groups, "bits": lists(np.concatenate(bitmaps), [BITMAP // 64] * len(n), pa.int64()),
+                bitmaps.append(parity_bitmap(s))
+            return {"n": n, "set_key": keys, "grp": groups, "bits": lists(np.concatenate(bitmaps), [len(b) for b in bitmaps], pa.int64()),
                     "prefix": lists(np.concatenate(prefixes), [len(p) for p in prefixes], pa.int64())}
         return step
 
@@ -67,9 +75,13 @@ def size_fits(percent: int) -> Column:
 
 
 def bitmap_fits(percent: int) -> Column:
-    """Bits in which two parity bitmaps differ are at most the symmetric difference, which a link bounds by the sizes."""
+    """Bits in which two parity bitmaps differ are at most the symmetric difference, which a link bounds by the sizes.
+
+    Bitmaps of different lengths tell nothing and pass.
+    """
     differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    few = differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    return (F.size("bits_a") != F.size("bits_b")) | few
 
 
 def position_fits(percent: int) -> Column:
@@ -111,49 +123,33 @@ def classes_and_links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     classes = durable(some.groupBy("set_key", "grp", "n", "bits").agg(F.min("doc_id").alias("rep")))
     members = rows.select("doc_id", "n", "set_key").join(classes.select("set_key", "rep"), "set_key", "left").select("doc_id", "n", "rep")
 
-    # Postings of prefix shingles that two rows share. A leader is the least group number after flipping bits that depend on the shingle.
-    postings = some.select("grp", "n", F.posexplode("prefix").alias("pos", "tok"))
-    flip = F.xxhash64(F.pmod(F.xxhash64("tok"), F.lit(LEADERS)))
-    shared = postings.groupBy("tok").agg(F.count("*").alias("df"), F.min(F.col("grp").bitwiseXOR(flip)).alias("x")).filter("df > 1")
-    shared = shared.select("tok", F.col("x").bitwiseXOR(flip).alias("leader"))
-    postings = durable(postings.join(shared, "tok"))
-
+    postings = durable(with_leaders(some.select(F.col("grp").alias("node"), "n", F.posexplode("prefix").alias("pos", "key"))))
     member = classes.select("grp", "rep", "n", "bits")
     side = lambda k: member.select(*(F.col(c).alias(f"{c}_{k}") for c in member.columns))
     fits = size_fits(percent) & bitmap_fits(percent)
-    ordered = (F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
 
-    stars = postings.filter("grp <> leader").select(F.col("leader").alias("grp_a"), F.col("grp").alias("grp_b")).distinct()
-    between = stars.join(side("b"), "grp_b").join(side("a"), "grp_a").filter(fits).select(*ordered)
+    stars = postings.filter("node <> leader").select(F.col("leader").alias("grp_a"), F.col("node").alias("grp_b")).distinct()
+    between = stars.join(side("b"), "grp_b").join(side("a"), "grp_a").filter(fits).select(
+        F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
     first = member.groupBy("grp").agg(F.min("rep").alias("a"), F.count("*").alias("k")).filter("k > 1")
     inside = first.join(member, "grp").filter("a <> rep").select("a", F.col("rep").alias("b"))
     tried = durable(between.union(inside).distinct())
     links = compared(docs, tried, size, percent)
     labels = durable(components(links))
 
-    # What shares a prefix shingle (or a whole group) but is still apart. Most members of a shingle are in its leader's component.
-    label = member.select("grp", "rep").join(labels, F.col("rep") == F.col("node"), "left").select(
-        "grp", "rep", F.coalesce("component", "rep").alias("comp"))
-    posted = postings.select("tok", "grp", "n", "pos", "leader").join(label, "grp")
-    alike = first.select("grp").join(member.select("grp", "n"), "grp").distinct().select(
-        F.col("grp").alias("tok"), "grp", "n", F.lit(0).alias("pos"), F.col("grp").alias("leader")).join(label, "grp")
-    held = durable(posted.union(alike.select(posted.columns)).withColumn("lead", F.col("grp") == F.col("leader")))
-    open_ = held.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.when(F.col("lead"), F.col("comp"))).alias("main"))
-    open_ = open_.filter("lo < hi").select("tok", "main")
-    rest = durable(held.join(open_, "tok").select("tok", "rep", "comp", "n", "pos", (F.col("comp") == F.col("main")).alias("in_main")).distinct())
-    x = rest.filter("NOT in_main").select("tok", *(F.col(c).alias(f"{c}_a") for c in ("rep", "comp", "n", "pos")))
-    y = rest.select("tok", *(F.col(c).alias(f"{c}_b") for c in ("rep", "comp", "n", "pos")), "in_main")
-    apart = (F.col("comp_a") != F.col("comp_b")) & (F.col("in_main") | (F.col("rep_a") < F.col("rep_b")))
-    pairs = x.join(y, "tok").filter(apart & size_fits(percent) & position_fits(percent)).select(*ordered).distinct()
-    pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    by_rep = member.select("rep", "n", "bits")
-    of = lambda k: by_rep.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
-    pairs = durable(pairs.join(of("b"), "b").join(of("a"), "a").filter(fits).select("a", "b"))
+    # What shares a prefix shingle, or is in one group, but is still apart: now between members.
+    posted = postings.withColumnRenamed("node", "grp").drop("n").join(member, "grp")
+    leads = first.select(F.col("grp"), F.col("a").alias("leader"))
+    alike = leads.join(member, "grp").select("grp", F.lit(0).alias("pos"), F.col("grp").alias("key"), "leader", "rep", "n", "bits")
+    leader_rep = member.groupBy("grp").agg(F.min("rep").alias("leader_rep")).withColumnRenamed("grp", "leader")
+    posted = posted.join(leader_rep, "leader").select("grp", "pos", "key", F.col("leader_rep").alias("leader"), "rep", "n", "bits")
+    apart = still_apart(posted.union(alike).withColumnRenamed("rep", "node"), labels, position_fits(percent) & fits, ["n", "pos", "bits"])
+    pairs = durable(apart.join(tried, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
         more = compared(docs, pairs, size, percent)
         links = links.union(more)
         labels = durable(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
-    release(postings, tried, held, rest, pairs)
+    release(postings, tried, apart, pairs)
     return members, links, labels
 
 

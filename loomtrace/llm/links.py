@@ -72,3 +72,8 @@ def still_apart(postings: DataFrame, labels: DataFrame, fits: Column, fields: li
     out = durable(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
     release(rest)
     return out
+
+
+def with_small(rows: DataFrame, small: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join with a table of few short columns that is broadcast only if it has been counted and is small enough."""
+    return rows.join(F.broadcast(small) if small.count() <= BROADCAST_IDS // 4 else small, key, how)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 
-from loomtrace.llm.arrow import map_batches, utf8
+from loomtrace.llm.arrow import utf8
+from loomtrace.llm.totals import total
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -52,42 +51,20 @@ def shingle_set(text: bytes | None, hashes: WordHashes, size: int = 5) -> np.nda
     return np.unique(mixed(rolled))
 
 
-def commonness(docs: DataFrame, size: int = 5, bits: int = 22, blocks: int = 64) -> np.ndarray:
+def commonness(docs: DataFrame, size: int = 5, bits: int = 22) -> np.ndarray:
     """For each of 2**bits hash buckets the rounded logarithm of how many (document, shingle) pairs fell into it.
 
     Counted over all documents. The table has a fixed size (4 MB by default) and only decides an order, so two shingles in one
     bucket cost time, never results. ``bits`` can be raised with the corpus.
     """
-    width = (1 << bits) // blocks
-
-    def count():
-        def run(batches):
-            hashes, counts = WordHashes(), np.zeros(1 << bits, dtype=np.uint32)
-            for batch in batches:
-                for text in utf8(batch):
-                    s = shingle_set(text, hashes, size)
-                    if len(s):
-                        np.add.at(counts, s >> np.uint64(64 - bits), 1)
-            parts = [counts[i * width:(i + 1) * width] for i in range(blocks)]
-            some = [i for i in range(blocks) if parts[i].any()]
-            if some:
-                yield {"block": some, "counts": [zlib.compress(parts[i].tobytes(), 1) for i in some]}
-        return run
-
-    def add():
-        def run(batches):
-            sums: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    part = np.frombuffer(zlib.decompress(packed), dtype=np.uint32).astype(np.uint64)
-                    sums[block] = sums[block] + part if block in sums else part
-            if sums:
-                yield {"block": list(sums), "levels": [np.log2(s + 1.0).round().astype(np.uint8).tobytes() for s in sums.values()]}
-        return run
-
-    counted = map_batches(docs.select("text"), "block int, counts binary", count)
-    rows = map_batches(counted.repartition(blocks // 4, "block"), "block int, levels binary", add).collect()
-    levels = np.zeros(1 << bits, dtype=np.uint8)
-    for row in rows:
-        levels[row.block * width:(row.block + 1) * width] = np.frombuffer(row.levels, dtype=np.uint8)
-    return levels
+    def fill():
+        hashes = WordHashes()
+
+        def step(batch, counts):
+            for text in utf8(batch):
+                s = shingle_set(text, hashes, size)
+                if len(s):
+                    np.add.at(counts, s >> np.uint64(64 - bits), 1)
+        return step
+
+    return np.log2(total(docs.select("text"), 1 << bits, np.uint32, fill) + 1.0).round().astype(np.uint8)
