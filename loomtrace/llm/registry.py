@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["quality", "jaccard", "lines"]
+MODULES = ["quality", "jaccard", "lines", "decontaminate", "packing", "toxicity"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
