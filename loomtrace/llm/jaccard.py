@@ -84,6 +84,20 @@ def bitmap_fits(percent: int) -> Column:
     return (F.size("bits_a") != F.size("bits_b")) | few
 
 
+def folded(bits: Column) -> list[Column]:
+    """The parity bitmap of 256 buckets, as four numbers."""
+    def one(k: int) -> Column:
+        return F.aggregate(F.filter(bits, lambda x, i: i % 4 == k), F.lit(0).cast("bigint"), lambda s, x: s.bitwiseXOR(x)).alias(f"q{k}")
+
+    return [one(k) for k in range(4)]
+
+
+def fold_fits(percent: int) -> Column:
+    """As ``bitmap_fits``, by the small bitmaps that every set has."""
+    differ = sum((F.bit_count(F.col(f"q{k}_a").bitwiseXOR(F.col(f"q{k}_b"))) for k in range(1, 4)), F.bit_count(F.col("q0_a").bitwiseXOR(F.col("q0_b"))))
+    return differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+
+
 def position_fits(percent: int) -> Column:
     """What is left from the shared shingle on, in both orders, can still reach the overlap that a link needs."""
     left = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
@@ -138,18 +152,21 @@ def classes_and_links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     labels = durable(components(links))
 
     # What shares a prefix shingle, or is in one group, but is still apart: now between members.
-    posted = postings.withColumnRenamed("node", "grp").drop("n").join(member, "grp")
-    leads = first.select(F.col("grp"), F.col("a").alias("leader"))
-    alike = leads.join(member, "grp").select("grp", F.lit(0).alias("pos"), F.col("grp").alias("key"), "leader", "rep", "n", "bits")
+    posted = postings.withColumnRenamed("node", "grp").join(member.select("grp", "rep"), "grp")
     leader_rep = member.groupBy("grp").agg(F.min("rep").alias("leader_rep")).withColumnRenamed("grp", "leader")
-    posted = posted.join(leader_rep, "leader").select("grp", "pos", "key", F.col("leader_rep").alias("leader"), "rep", "n", "bits")
-    apart = still_apart(posted.union(alike).withColumnRenamed("rep", "node"), labels, position_fits(percent) & fits, ["n", "pos", "bits"])
-    pairs = durable(apart.join(tried, ["a", "b"], "left_anti"))
+    posted = posted.join(leader_rep, "leader").select("key", "n", "pos", F.col("leader_rep").alias("leader"), F.col("rep").alias("node"))
+    alike = first.select("grp", "a").join(member, "grp").select(F.col("grp").alias("key"), "n", F.lit(0).alias("pos"), F.col("a").alias("leader"), F.col("rep").alias("node"))
+    quarter = member.select(F.col("rep").alias("node"), *folded(F.col("bits")))
+    could = size_fits(percent) & position_fits(percent) & fold_fits(percent)
+    apart = still_apart(posted.union(alike), labels, could, ["n", "pos"], quarter, [f"q{k}" for k in range(4)])
+    of = lambda k: member.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
+    apart = apart.join(tried, ["a", "b"], "left_anti")
+    pairs = durable(apart.join(of("a"), "a").join(of("b"), "b").filter(fits).select("a", "b"))
     if not pairs.isEmpty():
         more = compared(docs, pairs, size, percent)
         links = links.union(more)
         labels = durable(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
-    release(postings, tried, apart, pairs)
+    release(postings, tried, pairs)
     return members, links, labels
 
 

@@ -54,19 +54,20 @@ def with_leaders(postings: DataFrame, leaders: int = 8) -> DataFrame:
     return postings.join(shared.select("key", F.col("x").bitwiseXOR(flip).alias("leader")), "key")
 
 
-def still_apart(postings: DataFrame, labels: DataFrame, fits: Column, fields: list[str]) -> DataFrame:
+def still_apart(postings: DataFrame, labels: DataFrame, fits: Column, fields: list[str], of_node: DataFrame, more: list[str]) -> DataFrame:
     """Distinct pairs ``a < b`` of nodes that share a key, satisfy ``fits`` and are in different components so far.
 
     ``postings`` as ``with_leaders`` gives them. Most nodes of a key are in its leader's component, and pairs within it are never
-    formed: only nodes outside it are compared with all nodes of the key. ``fits`` reads ``<field>_a`` and ``<field>_b``.
+    formed: only nodes outside it are compared with all nodes of the key. ``fits`` reads ``<field>_a`` and ``<field>_b`` of the postings'
+    ``fields`` and of the columns ``more`` that ``of_node`` has of each node.
     """
     held = postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mains = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                     F.min(F.when(F.col("node") == F.col("leader"), F.col("component"))).alias("main"))
     rest = durable(held.join(mains.filter("lo < hi").select("key", "main"), "key").select(
         "key", "node", "component", *fields, (F.col("component") == F.col("main")).alias("in_main")))
-    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("node", "component", *fields)]
-    x, y = rest.filter("NOT in_main").select("key", *side("a")), rest.select("key", *side("b"), "in_main")
+    full, side = rest.join(of_node, "node"), lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("node", "component", *fields, *more)]
+    x, y = full.filter("NOT in_main").select("key", *side("a")), full.select("key", *side("b"), "in_main")
     apart = (F.col("component_a") != F.col("component_b")) & (F.col("in_main") | (F.col("node_a") < F.col("node_b")))
     pairs = x.join(y, "key").filter(apart & fits)
     out = durable(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
