@@ -310,3 +310,11 @@ def apply_mode(decisions: DataFrame, mode: str = "routing_mode") -> DataFrame:
         "proposed_decision": F.when(hold, F.col("decision")),
         "requires_confirmation": hold,
         "decision": F.when(hold, "clarify").otherwise(F.col("decision"))})
+
+
+def word_overlap(left: Column, right: Column) -> Column:
+    """Jaccard similarity of the distinct lower-case words of two texts; 0 where one side has none."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
+    common = F.size(F.array_intersect(words(left), words(right)))
+    whole = F.size(words(left)) + F.size(words(right)) - common
+    return F.when((F.size(words(left)) > 0) & (F.size(words(right)) > 0), common / whole).otherwise(F.lit(0.0))

@@ -97,10 +97,11 @@ def structured(pairs: DataFrame, prefix: str = "linker_") -> DataFrame:
 
 
 def first_available(assessments: DataFrame, ranking: DataFrame, keys: list[str]) -> DataFrame:
-    """Per case the opinion of the first provider (by rank) that has one."""
+    """Per case the latest run of the first provider (by rank) that has an opinion; providers without a rank come last, by name."""
     rest = [c for c in assessments.columns if c not in keys]
-    ranked = assessments.join(F.broadcast(ranking.limit(1000)), "provider")  # a list of providers, at most 1000
-    return ranked.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("rank")).alias("a")).select(*keys, "a.*")
+    ranked = assessments.join(ranking, "provider", "left")
+    order = F.struct(F.col("rank").isNull(), "rank", "provider", -F.col("run"))
+    return ranked.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("a")).select(*keys, "a.*")
 
 
 def cascade(decided: DataFrame, opinions: DataFrame, keys: list[str], local: str = "linker_",

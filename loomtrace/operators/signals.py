@@ -277,3 +277,8 @@ def history_of(events: DataFrame, targets: DataFrame) -> DataFrame:
     t = targets.select(TID, "target_id", "target_conversation", "target_ts")
     return events.join(t, TID).filter(F.col("ts") < F.col("target_ts")).select(
         TID, "target_id", "event_id", "ts", (F.col("conversation_id") == F.col("target_conversation")).alias("local"))
+
+
+def sampled(rows: DataFrame, key: Column, share: float) -> DataFrame:
+    """A sample by the hash of ``key``: the same rows on every run, independent of partitioning; ``share`` in steps of 1/256."""
+    return rows.filter(F.substring(F.sha2(key.cast("string"), 256), 1, 2) < f"{round(share * 256):02x}")

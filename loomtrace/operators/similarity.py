@@ -205,6 +205,20 @@ def similar_pairs(vectors: DataFrame, threshold: float, pivot_count: int = 16, b
     return between.unionByName(equal).filter("pairs > 0")
 
 
+def expanded_pairs(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``id_a < id_b, similarity`` of all pairs of rows from different trajectories, from the pairs of distinct vectors.
+
+    As long as the answer: n copies of one vector give a square of pairs. Where that is too long, ``pairs`` is the answer with counts.
+    """
+    # A representative is the smallest id of its vector; only vectors in a pair are looked up.
+    reps = pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct()
+    wanted = vectors.join(reps, "id", "left_semi").select(F.col("id").alias("rep"), "embedding")
+    members = vectors.join(wanted, "embedding").select("rep", "id", "trajectory_id")
+    both = pairs.join(members.toDF("id_a", "x", "tx"), "id_a").join(members.toDF("id_b", "y", "ty"), "id_b").filter(
+        (F.col("tx") != F.col("ty")) & ((F.col("id_a") != F.col("id_b")) | (F.col("x") < F.col("y"))))
+    return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / (np.linalg.norm(rows, axis=1, keepdims=True) + 1e-8)
 

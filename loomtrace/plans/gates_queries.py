@@ -134,8 +134,8 @@ def _(spark, sf):
 
 
 _OPINION = """op AS (SELECT case_id, arg_min(action, rk) AS opinion, arg_min(confidence, rk) AS opinion_confidence,
-    arg_min(provider, rk) AS opinion_provider FROM (SELECT *, CASE provider WHEN 'verifier' THEN 1 ELSE 2 END AS rk FROM asm
-    WHERE run = 1) GROUP BY 1)"""
+    arg_min(provider, rk) AS opinion_provider FROM (SELECT *, CASE provider WHEN 'verifier' THEN 0 ELSE 10 END - run AS rk FROM asm)
+    GROUP BY 1)"""
 ASSESS = """asm AS (SELECT o AS case_id, provider, i, run, action, CASE WHEN action IN ('attach', 'branch') THEN
       't' || (o % 7 + CASE WHEN o % 17 = 0 THEN i ELSE 0 END) END AS candidate_id,
     ((o * 7 + i * 13) % 41) / 100.0::DOUBLE + 0.6::DOUBLE AS confidence, CASE WHEN o % 50 = 0 THEN 'L1' ELSE 'L2' END AS maturity
@@ -153,7 +153,7 @@ ASSESS = """asm AS (SELECT o AS case_id, provider, i, run, action, CASE WHEN act
       opinion_confidence >= 0.80 THEN 'frontier_judge:' || opinion_provider ELSE 'user_clarification' END AS source
   FROM lk LEFT JOIN op ON op.case_id = lk.case_id""")
 def _(spark, sf):
-    a = drivers.assessments(spark, sf).filter("run = 1")
+    a = drivers.assessments(spark, sf)
     rank = a.select("provider").distinct().withColumn("rank", F.when(F.col("provider") == "verifier", 1).otherwise(2))
     first = linkage.first_available(a, rank, KEY).select(
         "case_id", F.col("action").alias("opinion"), F.col("confidence").alias("opinion_confidence"),
@@ -217,7 +217,7 @@ def safe_rows(spark, sf):
     pairs = drivers.candidate_pairs(spark, sf)
     tops = gates.top_two(pairs, KEY).select("case_id", F.col("top_candidate").alias("candidate_id"), "second_score")
     best = linkage.with_anchors(pairs.join(tops, ["case_id", "candidate_id"]))
-    a = drivers.assessments(spark, sf).filter("run = 1")
+    a = drivers.assessments(spark, sf)
     rank = a.select("provider").distinct().withColumn("rank", F.when(F.col("provider") == "verifier", 1).otherwise(2))
     op = linkage.first_available(a, rank, KEY).select(
         "case_id", F.col("action").alias("opinion"), F.col("confidence").alias("opinion_confidence"))
@@ -409,12 +409,20 @@ def _(spark, sf):
         F.max("score") >= 0.5, F.max_by("candidate_id", F.struct(F.col("score"), -F.col("created")))).alias("choice"))
 
 
-@SECTION.add("e6_pair_scoring", f"WITH {PAIRS} SELECT case_id, candidate_id, score FROM cp WHERE score >= 0.12")
+@SECTION.add("e6_pair_scoring", f"""WITH {PAIRS}, txt AS (SELECT case_id, candidate_id,
+    concat('Notice', ' OPS-' || it, ' customer acme' || ic, ' repo svc' || ir, CASE WHEN br THEN ' this revealed more work' END,
+      CASE WHEN co THEN ' still failing' END, CASE WHEN ba THEN ' it is back' END) AS incoming,
+    concat('goal ', cg, ' Handling', ' OPS-' || ct, ' customer acme' || cc, ' repo svc' || cr) AS candidate FROM cp),
+  s AS (SELECT case_id, candidate_id, list_distinct(regexp_extract_all(lower(incoming), '[a-z0-9]+')) AS x,
+    list_distinct(regexp_extract_all(lower(candidate), '[a-z0-9]+')) AS y FROM txt),
+  j AS (SELECT case_id, candidate_id, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE
+    len(list_intersect(x, y))::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y))) END, 6) AS overlap FROM s)
+  SELECT *, max(overlap) OVER (PARTITION BY case_id) >= 0.12 AS case_has_match FROM j""")
 def _(spark, sf):
     p = drivers.candidate_pairs(spark, sf)
-    events = p.groupBy("case_id").agg(F.max("incoming_text").alias("incoming_text"))
-    candidates = p.select("case_id", "candidate_id", "candidate_text", "score")
-    return events.join(candidates, "case_id").filter("score >= 0.12").select("case_id", "candidate_id", "score")
+    scored = p.select("case_id", "candidate_id", F.round(gates.word_overlap(F.col("incoming_text"), F.col("candidate_text")), 6).alias("overlap"))
+    top = scored.groupBy("case_id").agg((F.max("overlap") >= 0.12).alias("case_has_match"))
+    return scored.join(top, "case_id")
 
 
 @SECTION.add("e7_score_lookup", f"WITH {PAIRS} SELECT case_id, candidate_id, score FROM cp")

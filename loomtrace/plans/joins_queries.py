@@ -97,26 +97,37 @@ def _(spark, sf):
                                           (F.count("*") > 1).alias("false_merge_hint"))
 
 
-_COS = "list_dot_product(a.u, b.u)"
+# Every fifth vector is there a second time under another id and label, so that equal vectors occur.
+_PAIRS = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings UNION ALL
+    SELECT vec_id + 1000000000, label + 1, embedding::DOUBLE[] FROM embeddings WHERE vec_id % 5 = 0),
+  u AS (SELECT vec_id, label, list_transform(e, lambda x: x / (sqrt(list_dot_product(e, e)) + 1e-8)) AS u FROM v),
+  p AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, list_dot_product(a.u, b.u) AS s FROM u a JOIN u b ON a.vec_id < b.vec_id
+    AND a.label <> b.label WHERE list_dot_product(a.u, b.u) >= 0.88)"""
 
 
-@SECTION.add("e11_contrastive_pairs", f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
-  u AS (SELECT vec_id, label, list_transform(e, lambda x: x / (sqrt(list_dot_product(e, e)) + 1e-8)) AS u FROM v)
-  SELECT a.vec_id AS id_a, b.vec_id AS id_b, round({_COS}, 6) AS similarity FROM u a JOIN u b ON a.vec_id < b.vec_id
-    AND a.label <> b.label WHERE {_COS} >= 0.4""")
+def _vectors(spark, sf):
+    v = drivers.table(spark, sf, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"), F.col("label").cast("bigint").alias("label"), "embedding")
+    again = v.filter("id % 5 = 0").select((F.col("id") + 1000000000).alias("id"), (F.col("label") + 1).alias("label"), "embedding")
+    return v.union(again).select("id", F.col("label").cast("string").alias("trajectory_id"), "embedding")
+
+
+@SECTION.add("e11_contrastive_pairs", f"WITH {_PAIRS} SELECT id_a, id_b, round(s, 6) AS similarity FROM p")
+def _(spark, sf):
+    v = durable(_vectors(spark, sf))
+    return similarity.expanded_pairs(v, similarity.similar_pairs(v, 0.88)).withColumn("similarity", F.round("similarity", 6))
+
+
+@SECTION.add("e11_pair_groups", f"""WITH {_PAIRS}, r AS (SELECT vec_id, min(vec_id) OVER (PARTITION BY e) AS rep FROM v)
+  SELECT least(x.rep, y.rep) AS id_a, greatest(x.rep, y.rep) AS id_b, count(*) AS pairs FROM p JOIN r x ON x.vec_id = id_a JOIN r y ON y.vec_id = id_b
+  GROUP BY 1, 2""")
 def _(spark, sf):
-    v = drivers.table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("id"), F.col("label").cast("string").alias("trajectory_id"), "embedding")
-    pairs = similarity.similar_pairs(v, 0.4)
-    return pairs.filter("id_a <> id_b").select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
+    """Pairs of distinct vectors with the number of pairs of copies: what a giant group of copies is reported as."""
+    return similarity.similar_pairs(_vectors(spark, sf), 0.88).select("id_a", "id_b", "pairs")
 
 
-@SECTION.add("e11_contrastive_top_20", f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
-  u AS (SELECT vec_id, label, list_transform(e, lambda x: x / (sqrt(list_dot_product(e, e)) + 1e-8)) AS u FROM v)
-  SELECT a.vec_id AS id_a, b.vec_id AS id_b, round({_COS}, 6) AS similarity FROM u a JOIN u b ON a.vec_id < b.vec_id
-    AND a.label <> b.label WHERE {_COS} >= 0.4 ORDER BY {_COS} DESC LIMIT 20""")
+@SECTION.add("e11_contrastive_top_20", f"""WITH {_PAIRS} SELECT id_a, id_b, round(s, 6) AS similarity FROM p
+    ORDER BY round(s, 6) DESC, id_a, id_b LIMIT 20""")
 def _(spark, sf):
-    v = drivers.table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("id"), F.col("label").cast("string").alias("trajectory_id"), "embedding")
-    pairs = similarity.similar_pairs(v, 0.4).filter("id_a <> id_b")
-    return pairs.orderBy(F.desc("similarity"), "id_a", "id_b").limit(20).select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
+    v = durable(_vectors(spark, sf))
+    pairs = similarity.expanded_pairs(v, similarity.similar_pairs(v, 0.88)).withColumn("similarity", F.round("similarity", 6))
+    return pairs.orderBy(F.desc("similarity"), "id_a", "id_b").limit(20)

@@ -102,26 +102,26 @@ def _(spark, sf):
 
 @SECTION.add("g5_clarification_options", """WITH t AS (SELECT o_custkey, o_orderpriority AS tr, min(o_orderkey) AS created FROM orders GROUP BY 1, 2),
   r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY created, tr) AS n FROM t), e AS (SELECT o_orderkey AS event_id, o_custkey,
-    o_orderpriority AS tr FROM orders WHERE o_orderstatus = 'P')
-  SELECT event_id, 'attach' AS action, r.tr AS option_trajectory, n AS position FROM e JOIN r USING (o_custkey) WHERE n <= 3
-  UNION ALL SELECT event_id, 'new', NULL, 4 FROM e UNION ALL SELECT event_id, 'branch', tr, 5 FROM e""")
+    o_orderpriority AS tr FROM orders )
+  SELECT event_id, 'attach' AS action, r.tr AS option_trajectory, n AS position FROM e JOIN r USING (o_custkey) WHERE n <= 5
+  UNION ALL SELECT event_id, 'new', NULL, 6 FROM e UNION ALL SELECT event_id, 'branch', tr, 7 FROM e""")
 def _(spark, sf):
     o = drivers.table(spark, sf, "orders").select(
         F.lit("org").alias("organization_id"), F.lit("ws").alias("workspace_id"), F.col("o_custkey").alias("person_id"),
         F.col("o_orderkey").alias("event_id"), F.col("o_orderpriority").alias("trajectory_id"), "o_orderstatus")
     t = o.groupBy("organization_id", "workspace_id", "person_id", "trajectory_id").agg(F.min("event_id").alias("created")).withColumns(
         {"durable_goal": F.lit(""), "current_state": F.col("trajectory_id")})
-    return audit.clarification_options(o.filter("o_orderstatus = 'P'"), t, 3).select("event_id", "action", "option_trajectory", "position")
+    return audit.clarification_options(o, t).select("event_id", "action", "option_trajectory", "position")
 
 
-@SECTION.add("g6_first_transitions", """SELECT conv_id, turn, text FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS p
-    FROM conversations) WHERE role = 'user' AND turn >= 1 AND p IS NOT NULL ORDER BY conv_id, turn LIMIT 100""")
+@SECTION.add("g6_sampled_transitions", """SELECT conv_id, turn, text FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS p
+    FROM conversations) WHERE role = 'user' AND turn >= 1 AND p IS NOT NULL AND substr(sha256(conv_id || ':' || turn), 1, 2) < '40'""")
 def _(spark, sf):
     from loomtrace.operators import signals
     c = drivers.table(spark, sf, "conversations").select(F.col("conv_id").alias("trajectory_id"), "turn", "text", F.when(
         F.col("role") == "user", "human").otherwise(F.col("role")).alias("actor_type"))
     t = signals.transitions(c, "turn", F.floor(F.col("turn") / 1000))
-    return t.orderBy("trajectory_id", "turn").limit(100).select(F.col("trajectory_id").alias("conv_id"), "turn", "text")
+    return signals.sampled(t, F.concat_ws(":", "trajectory_id", "turn"), 0.25).select(F.col("trajectory_id").alias("conv_id"), "turn", "text")
 
 
 @SECTION.add("k11_derangement", """WITH h AS (SELECT doc_id, text, sha256(doc_id::VARCHAR) AS h FROM documents),

@@ -18,16 +18,10 @@ SURFACES = ["slack", "chat", "email"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores when a scan has fewer splits than there are cores (a small file of one row group).
-
-    On data with enough splits the scan is returned as it is, so no shuffle is added at scale.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    """A given table. A session of one machine may ask for a number of scan partitions, because a small file of one row group is one task."""
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    parts = spark.conf.get("spark.loomtrace.scan.partitions", None)
+    return scan.repartition(int(parts)) if parts else scan
 
 
 def pick(words: list[str], index: Column) -> Column:

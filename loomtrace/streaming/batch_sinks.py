@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from loomtrace.operators import ingest, signals
+from loomtrace.session import durable, release
 
 
 def _write(rows: DataFrame, root: str, table: str, batch_id: int) -> None:
@@ -49,7 +50,7 @@ class IngestSink:
     """
 
     IDS = "organization_id STRING, event_id STRING, payload_hash STRING"
-    LATEST = "organization_id STRING, occurred_at STRING"
+    LATEST = "organization_id STRING, latest TIMESTAMP"
 
     def __init__(self, root: str):
         self.root = root
@@ -57,7 +58,7 @@ class IngestSink:
     def __call__(self, payloads: DataFrame, batch_id: int) -> None:
         spark = payloads.sparkSession
         good, bad = ingest.normalize(payloads)
-        hashed = good.withColumn("payload_hash", ingest.payload_hash())
+        hashed = durable(good.withColumn("payload_hash", ingest.payload_hash()))  # read by every output below
         known = _earlier(spark, self.root, "ids", batch_id, self.IDS).withColumnRenamed("payload_hash", "known_hash")
         first = ingest.accepted_events(hashed)
         keys = ["organization_id", "event_id"]
@@ -66,15 +67,17 @@ class IngestSink:
             *keys, F.coalesce("known_hash", "payload_hash").alias("holder_hash"))
         conflicts = hashed.join(holder, keys).filter("payload_hash <> holder_hash")
         seen = _earlier(spark, self.root, "latest", batch_id, self.LATEST).groupBy("organization_id").agg(
-            F.max("occurred_at").alias("before"))
+            F.max("latest").alias("before"))
         flagged = ingest.late_flags(new).join(seen, "organization_id", "left").withColumn("late_event", F.col("late_event") | F.coalesce(
-            F.try_to_timestamp("occurred_at") < F.try_to_timestamp("before"), F.lit(False)))
+            F.try_to_timestamp("occurred_at") < F.col("before"), F.lit(False)))
         _write(flagged.drop("before", "history_disordered", "recompute_recommended"), self.root, "accepted", batch_id)
         _write(conflicts, self.root, "conflicts", batch_id)
         _write(bad, self.root, "rejected", batch_id)
         _write(new.select(*keys, "payload_hash"), self.root, "ids", batch_id)
         _write(new.filter("occurred_at is not null").groupBy("organization_id").agg(
-            F.max("occurred_at").alias("occurred_at")), self.root, "latest", batch_id)
+            F.max(F.try_to_timestamp("occurred_at")).alias("latest")), self.root, "latest", batch_id)
+
+        release(hashed)
 
     def read(self, spark, table: str) -> DataFrame:
         return spark.read.parquet(f"{self.root}/{table}")

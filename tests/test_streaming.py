@@ -33,6 +33,15 @@ def payload(org, eid, seq, message, at="2024-01-01T10:00:00"):
     return (org, eid, None, None, "u", "c", None, at, None, None, None, message, None, None, None, None, None, seq)
 
 
+def test_late_across_batches_and_zones(spark, tmp_path):
+    """10:00+05:00 is 05:00Z: the latest time so far is 06:00Z, so 05:30Z of the next batch is late."""
+    sink = IngestSink(str(tmp_path))
+    frame_ = lambda rows: spark.createDataFrame(rows, RAW_PAYLOAD)
+    sink(frame_([payload("a", "1", 1, "x", "2024-01-01T10:00:00+05:00"), payload("a", "2", 2, "y", "2024-01-01T06:00:00Z")]), 0)
+    sink(frame_([payload("a", "3", 3, "z", "2024-01-01T05:30:00Z")]), 1)
+    assert {r["event_id"]: r["late_event"] for r in sink.read(spark, "accepted").collect()}["3"] is True
+
+
 def test_ingest_sink(spark, tmp_path):
     sink = IngestSink(str(tmp_path))
     frame_ = lambda rows: spark.createDataFrame(rows, RAW_PAYLOAD)
