@@ -13,7 +13,7 @@ HEADLINE = [
     "c13_state", "c14_resolutions", "c21_late_events", "d1a_threads", "d3a_summary", "d5a_trajectory_analysis",
     "j2_conversation_continuity", "b10_redaction", "b14_anchor_extraction", "f1_idempotent_ingest", "e1_identity_resolution",
     "e5_anchor_rescue", "e11_contrastive_pairs", "h04_structured_linker", "h19_route_decision", "k3_candidate_metrics",
-    "k4_pairwise_clustering", "i2_routing_decisions", "h02_thread_assignment_fold",
+    "k4_pairwise_clustering", "i1_work_states", "i4_structural_signals",
 ]
 
 

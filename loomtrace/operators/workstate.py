@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from hashlib import sha256
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomtrace.functions.canonical import digest
 from loomtrace.functions.text import unique_ignoring_case
@@ -70,29 +72,54 @@ def _tagged(name: str, values: Column) -> Column:
     return F.transform(values, lambda v, i: F.struct(F.lit(name).alias("field"), i.alias("i"), v.alias("value")))
 
 
-def structural_signals(decisions: DataFrame, taxonomy: DataFrame | None = None) -> DataFrame:
-    """Nine deterministic L1 signals per decision, in long form, from the delta and the state counts."""
-    delta = F.col("state_delta")
-    changed = delta.isNotNull() & (delta != "{}")
-    was = F.from_json(F.get_json_object(delta, "$.fields.surfaces.from"), "array<string>")
-    now = F.from_json(F.get_json_object(delta, "$.fields.surfaces.to"), "array<string>")
-    grew = (F.size(F.array_distinct(was)) > 0) & (F.size(F.array_distinct(now)) > F.size(F.array_distinct(was)))
-    text = lambda c: F.coalesce(c, F.lit(False)).cast("string")
-    values = {
-        "trajectory_created": text(F.get_json_object(delta, "$.trajectory_created") == "true"),
-        "state_changed": text(changed),
-        "durable_goal_changed": text(F.get_json_object(delta, "$.fields.durable_goal").isNotNull()),
-        "structurally_inert": text(~changed),
-        "failure_count": F.coalesce("failure_count", F.lit(0)).cast("string"),
-        "attempt_count": F.coalesce("attempt_count", F.lit(0)).cast("string"),
-        "unresolved_question_count": F.coalesce("open_question_count", F.lit(0)).cast("string"),
-        "surface_count": F.coalesce("surface_count", F.lit(0)).cast("string"),
-        "cross_surface_continuation": text(grew),
-    }
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("signal"), v.alias("value")) for n, v in values.items()]))
-    out = decisions.select("organization_id", "event_id", "trajectory_id", rows.alias("s")).select(
-        "organization_id", "event_id", "trajectory_id", "s.signal", "s.value", F.lit("L1").alias("maturity"))
-    return out if taxonomy is None else out.join(taxonomy, "signal", "left")
+def structural_deltas(rows: DataFrame) -> DataFrame:
+    """What each assigned event changed in the state of its trajectory, in arrival order.
+
+    Goal, current state and distinct counts are running values; a field has changed where its value differs from the version before.
+    """
+    keys = ["organization_id", "trajectory_id"]
+    order = Window.partitionBy(*keys).orderBy("arrival", "event_id")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    new = _new_values(rows, "attempts", F.col("attempts")).join(_new_values(rows, "surfaces", F.array("surface_name")), [*keys, "event_id"], "full")
+    now = rows.join(new, [*keys, "event_id"], "left").select(
+        *keys, "event_id", "arrival", F.row_number().over(order).alias("version"),
+        F.first(F.when(F.col("goal") != "", F.col("goal")), ignorenulls=True).over(so_far).alias("durable_goal"),
+        F.last(F.when(F.col("problem") != "", F.col("problem")), ignorenulls=True).over(so_far).alias("current_state"),
+        *(F.sum(F.coalesce(f"new_{c}", F.lit(0))).over(so_far).alias(c) for c in ("attempts", "surfaces")))
+    changed = [F.when(~F.col(c).eqNullSafe(F.lag(c).over(order)), F.lit(c)) for c in ("durable_goal", "current_state", "attempts", "surfaces")]
+    before = F.coalesce(F.lag("surfaces").over(order), F.lit(0))
+    return now.select("*", before.alias("surfaces_before"), F.array_compact(F.array(*changed)).alias("changed"))
+
+
+def _new_values(rows: DataFrame, name: str, values: Column) -> DataFrame:
+    """Per event how many of its values its trajectory had not seen before."""
+    keys = ["organization_id", "trajectory_id"]
+    seen = rows.select(*keys, "arrival", "event_id", F.explode(F.array_distinct(values)).alias("value"))
+    first = seen.groupBy(*keys, "value").agg(F.min_by("event_id", F.struct("arrival", "event_id")).alias("event_id"))
+    return first.groupBy(*keys, "event_id").agg(F.count("*").alias(f"new_{name}"))
+
+
+TAXONOMY_VERSION, PRODUCER_VERSION = "1", "structural-1"
+SIGNALS = ("trajectory_created", "state_changed", "durable_goal_changed", "structurally_inert", "attempt_count", "surface_count",
+           "cross_surface_continuation")
+
+
+def taxonomy_digest() -> str:
+    return sha256(f"{TAXONOMY_VERSION}:{','.join(SIGNALS)}".encode()).hexdigest()
+
+
+def structural_signals(deltas: DataFrame) -> DataFrame:
+    """Deterministic L1 signals per delta, in long form, with the taxonomy they follow and the event they rest on."""
+    created = F.col("version") == 1
+    changed = F.size("changed") > 0
+    values = dict(zip(SIGNALS, (
+        created, changed, F.array_contains("changed", "durable_goal"), ~changed, F.col("attempts"), F.col("surfaces"),
+        ~created & (F.col("surfaces_before") > 0) & (F.col("surfaces") > F.col("surfaces_before"))), strict=True))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("signal"), v.cast("string").alias("value")) for n, v in values.items()])).alias("s")
+    return deltas.select("organization_id", "event_id", "trajectory_id", each).select(
+        "organization_id", "event_id", "trajectory_id", "s.signal", "s.value", F.lit("L1").alias("maturity"),
+        F.lit(TAXONOMY_VERSION).alias("taxonomy_version"), F.lit(taxonomy_digest()).alias("taxonomy_sha256"),
+        F.lit(PRODUCER_VERSION).alias("producer_version"), F.concat(F.lit("event:"), "event_id").alias("evidence"))
 
 
 def normalized(states: DataFrame) -> DataFrame:

@@ -1,67 +1,84 @@
-"""Sequential routing and what follows from its decisions.
-
-The fold has no plain SQL counterpart; tests compare it with a brute-force router on small fixtures. What is derived from
-given decisions has oracles where the input is a table.
-"""
+"""What follows from a stored log of routing decisions: states, deltas, signals, versions, reports."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomtrace.operators import audit, identity, routing, workstate
+from loomtrace.operators import audit, workstate
+from loomtrace.operators.evaluate import histogram, score_band
+from loomtrace.operators.gates import hybrid_gate
+from loomtrace.plans.oracle import BASE, words
 from loomtrace.plans.registry import Section
 from loomtrace.sources import drivers
-from loomtrace.session import durable
 
 SECTION = Section()
 
-
-def work_events(spark, sf):
-    e = drivers.org_events(spark, sf)
-    return routing.work_events(identity.resolve(e, drivers.identities(spark, sf)))
-
-
-def decisions(spark, sf):
-    """Work events and their decisions, both stored once: later steps read them several times."""
-    events = durable(work_events(spark, sf))
-    return events, durable(routing.route(events))
-
-
-@SECTION.add("i2_routing_decisions")
-def _(spark, sf):
-    d = routing.route(durable(work_events(spark, sf)))
-    return d.select("organization_id", "event_id", "decision", "trajectory_id", "parent_id", "confidence", "source",
-                    F.round("candidate_score", 6).alias("candidate_score"), F.round("second_score", 6).alias("second_score"),
-                    F.array_join(F.transform("rules", lambda r: r["rule"]), "|").alias("rules"))
-
-
-@SECTION.add("i1_work_states")
-def _(spark, sf):
-    events, d = decisions(spark, sf)
-    s = workstate.work_states(workstate.assigned(events, d))
+LOG = f"""{BASE}, lw AS (SELECT *, 'tr_' || user_id || '_' || (event_id // 50) AS work FROM b),
+  lf AS (SELECT work, min(event_id) AS first FROM lw WHERE k % 10 NOT IN (1, 2) GROUP BY 1),
+  dl AS (SELECT 'org_' || (user_id % 3) AS organization_id, 'u' || user_id AS person_id, 'ev_' || event_id AS event_id, event_id AS arrival,
+    CASE WHEN k % 10 = 2 THEN 'clarify' WHEN k % 10 = 1 THEN 'branch' WHEN event_id = first THEN 'new' ELSE 'attach' END AS decision,
+    CASE WHEN k % 10 = 1 THEN 'br_' || event_id ELSE work END AS trajectory_id, CASE WHEN k % 10 = 1 THEN work END AS parent_id,
+    (k % 31 + 70) / 100.0::DOUBLE AS confidence, ['rule', 'gate', 'judge'][k % 3 + 1] AS source, (k * 37 % 101) / 100.0::DOUBLE AS candidate_score,
+    CASE WHEN k % 4 <> 0 THEN (k * 37 % 101) / 100.0::DOUBLE / 2 END AS second_score, 'rule_' || (k % 4) AS rules,
+    {words(drivers.SURFACES)}[event_id % 3 + 1] AS surface, CASE WHEN k % 3 <> 0 THEN 'goal ' || (k % 5) ELSE '' END AS goal,
+    CASE WHEN k % 4 <> 0 THEN 'note ' || k ELSE '' END AS problem, CASE WHEN k % 6 = 0 THEN 'try ' || (event_id % 2) END AS attempt, k
+    FROM lw LEFT JOIN lf USING (work)), a AS (SELECT * FROM dl WHERE decision <> 'clarify')"""
+
+DELTAS = f"""{LOG}, fa AS (SELECT *, CASE WHEN attempt IS NOT NULL AND row_number() OVER (PARTITION BY trajectory_id, attempt ORDER BY arrival) = 1 THEN 1 ELSE 0 END AS na,
+    CASE WHEN row_number() OVER (PARTITION BY trajectory_id, surface ORDER BY arrival) = 1 THEN 1 ELSE 0 END AS ns FROM a),
+  nw AS (SELECT *, row_number() OVER o AS version, first_value(nullif(goal, '') IGNORE NULLS) OVER o AS durable_goal,
+    last_value(nullif(problem, '') IGNORE NULLS) OVER o AS current_state, sum(na) OVER o AS attempts, sum(ns) OVER o AS surfaces FROM fa
+    WINDOW o AS (PARTITION BY trajectory_id ORDER BY arrival ROWS UNBOUNDED PRECEDING)),
+  dt AS (SELECT *, coalesce(lag(surfaces) OVER w, 0) AS before, durable_goal IS DISTINCT FROM lag(durable_goal) OVER w AS cg,
+    current_state IS DISTINCT FROM lag(current_state) OVER w AS cs, attempts IS DISTINCT FROM lag(attempts) OVER w AS ca,
+    surfaces IS DISTINCT FROM lag(surfaces) OVER w AS cu FROM nw WINDOW w AS (PARTITION BY trajectory_id ORDER BY arrival))"""
+
+
+def assigned(spark, sf):
+    d = drivers.decision_log(spark, sf)
+    return workstate.assigned(d.drop("decision", "trajectory_id", "parent_id", "added_anchors"), d).withColumn("surface_name", F.element_at("surface", 1))
+
+
+@SECTION.add("i1_work_states", f"""WITH {LOG}, core AS (SELECT organization_id, trajectory_id, arg_min(person_id, arrival) AS person_id,
+    coalesce(arg_min(goal, arrival) FILTER (goal <> ''), '') AS durable_goal, coalesce(arg_max(problem, arrival) FILTER (problem <> ''), '') AS current_state,
+    count(*) AS version FROM a GROUP BY 1, 2),
+  su AS (SELECT trajectory_id, string_agg(surface, '|' ORDER BY f) AS surfaces FROM (SELECT trajectory_id, surface, min(arrival) AS f FROM a GROUP BY 1, 2) GROUP BY 1),
+  at AS (SELECT trajectory_id, string_agg(attempt, '|' ORDER BY f) AS attempts FROM (SELECT trajectory_id, attempt, min(arrival) AS f FROM a
+    WHERE attempt IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+  cl AS (SELECT trajectory_id, arrival::DOUBLE AS p, problem AS line FROM a WHERE problem <> '' UNION ALL
+    SELECT trajectory_id, arrival - 0.5, 'branched from ' || parent_id FROM a WHERE parent_id IS NOT NULL),
+  cx AS (SELECT trajectory_id, string_agg(line, '|' ORDER BY p) AS recent_context FROM (SELECT *, row_number() OVER (PARTITION BY trajectory_id ORDER BY p DESC) AS n
+    FROM cl) WHERE n <= 8 GROUP BY 1)
+  SELECT core.*, coalesce(surfaces, '') AS surfaces, coalesce(attempts, '') AS attempts, coalesce(recent_context, '') AS recent_context
+  FROM core LEFT JOIN su USING (trajectory_id) LEFT JOIN at USING (trajectory_id) LEFT JOIN cx USING (trajectory_id)""".replace(" at AS (", " tries AS (").replace("JOIN at USING", "JOIN tries USING"))
+def _(spark, sf):
+    s = workstate.work_states(assigned(spark, sf))
     return s.select("organization_id", "trajectory_id", "person_id", "durable_goal", "current_state", "version",
-                    F.array_join("surfaces", "|").alias("surfaces"), F.array_join("recent_context", "|").alias("recent_context"),
-                    F.size("anchors").alias("anchors"))
+                    *(F.array_join(c, "|").alias(c) for c in ("surfaces", "attempts", "recent_context")))
 
 
-@SECTION.add("i3_structural_deltas")
+@SECTION.add("i3_structural_deltas", f"""WITH {DELTAS} SELECT event_id, trajectory_id, version, version = 1 AS created,
+    concat_ws('|', CASE WHEN cg THEN 'durable_goal' END, CASE WHEN cs THEN 'current_state' END, CASE WHEN ca THEN 'attempts' END,
+    CASE WHEN cu THEN 'surfaces' END) AS changed FROM dt""")
 def _(spark, sf):
-    d = routing.route(durable(work_events(spark, sf)))
-    names = F.json_object_keys(F.get_json_object("state_delta", "$.fields"))
-    return d.select("organization_id", "event_id", "trajectory_id", F.coalesce(F.get_json_object(
-        "state_delta", "$.trajectory_created") == "true", F.lit(False)).alias("created"), F.coalesce(
-        F.array_join(F.sort_array(names), "|"), F.lit("")).alias("changed_fields"))
+    d = workstate.structural_deltas(assigned(spark, sf))
+    return d.select("event_id", "trajectory_id", "version", (F.col("version") == 1).alias("created"), F.array_join("changed", "|").alias("changed"))
 
 
-@SECTION.add("i4_structural_signals")
+@SECTION.add("i4_structural_signals", f"""WITH {DELTAS}, sg AS (SELECT organization_id, event_id, trajectory_id, unnest([
+    {{'signal': 'trajectory_created', 'value': (version = 1)::VARCHAR}}, {{'signal': 'state_changed', 'value': (cg OR cs OR ca OR cu)::VARCHAR}},
+    {{'signal': 'durable_goal_changed', 'value': cg::VARCHAR}}, {{'signal': 'structurally_inert', 'value': (NOT (cg OR cs OR ca OR cu))::VARCHAR}},
+    {{'signal': 'attempt_count', 'value': attempts::VARCHAR}}, {{'signal': 'surface_count', 'value': surfaces::VARCHAR}},
+    {{'signal': 'cross_surface_continuation', 'value': (version > 1 AND before > 0 AND surfaces > before)::VARCHAR}}]) AS s FROM dt)
+  SELECT organization_id, event_id, trajectory_id, s.signal AS signal, s.value AS value, 'L1' AS maturity, '{workstate.TAXONOMY_VERSION}' AS taxonomy_version,
+    '{workstate.taxonomy_digest()}' AS taxonomy_sha256, '{workstate.PRODUCER_VERSION}' AS producer_version, 'event:' || event_id AS evidence FROM sg""")
 def _(spark, sf):
-    return workstate.structural_signals(routing.route(durable(work_events(spark, sf))))
+    return workstate.structural_signals(workstate.structural_deltas(assigned(spark, sf)))
 
 
-@SECTION.add("i5_trajectory_versions")
+@SECTION.add("i5_trajectory_versions", f"WITH {LOG} SELECT organization_id, trajectory_id, count(*) AS version, max(arrival) AS last_arrival FROM a GROUP BY 1, 2")
 def _(spark, sf):
-    d = routing.route(durable(work_events(spark, sf))).filter("decision <> 'clarify'")
-    return d.groupBy("organization_id", "trajectory_id").agg(F.count("*").alias("version"), F.max("arrival").alias("last_arrival"))
+    return assigned(spark, sf).groupBy("organization_id", "trajectory_id").agg(F.count("*").alias("version"), F.max("arrival").alias("last_arrival"))
 
 
 @SECTION.add("i6_proposals", """SELECT o_orderkey AS event_id, CASE WHEN o_orderkey % 5 = 4 THEN 'rejected' WHEN o_orderkey % 5 = 3 THEN 'pending'
@@ -80,41 +97,35 @@ def _(spark, sf):
     return audit.resolve_proposals(audit.proposals(d, before), actions, after, fresh).select("event_id", "status")
 
 
-@SECTION.add("i8_instrumentation")
+@SECTION.add("i8_instrumentation", f"""WITH {LOG}, v AS (SELECT trajectory_id, count(*) AS n FROM a GROUP BY 1)
+  SELECT organization_id, event_id, 'v1' AS instrumentation_version, n AS trajectory_version, decision, source, confidence, candidate_score,
+    round(second_score, 6) AS second_score, round(candidate_score - second_score, 6) AS margin, rules FROM dl LEFT JOIN v USING (trajectory_id)""")
 def _(spark, sf):
-    _, d = decisions(spark, sf)
+    d = drivers.decision_log(spark, sf)
     versions = d.filter("decision <> 'clarify'").groupBy("organization_id", "trajectory_id").agg(F.count("*").alias("version"))
     out = audit.instrumentation(d.withColumn("margin", F.col("candidate_score") - F.col("second_score")), versions)
-    return out.withColumns({"rules": F.size("rules"), **{c: F.round(c, 6) for c in ("candidate_score", "second_score", "margin")}})
-
-
-@SECTION.add("i9_import_equals_live")
-def _(spark, sf):
-    """States of the fold over whole workspaces and over independent components: none may differ."""
-    events = durable(work_events(spark, sf))
-    whole = events.select("organization_id", "workspace_id", "person_id").distinct().withColumn("component", F.lit("all"))
-    left = workstate.work_states(workstate.assigned(events, durable(routing.route(events, whole))))
-    right = workstate.work_states(workstate.assigned(events, durable(routing.route(events))))
-    differences = workstate.set_difference(left, right).agg(F.count("*").alias("differing_states"))
-    return left.agg(F.count("*").alias("states")).join(F.broadcast(differences))  # one row each
-
-
-@SECTION.add("i11_gated_clarifications")
-def _(spark, sf):
-    """Clarified events decided by stored opinions behind the exact-anchor gate."""
-    from loomtrace.operators.gates import event_anchor_tokens, hybrid_gate
-    events, d = decisions(spark, sf)
-    clarified = d.filter("decision = 'clarify'").join(events.select("organization_id", "event_id", "problem"), ["organization_id", "event_id"])
-    key = F.xxhash64("event_id")
-    opinions = clarified.select(
-        "organization_id", "event_id", "trajectory_id", "problem", drivers.pick(["attach", "new", "abstain", "branch"], F.pmod(key, F.lit(4))).alias("action"),
-        ((F.pmod(key, F.lit(31)) + 70) / 100.0).alias("confidence"))
-    states = workstate.work_states(workstate.assigned(events, d)).select("organization_id", "trajectory_id", F.transform(
-        "anchors", lambda a: F.lower(a["value"])).alias("values"))
-    rows = opinions.join(states, ["organization_id", "trajectory_id"], "left").withColumns({
-        "candidate_id": F.when(F.col("action").isin("attach", "branch"), F.col("trajectory_id")), "candidate_known": F.col("values").isNotNull(),
-        "exact_anchor": F.arrays_overlap(event_anchor_tokens(F.col("problem")), "values")})
-    return hybrid_gate(rows).select("organization_id", "event_id", "gate_reason", "gated_action", "gated_candidate")
+    return out.withColumns({"rules": F.array_join("rules", "|"), **{c: F.round(c, 6) for c in ("second_score", "margin")}})
+
+
+@SECTION.add("i11_gated_clarifications", f"""WITH {LOG}, st AS (SELECT trajectory_id, arg_max(problem, arrival) FILTER (problem <> '') AS state FROM a GROUP BY 1),
+  op AS (SELECT event_id, ['attach', 'new', 'abstain', 'branch'][arrival % 4 + 1] AS action, (arrival % 31 + 70) / 100.0::DOUBLE AS c, trajectory_id, st.trajectory_id IS NOT NULL AS known,
+    coalesce(dl.problem = st.state, false) AS exact FROM dl LEFT JOIN st USING (trajectory_id) WHERE decision = 'clarify'),
+  g AS (SELECT *, CASE WHEN action = 'abstain' THEN 'model_abstained' WHEN action = 'new' THEN CASE WHEN c >= 0.80 THEN 'high_confidence_new' ELSE 'low_confidence_new' END
+    WHEN NOT known THEN 'candidate_missing' WHEN action = 'attach' THEN CASE WHEN exact AND c >= 0.75 THEN 'exact_anchor_support' ELSE 'attach_lacks_structural_support' END
+    ELSE CASE WHEN exact AND c >= 0.80 THEN 'branch_anchor_support' ELSE 'branch_lacks_structural_support' END END AS gate_reason FROM op)
+  SELECT event_id, gate_reason, CASE WHEN gate_reason IN ('high_confidence_new', 'exact_anchor_support', 'branch_anchor_support') THEN action ELSE 'clarify' END AS gated_action,
+    CASE WHEN gate_reason IN ('exact_anchor_support', 'branch_anchor_support') THEN trajectory_id END AS gated_candidate FROM g""".replace("st.trajectory_id IS NOT NULL", "st.has IS NOT NULL").replace(
+    "AS state FROM a GROUP BY 1)", "AS state, 1 AS has FROM a GROUP BY 1)"))
+def _(spark, sf):
+    """Clarified events decided by stored opinions; the candidate's current state being the event's own words is the exact anchor."""
+    d = drivers.decision_log(spark, sf)
+    states = d.filter("decision <> 'clarify'").groupBy("trajectory_id").agg(
+        F.max_by("problem", F.when(F.col("problem") != "", F.col("arrival"))).alias("state"), F.lit(True).alias("known"))
+    rows = d.filter("decision = 'clarify'").join(states, "trajectory_id", "left").select(
+        "event_id", drivers.pick(["attach", "new", "abstain", "branch"], F.col("arrival") % 4).alias("action"),
+        ((F.col("arrival") % 31 + 70) / 100.0).alias("confidence"), F.col("trajectory_id").alias("candidate_id"),
+        F.col("known").alias("candidate_known"), (F.col("problem") == F.col("state")).alias("exact_anchor"))
+    return hybrid_gate(rows).select("event_id", "gate_reason", "gated_action", "gated_candidate")
 
 
 @SECTION.add("h17_product_outcomes", """WITH p AS (SELECT l_orderkey AS t, CASE WHEN l_linenumber % 2 = 0 THEN 'note ' || (l_partkey % 3)
@@ -138,72 +149,23 @@ def _(spark, sf):
     return workstate.product_outcomes(states, p).select("trajectory_id", F.array_join("outcomes", "|").alias("outcomes"), "lifecycle", "current_state")
 
 
-@SECTION.add("d7a_decision_counts")
-def _(spark, sf):
-    """Decisions, clarifications by source and rule counts, with their share of all events."""
-    from loomtrace.operators.evaluate import histogram
-    d = routing.route(durable(work_events(spark, sf)))
-    flat = d.select("decision", F.when(F.col("decision") == "clarify", F.col("source")).alias("clarify_source"), F.array_join(
-        F.transform("rules", lambda r: r["rule"]), "|").alias("rules"))
-    return histogram(flat, {"decision": F.col("decision"), "clarify_source": F.col("clarify_source"), "rules": F.col("rules")})
-
-
-@SECTION.add("k16_clarification_diagnostics")
+@SECTION.add("d7a_decision_counts", f"""WITH {LOG}, x AS (SELECT unnest([{{'d': 'decision', 'v': decision}}, {{'d': 'clarify_source', 'v': CASE WHEN decision = 'clarify' THEN source ELSE 'none' END}},
+    {{'d': 'rules', 'v': rules}}]) AS x FROM dl) SELECT x.d AS dimension, x.v AS value, count(*) AS events FROM x GROUP BY 1, 2""")
 def _(spark, sf):
-    from loomtrace.operators.evaluate import histogram, score_band
-    d = routing.route(durable(work_events(spark, sf))).filter("decision = 'clarify'")
-    return histogram(d, {
-        "top_score": score_band(F.col("candidate_score")), "margin": score_band(F.col("candidate_score") - F.col("second_score")),
-        "top_linker": F.col("top_linker"), "top_anchor_relevant": F.col("top_anchor_relevant"), "candidate_count": F.col("candidate_count"),
-        "set_decision": F.col("set_decision"), "gate_decision": F.col("gate_decision")})
-
-
-@SECTION.add("k19_same_surface_control")
-def _(spark, sf):
-    """Pairwise clustering of routing against the user of each event, with real surfaces and with one constant surface."""
-    from loomtrace.operators.evaluate import pair_counts
-    e = drivers.org_events(spark, sf)
-    ids = drivers.identities(spark, sf)
-
-    def score(events, tag):
-        w = durable(routing.work_events(identity.resolve(events, ids)))
-        d = routing.route(w).filter("decision <> 'clarify'")
-        gold = e.select("organization_id", "event_id", "external_user_id")
-        rows = d.join(gold, ["organization_id", "event_id"])
-        return pair_counts(rows, "external_user_id", "trajectory_id").withColumn("condition", F.lit(tag))
+    """Decisions, clarifications by source and rule counts."""
+    d = drivers.decision_log(spark, sf)
+    return histogram(d, {"decision": F.col("decision"), "clarify_source": F.when(F.col("decision") == "clarify", F.col("source")),
+                         "rules": F.array_join("rules", "|")})
 
-    return score(e, "real_surfaces").unionByName(score(e.withColumn("surface", F.lit("one")), "one_surface"))
 
-
-def _untagged(spark, sf):
-    """Trace events without thread ids on three of four human messages."""
-    e = drivers.trace_events(spark, sf)
-    return e.withColumn("thread_id", F.when(F.col("seq") % 4 == 0, F.col("thread_id")))
-
-
-@SECTION.add("h01_thread_assignment_fold")
-def _(spark, sf):
-    from loomtrace.operators.thread_fold import assign_threads
-    return assign_threads(_untagged(spark, sf), "resolver").withColumn("score", F.round("score", 6)).drop("second_score")
-
-
-@SECTION.add("h02_thread_assignment_fold")
-def _(spark, sf):
-    from loomtrace.operators.thread_fold import assign_threads
-    return assign_threads(_untagged(spark, sf), "router").withColumns({c: F.round(c, 6) for c in ("score", "second_score")})
+def _band(c):
+    return f"CASE WHEN {c} IS NULL THEN 'missing' WHEN {c} < 0.12 THEN '<.12' WHEN {c} < 0.30 THEN '.12-.30' WHEN {c} < 0.50 THEN '.30-.50' WHEN {c} < 0.70 THEN '.50-.70' ELSE '>=.70' END"
 
 
-@SECTION.add("i10_snapshot_resume")
+@SECTION.add("k16_clarification_diagnostics", f"""WITH {LOG}, x AS (SELECT unnest([{{'d': 'top_score', 'v': {_band('candidate_score')}}},
+    {{'d': 'margin', 'v': {_band('(candidate_score - second_score)')}}}, {{'d': 'source', 'v': source}}]) AS x FROM dl WHERE decision = 'clarify')
+  SELECT x.d AS dimension, x.v AS value, count(*) AS events FROM x GROUP BY 1, 2""")
 def _(spark, sf):
-    """Decisions after a snapshot against those of the whole fold: none may differ."""
-    events = durable(work_events(spark, sf))
-    middle = events.agg(F.expr("max(arrival) div 2").alias("m"))
-    marked = durable(events.join(F.broadcast(middle)).withColumn("early", F.col("arrival") <= F.col("m")).drop("m"))
-    early = marked.filter("early").drop("early")
-    states = durable(workstate.work_states(workstate.assigned(early, durable(routing.route(early)))))
-    resumed = routing.route(marked.filter("not early").drop("early"), snapshot=states)
-    whole = routing.route(events).join(marked.filter("not early").select("organization_id", "event_id"), ["organization_id", "event_id"])
-    columns = ["organization_id", "event_id", "decision", "trajectory_id", "source"]
-    whole = durable(whole.select(columns))
-    missing = whole.exceptAll(resumed.select(columns)).agg(F.count("*").alias("differing_decisions"))
-    return whole.agg(F.count("*").alias("decisions")).join(F.broadcast(missing))  # one row each
+    d = drivers.decision_log(spark, sf).filter("decision = 'clarify'")
+    return histogram(d, {"top_score": score_band(F.col("candidate_score")), "margin": score_band(F.col("candidate_score") - F.col("second_score")),
+                         "source": F.col("source")})

@@ -214,3 +214,27 @@ def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("m1").alias("model"), "run", action.alias("action"), cid.alias("candidate_id"),
         ((o * 7 + i * 13) % 41 / 100.0 + 0.6).alias("confidence"),
         F.when(o % 50 == 0, "L1").otherwise("L2").alias("maturity"))
+
+
+def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as a stored log of routing decisions: a user's work within 50 event ids is one trajectory."""
+    e = events_with_k(spark, sf_dir)
+    k, uid, eid = F.col("k"), F.col("user_id"), F.col("event_id")
+    s = lambda c: c.cast("string")
+    work = F.concat(F.lit("tr_"), s(uid), F.lit("_"), s(F.floor(eid / 50)))
+    rows = e.select("k", "user_id", "event_id", work.alias("work"))
+    first = rows.filter("k % 10 NOT IN (1, 2)").groupBy("work").agg(F.min("event_id").alias("first"))
+    decision = F.when(k % 10 == 2, "clarify").when(k % 10 == 1, "branch").when(eid == F.col("first"), "new").otherwise("attach")
+    score = k * 37 % 101 / 100.0
+    return rows.join(first, "work", "left").select(
+        F.concat(F.lit("org_"), s(uid % 3)).alias("organization_id"), F.concat(F.lit("ws_"), s(uid % 2)).alias("workspace_id"),
+        F.concat(F.lit("u"), s(uid)).alias("person_id"), F.concat(F.lit("ev_"), s(eid)).alias("event_id"), eid.alias("arrival"),
+        decision.alias("decision"), F.when(k % 10 == 1, F.concat(F.lit("br_"), s(eid))).otherwise(F.col("work")).alias("trajectory_id"),
+        F.when(k % 10 == 1, F.col("work")).alias("parent_id"), ((k % 31 + 70) / 100.0).alias("confidence"),
+        pick(["rule", "gate", "judge"], k % 3).alias("source"), score.alias("candidate_score"), F.when(k % 4 != 0, score / 2).alias("second_score"),
+        F.array(F.concat(F.lit("rule_"), s(k % 4))).alias("rules"), F.array().cast("array<struct<type:string,value:string,strength:string>>").alias("added_anchors"),
+        pick(SURFACES, eid % 3).alias("surface"), F.concat(F.lit("c"), s(k % 3)).alias("conversation_id"),
+        F.when(k % 3 != 0, F.concat(F.lit("goal "), s(k % 5))).otherwise("").alias("goal"),
+        F.when(k % 4 != 0, F.concat(F.lit("note "), s(k))).otherwise("").alias("problem"),
+        F.when(k % 6 == 0, F.array(F.concat(F.lit("try "), s(eid % 2)))).otherwise(F.array().cast("array<string>")).alias("attempts"),
+        *(F.array().cast("array<string>").alias(c) for c in ("entities", "artifacts", "unresolved", "decisions", "outcomes")), "k")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomtrace.operators import similarity, thread_fold
+from loomtrace.operators import similarity
 from loomtrace.schemas import TRACE_EVENT
 from test_signals import row
 
@@ -92,38 +92,3 @@ def test_similar_pairs_with_copies(spark, block_rows):
             if rows[i][1] != rows[j][1] and sims[i, j] >= 0.88:
                 want[min(first[i], first[j]), max(first[i], first[j])] += 1
     assert {k: v[1] for k, v in got.items()} == dict(want)
-
-
-@pytest.mark.parametrize("policy", ["router", "resolver"])
-def test_thread_assignment_equals_plain_loop(spark, policy):
-    rng = random.Random(9)
-    words = ["login", "broken", "search", "index", "slow", "billing", "export", "team"]
-    rows = []
-    for i in range(50):
-        actor = rng.choice(["human", "human", "agent", "tool"])
-        rows.append(row("t", i, actor, text=" ".join(rng.choices(words, k=rng.randint(0, 5))), thread=rng.choice([None, None, None, "x"])))
-    got = {r["event_id"]: (r["thread_id"], r["decision"]) for r in thread_fold.assign_threads(spark.createDataFrame(rows, TRACE_EVENT), policy).collect()}
-    threads, want = {}, {}
-    for r in rows:
-        thread, actor, text = r[6], r[8], r[10]
-        if actor == "human":
-            decision = "explicit"
-            if thread is None:
-                docs = {t: [x for a, x in v if policy == "router" or a in ("human", "agent")] for t, v in threads.items()}
-                docs = {t: " ".join(v if policy == "router" else v[-10:]) for t, v in docs.items() if v}
-                decision = "new"
-                if docs:
-                    w = brute_weights([text, *docs.values()], similarity.STOP_WORDS)
-                    ranked = sorted(zip([dot(w[0], d) for d in w[1:]], docs), key=lambda x: -round(x[0], 12))
-                    top, second = ranked[0][0], ranked[1][0] if len(ranked) > 1 else 0.0
-                    if policy == "resolver":
-                        decision = "attach" if top >= 0.15 else "new"
-                    else:
-                        decision = "attach" if top >= 0.30 and top - second >= 0.08 else "suggest" if top >= 0.15 else "new"
-                    thread = ranked[0][1] if decision != "new" else None
-            if thread is None:
-                thread = got[r[2]][0] if decision == got[r[2]][1] else "?"
-            want[r[2]] = (thread, decision)
-        if thread is not None and text:
-            threads.setdefault(thread, []).append((actor, text))
-    assert got == want
