@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomtrace.operators import audit
 from loomtrace.plans.oracle import BASE, TRACE
 from loomtrace.plans.registry import Section
+from loomtrace.session import new_folder
 from loomtrace.sources import drivers, tables
 
 SECTION = Section()
@@ -19,13 +20,60 @@ def _(spark, sf):
         "event_id", "seq", "actor_type", "text", "tool_name")
 
 
+@SECTION.add("a2_append_events", "SELECT event_id, event_type, user_id FROM events")
+def _(spark, sf):
+    """Two appends to a log partitioned by type, read back whole."""
+    path, e = new_folder(spark), drivers.table(spark, sf, "events").select("event_id", "event_type", "user_id")
+    tables.append_events(e.filter("event_id % 2 = 0"), path, ["event_type"])
+    tables.append_events(e.filter("event_id % 2 = 1"), path, ["event_type"])
+    return spark.read.schema(e.schema).parquet(path).select("event_id", "event_type", "user_id")
+
+
 @SECTION.add("a3_json_lines", f"""WITH {BASE} SELECT event_id, event_type, round(value, 6) AS value, k FROM b""")
 def _(spark, sf):
-    lines = drivers.events_with_k(spark, sf).select(F.explode(F.array(
-        F.to_json(F.struct("event_id", "event_type", "value", "k")), F.lit("   "))).alias("line"))
-    schema = "event_id BIGINT, event_type STRING, value DOUBLE, k BIGINT"
-    parsed = lines.filter(F.trim("line") != "").select(F.from_json("line", schema).alias("r"))
-    return parsed.select("r.event_id", "r.event_type", F.round("r.value", 6).alias("value"), "r.k")
+    """A file of JSON lines with blank lines between them, read with a fixed schema."""
+    path = new_folder(spark)
+    drivers.events_with_k(spark, sf).select(F.explode(F.array(
+        F.to_json(F.struct("event_id", "event_type", "value", "k")), F.lit(""))).alias("line")).write.text(path)
+    lines = tables.read_jsonl(spark, path, "event_id BIGINT, event_type STRING, value DOUBLE, k BIGINT")
+    return lines.withColumn("value", F.round("value", 6))
+
+
+@SECTION.add("a5_append_jsonl", """SELECT event_id, event_type, sha256('{"event_id":' || event_id || ',"event_type":"' || event_type || '"}') AS record_id,
+    '2024-01-01' AS recorded_at FROM events""")
+def _(spark, sf):
+    path, e = new_folder(spark), drivers.table(spark, sf, "events").select(F.col("event_id").cast("bigint").alias("event_id"), "event_type")
+    tables.append_jsonl(e.filter("event_id % 2 = 0"), path, F.lit("2024-01-01"))
+    tables.append_jsonl(e.filter("event_id % 2 = 1"), path, F.lit("2024-01-01"))
+    return tables.read_jsonl(spark, path, "event_id BIGINT, event_type STRING, record_id STRING, recorded_at STRING")
+
+
+@SECTION.add("a6_snapshots", """SELECT o_custkey, count(*) AS now, count(*) FILTER (o_orderkey % 2 = 0) AS before FROM orders GROUP BY 1""")
+def _(spark, sf):
+    """Two versions of a snapshot, each read back, side by side."""
+    root, o = new_folder(spark), drivers.table(spark, sf, "orders")
+    tables.save_snapshot(o.filter("o_orderkey % 2 = 0").groupBy("o_custkey").agg(F.count("*").alias("before")), root, 1)
+    tables.save_snapshot(o.groupBy("o_custkey").agg(F.count("*").alias("now")), root, 2)
+    both = tables.load_snapshot(spark, root, 2).join(tables.load_snapshot(spark, root, 1), "o_custkey", "left")
+    return both.withColumn("before", F.coalesce("before", F.lit(0)).cast("bigint"))
+
+
+@SECTION.add("a7_audit_table", """SELECT o_orderkey AS event_id, o_orderdate::VARCHAR AS created_at, o_orderstatus AS decision FROM orders WHERE o_custkey % 3 = 1""")
+def _(spark, sf):
+    """An audit table of all organisations, read back for one of them."""
+    root = new_folder(spark)
+    rows = drivers.table(spark, sf, "orders").select(F.concat(F.lit("org_"), (F.col("o_custkey") % 3).cast("string")).alias("organization_id"),
+                                                     F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").cast("string").alias("created_at"),
+                                                     F.col("o_orderstatus").alias("decision"))
+    tables.append_audit(rows, root, "decisions")
+    return tables.read_audit(spark, root, "decisions", "org_1").select("event_id", "created_at", "decision")
+
+
+@SECTION.add("a9_feature_matrix", """SELECT label, count(*) AS n, sum(len(embedding)) AS numbers FROM embeddings GROUP BY 1""")
+def _(spark, sf):
+    path = new_folder(spark)
+    tables.save_features(drivers.table(spark, sf, "embeddings").select(F.col("embedding").alias("feature"), "label"), path)
+    return spark.read.parquet(path).groupBy("label").agg(F.count("*").alias("n"), F.sum(F.size("feature")).alias("numbers"))
 
 
 @SECTION.add("a4_benchmark_digests", """SELECT item_id, sha256(text) AS digest, sha256(text) = sha256(CASE WHEN item_id % 10 = 3

@@ -39,6 +39,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_folder(spark: SparkSession) -> str:
+    """An unused path in the shared folder, for what a query writes through a sink and reads back."""
+    return f"{shared_folder(spark)}/sinks/{uuid4().hex}"
+
+
 def durable(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
