@@ -19,18 +19,17 @@ def _clean(values: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(values, lambda v: F.lower(F.trim(v))), lambda v: v != ""))
 
 
-def _decide(df: DataFrame, rules: list[tuple[Column | None, str | Column, float, str]], prefix: str) -> DataFrame:
-    """First matching rule gives decision, confidence and reason."""
-    decision = confidence = reason = None
-    for cond, d, c, r in rules:
-        d = d if isinstance(d, Column) else F.lit(d)
-        if cond is None:
-            decision, confidence, reason = decision.otherwise(d), confidence.otherwise(F.lit(c)), reason.otherwise(F.lit(r))
-        elif decision is None:
-            decision, confidence, reason = F.when(cond, d), F.when(cond, F.lit(c)), F.when(cond, F.lit(r))
-        else:
-            decision, confidence, reason = decision.when(cond, d), confidence.when(cond, F.lit(c)), reason.when(cond, F.lit(r))
-    return df.withColumns({f"{prefix}decision": decision, f"{prefix}confidence": confidence, f"{prefix}reason": reason})
+def _decide(df: DataFrame, rules: list[tuple[Column | None, str | Column, float]], prefix: str) -> DataFrame:
+    """Decision and confidence of the first rule that matches, and its number in the list; the last rule has no condition."""
+    steps = {"decision": [d if isinstance(d, Column) else F.lit(d) for _, d, _ in rules], "confidence": [F.lit(c) for *_, c in rules],
+             "rule": [F.lit(i) for i in range(1, len(rules) + 1)]}
+    out = {}
+    for name, values in steps.items():
+        chosen = values[-1]
+        for (condition, *_), value in zip(reversed(rules[:-1]), reversed(values[:-1]), strict=True):
+            chosen = F.when(condition, value).otherwise(chosen)
+        out[prefix + name] = chosen
+    return df.withColumns(out)
 
 
 def hybrid(pairs: DataFrame, prefix: str = "") -> DataFrame:
@@ -42,14 +41,14 @@ def hybrid(pairs: DataFrame, prefix: str = "") -> DataFrame:
         "_cont": F.size(language.continuation_signals(F.col("incoming_text"))) > 0})
     score = F.col("score")
     out = _decide(read, [
-        (F.col("_contra"), "new", 0.99, "identity contradiction overrides semantic similarity"),
-        (F.col("_branch"), "branch", 0.90, "related work appears to start a distinct objective"),
-        (F.col("_cont") & F.col("unresolved"), "attach", 0.90, "continuation of unresolved work"),
-        (F.col("_cont"), "uncertain", 0.55, "continuation language without open state"),
-        (score >= 0.72, "attach", 0.80, "strong semantic relationship"),
-        (score >= 0.40, "uncertain", 0.50, "plausible semantic relationship"),
-        (score < 0.20, "new", 0.80, "weak semantic relationship"),
-        (None, "uncertain", 0.40, "insufficient evidence"),
+        (F.col("_contra"), "new", 0.99),
+        (F.col("_branch"), "branch", 0.90),
+        (F.col("_cont") & F.col("unresolved"), "attach", 0.90),
+        (F.col("_cont"), "uncertain", 0.55),
+        (score >= 0.72, "attach", 0.80),
+        (score >= 0.40, "uncertain", 0.50),
+        (score < 0.20, "new", 0.80),
+        (None, "uncertain", 0.40),
     ], prefix)
     return out.drop("_contra", "_branch", "_cont")
 
@@ -78,19 +77,19 @@ def structured(pairs: DataFrame, prefix: str = "linker_") -> DataFrame:
 
     live, score = F.col("lifecycle").isin(*LIVE), F.col("score")
     out = _decide(seen, [
-        (F.col("hard_new"), "new", 0.99, "different identity boundaries"),
-        (F.col("strong_attach"), "attach", 0.99, "same strong work identifier"),
-        (conflict("_ce", "_ie"), "new", 0.99, "structured entity identity conflicts"),
-        (conflict("_ca", "_ia"), "new", 0.99, "structured artifact identity conflicts"),
-        (F.col("_branch"), "branch", 0.90, "new objective derives from existing work"),
-        ((F.col("_cg") != "") & (F.col("_cg") == F.col("_ig")) & live, "attach", 0.95, "same durable goal on live work"),
-        (shared("_ce", "_ie") | shared("_ca", "_ia"), "uncertain", 0.55, "shared scope needs semantic reasoning"),
-        (F.col("_cont") & live, "attach", 0.90, "continuation signal against live work"),
-        (F.col("lifecycle") == "resolved", "uncertain", 0.50, "resolved work needs semantic reasoning"),
-        (score >= 0.72, "uncertain", 0.65, "strong semantic candidate without structural anchor"),
-        ((score < 0.20) & live, "uncertain", 0.45, "weak relationship to live work"),
-        (score < 0.20, "new", 0.80, "weak semantic relationship"),
-        (None, "uncertain", 0.40, "insufficient evidence"),
+        (F.col("hard_new"), "new", 0.99),
+        (F.col("strong_attach"), "attach", 0.99),
+        (conflict("_ce", "_ie"), "new", 0.99),
+        (conflict("_ca", "_ia"), "new", 0.99),
+        (F.col("_branch"), "branch", 0.90),
+        ((F.col("_cg") != "") & (F.col("_cg") == F.col("_ig")) & live, "attach", 0.95),
+        (shared("_ce", "_ie") | shared("_ca", "_ia"), "uncertain", 0.55),
+        (F.col("_cont") & live, "attach", 0.90),
+        (F.col("lifecycle") == "resolved", "uncertain", 0.50),
+        (score >= 0.72, "uncertain", 0.65),
+        ((score < 0.20) & live, "uncertain", 0.45),
+        (score < 0.20, "new", 0.80),
+        (None, "uncertain", 0.40),
     ], prefix)
     return out.withColumn("strong_identity", F.col("strong_attach")).drop(
         "_ce", "_ie", "_ca", "_ia", "_cg", "_ig", "_branch", "_cont")

@@ -271,8 +271,8 @@ def transitions(events: DataFrame, index: str, chunk: Column) -> DataFrame:
 def history_of(events: DataFrame, targets: DataFrame) -> DataFrame:
     """Strictly earlier events of each target's trajectory; ``local`` marks the target's own conversation.
 
-    ``targets`` holds one target event per trajectory (``trajectory_id``, ``target_id``, ``target_conversation``,
-    ``target_ts``), so the result has at most one row per event.
+    ``targets`` holds any set of target events (``trajectory_id``, ``target_id``, ``target_conversation``, ``target_ts``). The result
+    has a row per target and earlier event, so it is as long as the targets' histories together.
     """
     t = targets.select(TID, "target_id", "target_conversation", "target_ts")
     return events.join(t, TID).filter(F.col("ts") < F.col("target_ts")).select(

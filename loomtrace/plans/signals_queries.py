@@ -160,6 +160,20 @@ def _(spark, sf):
     return signals.history_of(e, targets).drop("ts")
 
 
+@SECTION.add("c18_history_of_targets", f"""WITH {TRACE}, t AS (SELECT trajectory_id, arg_max(event_id, (ts, seq)) AS target_id,
+    conversation_id AS target_conversation, max(ts) AS target_ts FROM te WHERE actor_type = 'human' GROUP BY trajectory_id, conversation_id)
+  SELECT trajectory_id, target_id, e.event_id, e.conversation_id = target_conversation AS local
+  FROM te e JOIN t USING (trajectory_id) WHERE e.ts < t.target_ts""")
+def _(spark, sf):
+    """The history of the last human message of every conversation."""
+    e = _events(spark, sf)
+    last = e.filter("actor_type = 'human'").groupBy("trajectory_id", "conversation_id").agg(
+        F.max_by(F.struct("event_id", "ts"), F.struct("ts", "seq")).alias("t"))
+    targets = last.select("trajectory_id", F.col("t.event_id").alias("target_id"),
+                          F.col("conversation_id").alias("target_conversation"), F.col("t.ts").alias("target_ts"))
+    return signals.history_of(e, targets).drop("ts")
+
+
 @SECTION.add("c19_transitions", """SELECT conv_id, turn, text, previous_text FROM (
     SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous_text FROM conversations)
   WHERE role = 'user' AND turn >= 1 AND previous_text IS NOT NULL""")
