@@ -194,5 +194,19 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return by_ids(docs, gone, "doc_id", "left_anti")
 
 
+_ORACLE = r"""
+WITH RECURSIVE d AS (SELECT DISTINCT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+e AS (SELECT doc_id, len(w) AS k, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM d),
+f AS (SELECT doc_id, k, i, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS dd, lead(a, 4) OVER o AS ee FROM e
+      WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT DISTINCT doc_id, concat_ws(' ', a, b, c, dd, ee) AS g FROM f WHERE ee IS NOT NULL OR k < 5 AND i = 1),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS x, y.doc_id AS y, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n m ON m.doc_id = x JOIN n o ON o.doc_id = y WHERE 100 * c >= 80 * (m.n + o.n - c)),
+both_ways AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT y, c FROM r JOIN both_ways ON x = r.doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, (SELECT min(c) FROM r WHERE r.doc_id = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)"""
+
 QUERIES = {"op2_ngram_jaccard": op2_ngram_jaccard}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_ngram_jaccard": _ORACLE}
