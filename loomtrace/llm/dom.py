@@ -11,6 +11,10 @@ import numpy as np
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre "
                    "figure figcaption header footer nav aside form fieldset address details summary dialog center hgroup menu search hr".split())
 SILENT = frozenset("script style noscript template textarea select option button svg math iframe object title head canvas audio video datalist".split())
+#: Silent elements that can hold one of their own kind.
+NESTED = frozenset("svg math object template video audio canvas".split())
+#: What can stand in a head; any other tag, or the body's, ends it.
+IN_HEAD = frozenset("head title meta link base script style noscript template object bgsound basefont".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
            "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
@@ -40,31 +44,73 @@ class Page:
         self._read(html or "")
 
     def _read(self, html: str) -> None:
+        """``silent`` is the element whose content is left out, ``inside`` the blocks begun in it. It ends at its own end tag or that of a
+        block around it; if only the page's end would end it, its content is read as if it had none of its tags.
+        """
         open_, links, block, at, silent, depth = [0], 0, 0, 0, "", 0
-        for m in _TOKEN.finditer(html):
-            if m.start() < at:
+        head, inside, begun, plain = False, [], 0, set()
+        while True:
+            m = _TOKEN.search(html, at)
+            last = m is None or m[1] == "/" and m[2].lower() in ("body", "html")
+            if silent and last and not (m and (m[2].lower() in inside)):
+                plain.add(silent)  # read again from its start tag; each name at most once
+                silent, at = "", begun
                 continue
-            if not silent and m.start() > at:
-                self.pieces.append((open_[-1], block, links > 0, html[at:m.start()]))
+            text = html[at:m.start() if m else len(html)]
+            if not silent and text and not (head and text.isspace()):
+                head = False  # a text cannot stand in a head
+                self.pieces.append((open_[-1], block, links > 0, text))
+            if m is None:
+                break
             at = m.end()
             tag = m[2].lower() if m[2] else ""
             if not tag:
                 continue
             closing = m[1] == "/"
+            if tag in ("script", "style", "title") and not closing and not (silent and tag == "title"):
+                end = re.compile(f"</{tag}", re.I).search(html, at)
+                if end or tag != "title":
+                    at = html.find(">", end.start()) + 1 if end else len(html)
+                    at = at or len(html)
+                else:
+                    at = max(html.find("<", at), at)  # a title without an end is what comes before the next tag
+                continue
             if silent:
-                depth += (tag == silent) * (-1 if closing else 1)
-                if depth <= 0:
+                if head and tag == ("head" if closing else "body"):
+                    silent = ""
+                elif tag == silent:
+                    depth += -1 if closing else tag in NESTED
+                    if depth <= 0:
+                        silent = ""
+                    continue
+                elif tag not in BLOCKS or tag in VOID:
+                    continue
+                elif not closing:
+                    inside.append(tag)
+                    continue
+                elif tag in inside:
+                    del inside[len(inside) - 1 - inside[::-1].index(tag):]
+                    continue
+                elif not any(self.tag[k] == tag for k in open_):
+                    continue
+                else:
                     silent = ""
+            if head:
+                if closing and tag not in ("body", "html") or tag == "html" and not closing:
+                    head = head and tag != "head"
+                    continue
+                if closing or tag not in IN_HEAD:
+                    head = False
+                elif tag not in SILENT:
+                    continue
+            if tag == "head":
+                head = not closing and len(open_) == 1
                 continue
             if tag in SILENT:
                 if not closing:
                     self.controls[open_[-1]] += tag in ("textarea", "select", "button")
-                    if tag in ("script", "style"):
-                        end = re.compile(f"</{tag}", re.I).search(html, at)
-                        at = html.find(">", end.start()) + 1 if end else len(html)
-                        at = at or len(html)
-                    elif not m[3].endswith("/"):
-                        silent, depth = tag, 1
+                    if not m[3].endswith("/") and tag not in plain:
+                        silent, depth, inside, begun = tag, 1, [], at
                 continue
             if tag == "body" and not closing and len(open_) > 1:
                 continue
@@ -97,8 +143,6 @@ class Page:
                 elif tag == "br" or tag == "hr":
                     block += tag == "hr"
                     self.pieces.append((open_[-1], block, links > 0, " "))
-        if not silent and at < len(html):
-            self.pieces.append((open_[-1], block, links > 0, html[at:]))
 
     def _add(self, tag: str, parent: int, attributes: str) -> None:
         found = _ATTRIBUTE.findall(attributes)
