@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = ["quality", "jaccard", "lines", "decontaminate", "packing", "toxicity", "secrets", "licenses", "revisits", "extraction",
-           "urls", "centroids"]
+           "urls", "tries", "centroids"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
