@@ -15,7 +15,7 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 class WordHashes(dict):
     """Hash of each word met so far; emptied when it has grown to ``most`` words."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
