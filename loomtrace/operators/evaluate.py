@@ -144,6 +144,16 @@ def modal(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame
                                      (F.count("*") == 1).alias("stable"))
 
 
+def modal_opinions(assessments: DataFrame, keys: list[str]) -> DataFrame:
+    """One opinion per case and provider over all its runs: the most frequent pair of action and candidate (the earliest seen wins ties), the
+    least ``confidence`` with which it was given, and ``stable`` where all runs agree."""
+    counts = assessments.groupBy(*keys, "provider", "action", "candidate_id").agg(
+        F.count("*").alias("n"), F.min("run").alias("first"), F.min("confidence").alias("confidence"))
+    opinion = F.struct("action", "candidate_id", "confidence")
+    best = counts.groupBy(*keys, "provider").agg(F.max_by(opinion, F.struct(F.col("n"), -F.col("first"))).alias("o"), (F.count("*") == 1).alias("stable"))
+    return best.select(*keys, "provider", "o.*", "stable")
+
+
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Wilson interval of k successes in n."""
     p = k / n

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomtrace.functions import language
+from loomtrace.operators.evaluate import modal_opinions
 from loomtrace.operators.ordered import top_rows
 
 OVERRIDE_MARGIN = 0.15
@@ -168,10 +169,10 @@ def route_cases(pairs: DataFrame, keys: list[str], texts: DataFrame, runtime: bo
 # ---- gates over stored model opinions -------------------------------------------------------------------------------
 
 def pair_up(assessments: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per case with the primary and the verifier opinion (the first run of each)."""
+    """One row per case with the opinions of the primary and the verifier, each over all its runs."""
     opinion = F.struct("action", "candidate_id", "confidence")
-    of = lambda who: F.min_by(opinion, F.when(F.col("provider") == who, F.col("run"))).alias(who)
-    return assessments.groupBy(*keys).agg(of("primary"), of("verifier"))
+    of = lambda who: F.max(F.when(F.col("provider") == who, opinion)).alias(who)
+    return modal_opinions(assessments, keys).groupBy(*keys).agg(of("primary"), of("verifier"))
 
 
 def consensus(p: DataFrame, min_confidence: float = 0.80) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtrace.operators import audit, evaluate, gates, linkage
-from loomtrace.plans.gates_queries import (ASSESS, GATED, LINKED, NEW_REASON, PAIRED, PAIRS, ROUTED, SAFE, gated_rows, paired,
+from loomtrace.plans.gates_queries import (ASSESS, GATED_MODAL, LINKED, MODAL, NEW_REASON, PAIRED, PAIRS, ROUTED, SAFE, gated_rows, paired,
                                            routed_cases, safe_rows)
 from loomtrace.plans.registry import Section
 from loomtrace.sources import drivers
@@ -156,64 +156,61 @@ def _(spark, sf):
         F.round(F.max("confidence") - F.min("confidence"), 6).alias("spread"), (F.count_distinct("action") == 1).alias("stable"))
 
 
-_MODAL = f"""{ASSESS}, mc AS (SELECT case_id, action, candidate_id, count(*) AS n, min(run) AS f FROM asm WHERE i = 0 GROUP BY 1, 2, 3),
-  mo AS (SELECT case_id, arg_max(action, (n, -f)) AS action, arg_max(coalesce(candidate_id, ''), (n, -f)) AS cand, count(*) = 1 AS stable FROM mc GROUP BY 1),
-  go AS (SELECT *, ['new', 'attach', 'branch', 'attach'][case_id % 4 + 1] AS gold, CASE WHEN case_id % 4 = 0 THEN '' ELSE 't' || (case_id % 7) END AS gcand,
-    {drivers.CATEGORIES!r}[case_id % 5 + 1] AS kind FROM mo)"""
+_MODAL = f"""{ASSESS}, {MODAL},
+  go AS (SELECT case_id, provider, action, coalesce(candidate_id, '') AS cand, confidence, stable, ['new', 'attach', 'branch', 'attach'][case_id % 4 + 1] AS gold,
+    CASE WHEN case_id % 4 = 0 THEN '' ELSE 't' || (case_id % 7) END AS gcand, {drivers.CATEGORIES!r}[case_id % 5 + 1] AS kind FROM mo),
+  gh AS (SELECT *, action = 'abstain' AS abstain, action <> 'abstain' AND action = gold AND cand = gcand AS hit FROM go)"""
 
 
 def _modal(spark, sf):
-    a = drivers.assessments(spark, sf).filter("provider = 'primary'").withColumn(
-        "pick", F.struct("action", F.coalesce("candidate_id", F.lit("")).alias("cand")))
-    key = F.col("case_id")
-    gold = F.struct(drivers.pick(["new", "attach", "branch", "attach"], key % 4).alias("action"),
-                    F.when(key % 4 == 0, "").otherwise(F.concat(F.lit("t"), (key % 7).cast("string"))).alias("cand"))
-    return evaluate.modal(a, ["case_id"], "pick", "run").withColumns({"gold": gold, "kind": drivers.pick(drivers.CATEGORIES, key % 5)})
+    """The opinion of every provider over all runs of a case, with what is right and whether it is."""
+    key, empty = F.col("case_id"), F.lit("")
+    rows = evaluate.modal_opinions(drivers.assessments(spark, sf), ["case_id"]).withColumns({
+        "gold": drivers.pick(["new", "attach", "branch", "attach"], key % 4), "kind": drivers.pick(drivers.CATEGORIES, key % 5),
+        "gold_candidate": F.when(key % 4 == 0, "").otherwise(F.concat(F.lit("t"), (key % 7).cast("string"))), "abstain": F.col("action") == "abstain"})
+    same = (F.col("action") == F.col("gold")) & (F.coalesce("candidate_id", empty) == F.col("gold_candidate"))
+    return rows.withColumn("hit", ~F.col("abstain") & same)
 
 
-_HIT = "action = gold AND cand = gcand"
+_RATES = f"""count(*) AS cases, count(*) FILTER (hit) AS correct, count(*) FILTER (NOT abstain AND NOT hit) AS wrong, count(*) FILTER (abstain) AS abstain,
+    {ratio('count(*) FILTER (hit)', 'count(*)')} AS accuracy, {ratio('count(*) FILTER (NOT abstain)', 'count(*)')} AS additional_coverage,
+    {ratio('count(*) FILTER (NOT abstain AND NOT hit)', 'count(*)')} AS false_route_rate, {ratio('count(*) FILTER (stable)', 'count(*)')} AS stable_rate"""
 
 
-@SECTION.add("k7_frontier_run", f"""WITH {_MODAL} SELECT count(*) AS cases, count(*) FILTER (action <> 'abstain' AND {_HIT}) AS correct,
-    count(*) FILTER (action <> 'abstain' AND NOT ({_HIT})) AS wrong, count(*) FILTER (action = 'abstain') AS abstain,
-    {ratio("count(*) FILTER (action <> 'abstain')", 'count(*)')} AS additional_coverage,
-    {ratio(f"count(*) FILTER (action <> 'abstain' AND NOT ({_HIT}))", 'count(*)')} AS false_route_rate, {ratio('count(*) FILTER (stable)', 'count(*)')} AS stable_rate FROM go""")
+def _rates(rows, *keys):
+    r = rows.groupBy(*keys).agg(F.count("*").alias("cases"), F.count_if("hit").alias("correct"), F.count_if(~F.col("abstain") & ~F.col("hit")).alias("wrong"),
+                                F.count_if("abstain").alias("abstain"), F.count_if("stable").alias("_s"))
+    share = lambda c: F.round(c / F.col("cases"), 6)
+    return r.withColumns({"accuracy": share(F.col("correct")), "additional_coverage": share(F.col("correct") + F.col("wrong")),
+                          "false_route_rate": share(F.col("wrong")), "stable_rate": share(F.col("_s"))}).drop("_s")
+
+
+@SECTION.add("k7_frontier_run", f"WITH {_MODAL} SELECT provider, {_RATES} FROM gh GROUP BY 1")
 def _(spark, sf):
-    m = _modal(spark, sf)
-    abstain, hit = F.col("modal.action") == "abstain", F.col("modal") == F.col("gold")
-    r = m.agg(F.count("*").alias("cases"), F.count_if(~abstain & hit).alias("correct"), F.count_if(~abstain & ~hit).alias("wrong"),
-              F.count_if(abstain).alias("abstain"), F.count_if("stable").alias("_s"))
-    n = F.col("cases")
-    return r.withColumns({"additional_coverage": F.round((F.col("correct") + F.col("wrong")) / n, 6), "false_route_rate": F.round(F.col("wrong") / n, 6),
-                          "stable_rate": F.round(F.col("_s") / n, 6)}).drop("_s")
-
-
-@SECTION.add("k7_confident_precision", f"""WITH {ASSESS}, g AS (SELECT *, ['new', 'attach', 'branch', 'attach'][case_id % 4 + 1] AS gold FROM asm WHERE run = 1)
-  SELECT provider, count(*) FILTER (confidence >= 0.80 AND action <> 'abstain') AS confident, {ratio("count(*) FILTER (confidence >= 0.80 AND action <> 'abstain' AND action = gold)",
-    "count(*) FILTER (confidence >= 0.80 AND action <> 'abstain')")} AS confident_precision FROM g GROUP BY 1""")
+    return _rates(_modal(spark, sf), "provider")
+
+
+@SECTION.add("k7_confident_precision", f"""WITH {_MODAL} SELECT provider, count(*) FILTER (confidence >= 0.80 AND NOT abstain) AS confident,
+    {ratio("count(*) FILTER (confidence >= 0.80 AND NOT abstain AND action = gold)", "count(*) FILTER (confidence >= 0.80 AND NOT abstain)")} AS confident_precision
+  FROM gh GROUP BY 1""")
 def _(spark, sf):
-    a = drivers.assessments(spark, sf).filter("run = 1")
-    sure = (F.col("confidence") >= 0.80) & (F.col("action") != "abstain")
-    gold = drivers.pick(["new", "attach", "branch", "attach"], F.col("case_id") % 4)
-    return a.groupBy("provider").agg(F.count_if(sure).alias("confident"), F.count_if(sure & (F.col("action") == gold)).alias("_c")).select(
+    sure = (F.col("confidence") >= 0.80) & ~F.col("abstain")
+    return _modal(spark, sf).groupBy("provider").agg(F.count_if(sure).alias("confident"), F.count_if(sure & (F.col("action") == F.col("gold"))).alias("_c")).select(
         "provider", "confident", F.round(F.col("_c") / F.col("confident"), 6).alias("confident_precision"))
 
 
-@SECTION.add("k18_gold_frontier_by_kind", f"""WITH {_MODAL} SELECT kind, count(*) AS cases, count(*) FILTER (action <> 'abstain' AND {_HIT}) AS correct,
-    {ratio(f"count(*) FILTER (action <> 'abstain' AND {_HIT})", 'count(*)')} AS accuracy FROM go GROUP BY 1""")
+@SECTION.add("k18_gold_frontier_by_kind", f"WITH {_MODAL} SELECT provider, kind, {_RATES} FROM gh GROUP BY 1, 2")
 def _(spark, sf):
-    good = (F.col("modal.action") != "abstain") & (F.col("modal") == F.col("gold"))
-    return _modal(spark, sf).groupBy("kind").agg(F.count("*").alias("cases"), F.count_if(good).alias("correct")).withColumn(
-        "accuracy", F.round(F.col("correct") / F.col("cases"), 6))
+    return _rates(_modal(spark, sf), "provider", "kind")
 
 
 @SECTION.add("k8_raw_vs_gated", f"""WITH {SAFE}, k AS (SELECT *, opinion = expected_decision AS raw_ok, ok AND opinion = expected_decision AS acc_ok,
-    ok AND opinion = 'attach' AND expected_decision <> 'attach' AS wrong FROM sg)
+    ok AND opinion = 'attach' AND expected_decision <> 'attach' AS wrong FROM sg WHERE pos = 1)
   SELECT category, count(*) AS cases, count(*) FILTER (raw_ok) AS raw_correct, count(*) FILTER (ok) AS accepted, count(*) FILTER (acc_ok) AS correct_accepted,
     count(*) FILTER (wrong) AS wrong_attach, {ratio('count(*) FILTER (acc_ok)', 'count(*) FILTER (ok)')} AS accepted_precision,
     {ratio('count(*) FILTER (acc_ok)', 'count(*)')} AS recovery_rate FROM k GROUP BY 1""")
 def _(spark, sf):
-    s, e = safe_rows(spark, sf), F.col("expected_decision")
+    s, e = safe_rows(spark, sf).filter("is_top"), F.col("expected_decision")
     good = F.col("safe_accepted") & (F.col("safe_decision") == e)
     r = s.groupBy("category").agg(
         F.count("*").alias("cases"), F.count_if(F.col("opinion") == e).alias("raw_correct"), F.count_if("safe_accepted").alias("accepted"),
@@ -297,20 +294,20 @@ def _(spark, sf):
     return cases.select("user_id", "event_id", "gold_action", "excluded_work", "gold_candidate")
 
 
-@SECTION.add("k17_gated_frontier", f"""WITH {GATED}, g AS (SELECT *, CASE WHEN ok THEN action ELSE 'clarify' END AS ga, CASE WHEN ok AND action <> 'new' THEN candidate_id END AS gc,
+@SECTION.add("k17_gated_frontier", f"""WITH {GATED_MODAL}, g AS (SELECT *, CASE WHEN ok THEN action ELSE 'clarify' END AS ga, CASE WHEN ok AND action <> 'new' THEN candidate_id END AS gc,
     ['new', 'attach', 'branch', 'abstain'][case_id % 4 + 1] AS gold, CASE WHEN case_id % 4 IN (1, 2) THEN 't' || (case_id % 7) END AS gcand,
-    {drivers.CATEGORIES!r}[case_id % 5 + 1] AS category FROM hgr WHERE run = 1 AND i = 0),
+    {drivers.CATEGORIES!r}[case_id % 5 + 1] AS category FROM hgr),
   h AS (SELECT *, CASE WHEN ga = 'clarify' THEN gold = 'abstain' ELSE ga = gold AND gc IS NOT DISTINCT FROM gcand END AS good FROM g)
-  SELECT category, count(*) AS cases, count(*) FILTER (good) AS correct, count(*) FILTER (NOT good AND ga <> 'clarify') AS wrong_committed,
+  SELECT provider, category, count(*) AS cases, count(*) FILTER (good) AS correct, count(*) FILTER (NOT good AND ga <> 'clarify') AS wrong_committed,
     count(*) FILTER (ga = 'clarify') AS clarify, round(count(*) FILTER (good) / count(*), 6) AS accuracy,
-    round(count(*) FILTER (NOT good AND ga <> 'clarify') / greatest(1, count(*) - count(*) FILTER (ga = 'clarify')), 6) AS committed_false_route_rate FROM h GROUP BY 1""")
+    round(count(*) FILTER (NOT good AND ga <> 'clarify') / greatest(1, count(*) - count(*) FILTER (ga = 'clarify')), 6) AS committed_false_route_rate FROM h GROUP BY 1, 2""")
 def _(spark, sf):
-    g, key = gated_rows(spark, sf).filter("run = 1 and provider = 'primary'"), F.col("case_id")
+    g, key = gated_rows(spark, sf, modal=True), F.col("case_id")
     gold = drivers.pick(["new", "attach", "branch", "abstain"], key % 4)
     gcand = F.when((key % 4).isin(1, 2), F.concat(F.lit("t"), (key % 7).cast("string")))
     clar = F.col("gated_action") == "clarify"
     good = F.when(clar, gold == "abstain").otherwise((F.col("gated_action") == gold) & F.col("gated_candidate").eqNullSafe(gcand))
-    r = g.groupBy(drivers.pick(drivers.CATEGORIES, key % 5).alias("category")).agg(
+    r = g.groupBy("provider", drivers.pick(drivers.CATEGORIES, key % 5).alias("category")).agg(
         F.count("*").alias("cases"), F.count_if(good).alias("correct"), F.count_if(~good & ~clar).alias("wrong_committed"), F.count_if(clar).alias("clarify"))
     return r.withColumns({
         "accuracy": F.round(F.col("correct") / F.col("cases"), 6),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomtrace.operators import audit, gates, linkage
+from loomtrace.operators import audit, evaluate, gates, linkage, ordered
 from loomtrace.plans.oracle import words
 from loomtrace.plans.registry import Section
 from loomtrace.sources import drivers
@@ -193,49 +193,57 @@ def _(spark, sf):
         "case_id", F.col("no_match_decision").alias("decision"), F.col("no_match_confidence").alias("confidence"))
 
 
-_SAFE = """sf AS (SELECT rk.case_id, candidate_id, score, second_score, category, expected_decision, opinion, opinion_confidence,
+_SAFE = """sf AS (SELECT rk.case_id, candidate_id, pos, score, second_score, category, expected_decision, opinion, opinion_confidence,
     CASE WHEN coalesce(opinion NOT IN ('attach', 'branch', 'new'), true) OR opinion_confidence < 0.80 THEN 'insufficient'
     WHEN hard_new AND opinion = 'new' THEN 'new_agrees_with_boundary' WHEN hard_new THEN 'conflicts_with_boundary'
     WHEN strong_attach AND opinion = 'attach' THEN 'confirmed_by_strong_anchor'
     WHEN strong_attach AND opinion = 'new' THEN 'conflicts_with_strong_anchor'
+    WHEN opinion = 'attach' AND pos > 1 THEN 'not_top_candidate'
     WHEN opinion = 'attach' AND ig = cg THEN 'exact_goal'
     WHEN opinion = 'attach' AND lifecycle = 'resolved' AND rk.ba AND score >= 0.20 AND score - coalesce(second_score, 0) >= 0.12
       THEN 'separated_recurrence'
     WHEN opinion = 'attach' AND score >= 0.20 AND score - coalesce(second_score, 0) >= 0.12 AND NOT scope_match
       THEN 'separated_top_candidate'
     WHEN opinion = 'attach' THEN 'attach_lacks_evidence'
-    WHEN opinion = 'branch' AND score >= 0.20 THEN 'plausible_branch_parent' WHEN opinion = 'branch' THEN
+    WHEN opinion = 'branch' AND pos = 1 AND score >= 0.20 THEN 'plausible_branch_parent' WHEN opinion = 'branch' THEN
       'branch_parent_implausible' ELSE 'no_contradicting_anchor' END AS reason
-  FROM rk JOIN (SELECT case_id, second_score FROM tops) t USING (case_id) JOIN op USING (case_id) WHERE pos = 1),
+  FROM rk JOIN (SELECT case_id, second_score FROM tops) t USING (case_id) JOIN op USING (case_id) WHERE pos <= 2),
   sg AS (SELECT *, reason IN ('new_agrees_with_boundary', 'confirmed_by_strong_anchor', 'exact_goal', 'separated_recurrence',
     'separated_top_candidate', 'plausible_branch_parent', 'no_contradicting_anchor') AS ok FROM sf)"""
 SAFE = f"{ROUTED}, {ASSESS}, {_OPINION}, {_SAFE}"
 
 
 def safe_rows(spark, sf):
-    """The best candidate of every case with the opinion of the first available provider, gated."""
+    """The two best candidates of every case with the opinion of the first available provider, gated. Only the best is the top one."""
     pairs = drivers.candidate_pairs(spark, sf)
-    tops = gates.top_two(pairs, KEY).select("case_id", F.col("top_candidate").alias("candidate_id"), "second_score")
-    best = linkage.with_anchors(pairs.join(tops, ["case_id", "candidate_id"]))
+    slim = pairs.select(*KEY, "candidate_id", "score", "created")
+    two = ordered.top_rows(slim, KEY, [F.desc("score"), F.col("created")], 2, "pos").select(*KEY, "candidate_id", "pos")
+    second = gates.top_two(pairs, KEY).select(*KEY, "second_score")
+    best = linkage.with_anchors(pairs.join(two, ["case_id", "candidate_id"]).join(second, KEY))
     a = drivers.assessments(spark, sf)
     rank = a.select("provider").distinct().withColumn("rank", F.when(F.col("provider") == "verifier", 1).otherwise(2))
     op = linkage.first_available(a, rank, KEY).select(
         "case_id", F.col("action").alias("opinion"), F.col("confidence").alias("opinion_confidence"))
     rows = linkage.compare_anchors(best, "candidate_anchors", "incoming_anchors").join(op, "case_id")
-    return gates.safety_gate(rows.withColumn("is_top", F.lit(True)))
+    return gates.safety_gate(rows.withColumn("is_top", F.col("pos") == 1))
 
 
-@SECTION.add("h10_semantic_safety_gate", f"""WITH {SAFE} SELECT case_id, reason AS safety_reason, ok AS safe_accepted,
+@SECTION.add("h10_semantic_safety_gate", f"""WITH {SAFE} SELECT case_id, candidate_id, reason AS safety_reason, ok AS safe_accepted,
     CASE WHEN ok THEN opinion ELSE 'uncertain' END AS safe_decision,
     CASE WHEN NOT (ok AND opinion = 'new') THEN candidate_id END AS safe_candidate FROM sg""")
 def _(spark, sf):
-    return safe_rows(spark, sf).select("case_id", "safety_reason", "safe_accepted", "safe_decision", "safe_candidate")
+    return safe_rows(spark, sf).select("case_id", "candidate_id", "safety_reason", "safe_accepted", "safe_decision", "safe_candidate")
 
 
-GATED = f"""{ASSESS}, li AS (SELECT DISTINCT l_orderkey AS case_id, 't' || (l_partkey % 7) AS candidate_id,
+#: The opinion of a provider over all runs of a case.
+MODAL = """mc AS (SELECT case_id, provider, i, action, candidate_id, count(*) AS n, min(run) AS f, min(confidence) AS confidence FROM asm GROUP BY ALL),
+  mo AS (SELECT case_id, provider, i, o.action, o.candidate_id, o.confidence, stable FROM (SELECT case_id, provider, i, count(*) = 1 AS stable,
+    arg_max(struct_pack(action := action, candidate_id := candidate_id, confidence := confidence), (n, -f)) AS o FROM mc GROUP BY 1, 2, 3))"""
+
+_GATED = """li AS (SELECT DISTINCT l_orderkey AS case_id, 't' || (l_partkey % 7) AS candidate_id,
     l_suppkey % 5 AS tick FROM lineitem),
   known AS (SELECT case_id, candidate_id, bool_or(tick = case_id % 5) AS exact FROM li GROUP BY 1, 2),
-  hg AS (SELECT a.*, k.case_id IS NOT NULL AS known, coalesce(k.exact, false) AS exact FROM asm a LEFT JOIN known k
+  hg AS (SELECT a.*, k.case_id IS NOT NULL AS known, coalesce(k.exact, false) AS exact FROM {table} a LEFT JOIN known k
     ON k.case_id = a.case_id AND k.candidate_id = a.candidate_id),
   hr AS (SELECT *, CASE action WHEN 'abstain' THEN 'model_abstained'
     WHEN 'new' THEN CASE WHEN confidence >= 0.80 THEN 'high_confidence_new' ELSE 'low_confidence_new' END
@@ -243,11 +251,13 @@ GATED = f"""{ASSESS}, li AS (SELECT DISTINCT l_orderkey AS case_id, 't' || (l_pa
       'exact_anchor_support' ELSE 'attach_lacks_structural_support' END WHEN exact AND confidence >= 0.80 THEN
       'branch_anchor_support' ELSE 'branch_lacks_structural_support' END END AS gate_reason FROM hg),
   hgr AS (SELECT *, gate_reason IN ('high_confidence_new', 'exact_anchor_support', 'branch_anchor_support') AS ok FROM hr)"""
+GATED = f"{ASSESS}, {_GATED.replace('{table}', 'asm')}"
+GATED_MODAL = f"{ASSESS}, {MODAL}, {_GATED.replace('{table}', 'mo')}"
 
 
-def gated_rows(spark, sf):
-    """Opinions with candidate and anchor support: candidates and their tickets come from the order's lines."""
-    a = drivers.assessments(spark, sf)
+def gated_rows(spark, sf, modal: bool = False):
+    """Opinions with candidate and anchor support, per run or over all runs: candidates and their tickets come from the order's lines."""
+    a = evaluate.modal_opinions(drivers.assessments(spark, sf), KEY) if modal else drivers.assessments(spark, sf)
     li = drivers.table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("case_id"), F.concat(F.lit("t"), (F.col("l_partkey") % 7).cast("string")).alias("candidate_id"),
         F.concat(F.lit("ops-"), (F.col("l_suppkey") % 5).cast("string")).alias("anchor"))
@@ -264,9 +274,9 @@ def _(spark, sf):
     return gated_rows(spark, sf).select("case_id", "provider", "run", "gate_reason", "accepted_model", "gated_action", "gated_candidate")
 
 
-PAIRED = f"""{ASSESS}, pa AS (SELECT case_id, max(action) FILTER (i = 0) AS pa, max(candidate_id) FILTER (i = 0) AS pc,
+PAIRED = f"""{ASSESS}, {MODAL}, pa AS (SELECT case_id, max(action) FILTER (i = 0) AS pa, max(candidate_id) FILTER (i = 0) AS pc,
     max(confidence) FILTER (i = 0) AS pf, max(action) FILTER (i = 1) AS va, max(candidate_id) FILTER (i = 1) AS vc,
-    max(confidence) FILTER (i = 1) AS vf FROM asm WHERE run = 1 GROUP BY 1)"""
+    max(confidence) FILTER (i = 1) AS vf FROM mo GROUP BY 1)"""
 
 
 def paired(spark, sf):
@@ -322,14 +332,14 @@ def _(spark, sf):
     return gates.attach_recovery(p, "want").select("case_id", "reason", "accepted")
 
 
-@SECTION.add("h15_cached_recovery", f"""WITH {ASSESS}, j AS (SELECT case_id, action, confidence FROM asm WHERE i = 0 AND run = 1),
-  c AS (SELECT case_id, action, confidence FROM asm WHERE i = 1 AND run = 1 AND case_id % 3 = 0)
+@SECTION.add("h15_cached_recovery", f"""WITH {ASSESS}, {MODAL}, j AS (SELECT case_id, action, confidence FROM mo WHERE i = 0),
+  c AS (SELECT case_id, action, confidence FROM mo WHERE i = 1 AND case_id % 3 = 0)
   SELECT o_orderkey AS case_id, CASE WHEN c.action IS NOT NULL THEN c.action WHEN j.action IN ('attach', 'branch', 'new') AND
     j.confidence >= 0.80 THEN j.action ELSE 'uncertain' END AS decision, coalesce(c.confidence, j.confidence, 0.0) AS confidence,
     CASE WHEN c.action IS NOT NULL THEN 'cache' WHEN j.action IS NOT NULL THEN 'judge' ELSE 'none' END AS origin
   FROM orders LEFT JOIN j ON j.case_id = o_orderkey LEFT JOIN c ON c.case_id = o_orderkey""")
 def _(spark, sf):
-    a = drivers.assessments(spark, sf).filter("run = 1").withColumn("decision", F.col("action"))
+    a = evaluate.modal_opinions(drivers.assessments(spark, sf), KEY).withColumn("decision", F.col("action"))
     cases = drivers.table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"))
     return gates.cached_recovery(cases, a.filter("provider = 'verifier' and case_id % 3 = 0"),
                                  a.filter("provider = 'primary'"), "case_id")

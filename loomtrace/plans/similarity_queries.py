@@ -71,10 +71,10 @@ def _(spark, sf):
     return _neighbours(spark, sf).select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
 
 
-@SECTION.add("h21_embedding_baseline", f"""SELECT a.vec_id, CASE WHEN list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.05
+@SECTION.add("h21_embedding_baseline", f"""SELECT a.vec_id, CASE WHEN list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.55
     THEN 'attach' ELSE 'new' END AS decision {_VEC}""")
 def _(spark, sf):
-    return _neighbours(spark, sf).select("vec_id", F.when(vectors.cosine(F.col("embedding"), F.col("other")) >= 0.05, "attach").otherwise(
+    return _neighbours(spark, sf).select("vec_id", F.when(vectors.cosine(F.col("embedding"), F.col("other")) >= 0.55, "attach").otherwise(
         "new").alias("decision"))
 
 
