@@ -139,14 +139,16 @@ def pair_tfidf(pairs: DataFrame, key: str, left: str, right: str, stop: list[str
     return pairs.join(sums, key, "left").select(pairs["*"], F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, pivot_count: int = 16, block_rows: int = 2000) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, pivot_count: int | None = None, block_rows: int = 2000, most_pivots: int = 4096) -> DataFrame:
     """All pairs of distinct vectors with cosine >= threshold, exact.
 
     ``vectors``: ``id``, ``trajectory_id``, ``embedding``. Equal vectors are collapsed first, so a large group of copies
     is one row with counts and not a square of pairs. The rest is cut into cells around pivots: a vector is copied to
     each cell that may hold a partner (triangle inequality on angles), cells are cut into blocks of bounded size, and
     each task compares two blocks. Returns ``id_a, id_b, similarity, pairs`` where ``pairs`` counts the pairs of copies
-    that belong to different trajectories; pairs of equal vectors appear with ``id_a = id_b``.
+    that belong to different trajectories; pairs of equal vectors appear with ``id_a = id_b`` if their cosine reaches the
+    threshold, which that of zero vectors, 0, does only where it is not positive. By default there are as many pivots as the square root
+    of the number of distinct vectors, at most ``most_pivots``, so that cells stay small as the data grows.
     """
     members = durable(vectors.groupBy("embedding", "trajectory_id").agg(F.min("id").alias("id"), F.count("*").alias("n")))
     distinct = durable(members.groupBy("embedding").agg(
@@ -155,6 +157,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, pivot_count: int = 16, b
         "rep", "trajectory_id", "n")
     radius = math.acos(threshold)
 
+    pivot_count = pivot_count or min(most_pivots, max(16, math.isqrt(distinct.count())))
     chosen = distinct.orderBy(F.xxhash64("id"), "id").limit(pivot_count).select("embedding").collect()
     if not chosen:
         return vectors.sparkSession.createDataFrame([], "id_a BIGINT, id_b BIGINT, similarity DOUBLE, pairs BIGINT")
@@ -200,9 +203,11 @@ def similar_pairs(vectors: DataFrame, threshold: float, pivot_count: int = 16, b
     between = sized.join(shared, ["id_a", "id_b"], "left").select(
         "id_a", "id_b", "similarity",
         (F.col("copies_a") * F.col("copies_b") - F.coalesce("same", F.lit(0))).cast("long").alias("pairs"))
-    equal = distinct.select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity"),
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
+    own = (norm / (norm + 1e-8)) ** 2  # of the same unit vectors as above, so a zero vector is not similar to itself
+    equal = distinct.select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), own.alias("similarity"),
                             ((F.col("copies") * F.col("copies") - F.col("squares")) / 2).cast("long").alias("pairs"))
-    return between.unionByName(equal).filter("pairs > 0")
+    return between.unionByName(equal.filter(F.col("similarity") >= threshold)).filter("pairs > 0")
 
 
 def expanded_pairs(vectors: DataFrame, pairs: DataFrame) -> DataFrame:

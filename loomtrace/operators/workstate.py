@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields
 from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -29,36 +30,72 @@ def assigned(events: DataFrame, decisions: DataFrame) -> DataFrame:
     return events.withColumns(lists).join(d, ["organization_id", "event_id"])
 
 
-def work_states(rows: DataFrame) -> DataFrame:
-    """Current state of every trajectory from its assigned events; no fold is needed once the assignment is known.
+STATE_KEYS = ["organization_id", "trajectory_id"]
+#: Lines of context that a state shows.
+CONTEXT = 8
 
-    Distinct values are reduced to their first position before they are gathered, and only the last eight problems of a
-    trajectory reach the aggregation of its context.
-    """
-    keys = ["organization_id", "trajectory_id"]
+
+@dataclass(frozen=True)
+class StateSummary:
+    """What the state of every trajectory follows from, in a form that merges: first and last values with their positions, the first
+    position of each listed value, the anchors added by each event, and the last lines of context. Summaries of two parts of a log
+    merge into that of the whole, in either order."""
+
+    core: DataFrame
+    values: DataFrame
+    anchors: DataFrame
+    context: DataFrame
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
+
+def summarized(rows: DataFrame) -> StateSummary:
+    """The summary of assigned events. Distinct values are reduced to their first position before anything is gathered."""
     at = F.col("arrival")
-    core = rows.groupBy(*keys).agg(
-        F.min_by("workspace_id", at).alias("workspace_id"), F.min_by("person_id", at).alias("person_id"),
-        F.min_by("goal", F.when(F.col("goal") != "", at)).alias("durable_goal"),
-        F.max_by("problem", F.when(F.col("problem") != "", at)).alias("current_state"),
+    placed = lambda c: F.struct(at.alias("at"), F.col(c).alias("value"))
+    core = rows.groupBy(*STATE_KEYS).agg(
+        F.min(placed("workspace_id")).alias("workspace"), F.min(placed("person_id")).alias("person"),
+        F.min(F.when(F.col("goal") != "", placed("goal"))).alias("goal"), F.max(F.when(F.col("problem") != "", placed("problem"))).alias("problem"),
         F.min("arrival").alias("created"), F.count("*").alias("version"))
-    exploded = rows.select(*keys, "arrival", F.explode(F.flatten(F.array(*[
+    values = rows.select(*STATE_KEYS, "arrival", F.explode(F.flatten(F.array(*[
         _tagged(name, F.col(column)) for name, column in STATE_LISTS.items()]))).alias("x")).select(
-        *keys, "arrival", "x.field", "x.i", "x.value").filter("value <> ''")
-    firsts = exploded.groupBy(*keys, "field", "value").agg(F.min(F.struct("arrival", "i")).alias("pos"))
-    listed = firsts.groupBy(*keys).agg(*[
+        *STATE_KEYS, "x.field", "x.value", F.struct("arrival", "x.i").alias("pos")).filter("value <> ''")
+    values = values.groupBy(*STATE_KEYS, "field", "value").agg(F.min("pos").alias("pos"))
+    anchors = rows.filter(F.size("added_anchors") > 0).select(*STATE_KEYS, "arrival", "added_anchors")
+    said = rows.filter("problem <> ''").select(*STATE_KEYS, at.cast("double").alias("arrival"), F.col("problem").alias("line"))
+    origin = rows.filter("parent_id is not null").select(
+        *STATE_KEYS, (at - 0.5).cast("double").alias("arrival"), F.concat(F.lit("branched from "), F.col("parent_id")).alias("line"))
+    return StateSummary(core, values, anchors, _last_lines(said.unionByName(origin)))
+
+
+def _last_lines(lines: DataFrame) -> DataFrame:
+    return top_rows(lines, STATE_KEYS, [F.desc("arrival")], CONTEXT).drop("rank")
+
+
+def merged(old: StateSummary, new: StateSummary) -> StateSummary:
+    """The summary of both parts. ``old`` may be a stored snapshot: of the events behind it nothing is read."""
+    core = old.core.unionByName(new.core).groupBy(*STATE_KEYS).agg(
+        F.min("workspace").alias("workspace"), F.min("person").alias("person"), F.min("goal").alias("goal"), F.max("problem").alias("problem"),
+        F.min("created").alias("created"), F.sum("version").cast("bigint").alias("version"))
+    values = old.values.unionByName(new.values).groupBy(*STATE_KEYS, "field", "value").agg(F.min("pos").alias("pos"))
+    return StateSummary(core, values, old.anchors.unionByName(new.anchors), _last_lines(old.context.unionByName(new.context)))
+
+
+def states_of(summary: StateSummary) -> DataFrame:
+    """The current state of every trajectory of a summary."""
+    core = summary.core.select(
+        *STATE_KEYS, F.col("workspace.value").alias("workspace_id"), F.col("person.value").alias("person_id"),
+        F.col("goal.value").alias("durable_goal"), F.col("problem.value").alias("current_state"), "created", "version")
+    listed = summary.values.groupBy(*STATE_KEYS).agg(*[
         F.transform(F.sort_array(F.collect_list(F.when(F.col("field") == name, F.struct("pos", "value")))),
                     lambda s: s["value"]).alias(name) for name in STATE_LISTS])
-    added = rows.filter(F.size("added_anchors") > 0).groupBy(*keys).agg(F.flatten(F.transform(
+    added = summary.anchors.groupBy(*STATE_KEYS).agg(F.flatten(F.transform(
         F.sort_array(F.collect_list(F.struct("arrival", "added_anchors"))), lambda s: s["added_anchors"])).alias("anchors"))
-    said = rows.filter("problem <> ''").select(*keys, "arrival", F.col("problem").alias("line"))
-    origin = rows.filter("parent_id is not null").select(
-        *keys, (at - 0.5).alias("arrival"), F.concat(F.lit("branched from "), F.col("parent_id")).alias("line"))
-    context = top_rows(said.select(*keys, at.cast("double").alias("arrival"), "line").unionByName(
-        origin.select(*keys, F.col("arrival").cast("double"), "line")), keys, [F.desc("arrival")], 8).groupBy(*keys).agg(
+    context = summary.context.groupBy(*STATE_KEYS).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("arrival", "line"))), lambda s: s["line"]).alias("recent_context"))
     empty = F.array().cast("array<string>")
-    state = core.join(listed, keys, "left").join(added, keys, "left").join(context, keys, "left")
+    state = core.join(listed, STATE_KEYS, "left").join(added, STATE_KEYS, "left").join(context, STATE_KEYS, "left")
     return state.withColumns({
         "durable_goal": F.coalesce("durable_goal", F.lit("")), "current_state": F.coalesce("current_state", F.lit("")),
         "lifecycle": F.lit("active"), "resolved_questions": empty, "failures": empty,
@@ -68,6 +105,11 @@ def work_states(rows: DataFrame) -> DataFrame:
     })
 
 
+def work_states(rows: DataFrame) -> DataFrame:
+    """Current state of every trajectory from its assigned events; no fold is needed once the assignment is known."""
+    return states_of(summarized(rows))
+
+
 def _tagged(name: str, values: Column) -> Column:
     return F.transform(values, lambda v, i: F.struct(F.lit(name).alias("field"), i.alias("i"), v.alias("value")))
 

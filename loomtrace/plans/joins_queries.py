@@ -97,9 +97,10 @@ def _(spark, sf):
                                           (F.count("*") > 1).alias("false_merge_hint"))
 
 
-# Every fifth vector is there a second time under another id and label, so that equal vectors occur.
+# Every fifth vector is there a second time under another id and label, so that equal vectors occur; of every fiftieth there is a zero vector.
 _PAIRS = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings UNION ALL
-    SELECT vec_id + 1000000000, label + 1, embedding::DOUBLE[] FROM embeddings WHERE vec_id % 5 = 0),
+    SELECT vec_id + 1000000000, label + 1, embedding::DOUBLE[] FROM embeddings WHERE vec_id % 5 = 0 UNION ALL
+    SELECT vec_id + 2000000000, label, list_transform(embedding, lambda x: 0.0::DOUBLE) FROM embeddings WHERE vec_id % 50 = 0),
   u AS (SELECT vec_id, label, list_transform(e, lambda x: x / (sqrt(list_dot_product(e, e)) + 1e-8)) AS u FROM v),
   p AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, list_dot_product(a.u, b.u) AS s FROM u a JOIN u b ON a.vec_id < b.vec_id
     AND a.label <> b.label WHERE list_dot_product(a.u, b.u) >= 0.88)"""
@@ -108,7 +109,8 @@ _PAIRS = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
 def _vectors(spark, sf):
     v = drivers.table(spark, sf, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"), F.col("label").cast("bigint").alias("label"), "embedding")
     again = v.filter("id % 5 = 0").select((F.col("id") + 1000000000).alias("id"), (F.col("label") + 1).alias("label"), "embedding")
-    return v.union(again).select("id", F.col("label").cast("string").alias("trajectory_id"), "embedding")
+    zero = v.filter("id % 50 = 0").select((F.col("id") + 2000000000).alias("id"), "label", F.transform("embedding", lambda x: (x * 0).cast("float")).alias("embedding"))
+    return v.union(again).union(zero).select("id", F.col("label").cast("string").alias("trajectory_id"), "embedding")
 
 
 @SECTION.add("e11_contrastive_pairs", f"WITH {_PAIRS} SELECT id_a, id_b, round(s, 6) AS similarity FROM p")

@@ -9,7 +9,9 @@ from loomtrace.operators.evaluate import histogram, score_band
 from loomtrace.operators.gates import hybrid_gate
 from loomtrace.plans.oracle import BASE, words
 from loomtrace.plans.registry import Section
+from loomtrace.session import new_folder
 from loomtrace.sources import drivers
+from loomtrace.sources.tables import Snapshots
 
 SECTION = Section()
 
@@ -52,9 +54,36 @@ def assigned(spark, sf):
   SELECT core.*, coalesce(surfaces, '') AS surfaces, coalesce(attempts, '') AS attempts, coalesce(recent_context, '') AS recent_context
   FROM core LEFT JOIN su USING (trajectory_id) LEFT JOIN at USING (trajectory_id) LEFT JOIN cx USING (trajectory_id)""".replace(" at AS (", " tries AS (").replace("JOIN at USING", "JOIN tries USING"))
 def _(spark, sf):
-    s = workstate.work_states(assigned(spark, sf))
-    return s.select("organization_id", "trajectory_id", "person_id", "durable_goal", "current_state", "version",
-                    *(F.array_join(c, "|").alias(c) for c in ("surfaces", "attempts", "recent_context")))
+    return _shown(workstate.work_states(assigned(spark, sf)))
+
+
+def _shown(states):
+    return states.select("organization_id", "trajectory_id", "person_id", "durable_goal", "current_state", "version",
+                         *(F.array_join(c, "|").alias(c) for c in ("surfaces", "attempts", "recent_context")))
+
+
+@SECTION.add("i1_snapshot_and_later_log", SECTION["i1_work_states"].oracle)
+def _(spark, sf):
+    """Three parts of the log: each is merged into the stored summary of what came before, of which only the snapshot is read."""
+    rows, store = assigned(spark, sf), Snapshots(spark, new_folder(spark))
+    borders = rows.stat.approxQuantile("arrival", [1 / 3, 2 / 3], 0.001)
+    for low, high in zip([None, *borders], [*borders, None]):
+        part = rows.filter((F.lit(True) if low is None else F.col("arrival") > low) & (F.lit(True) if high is None else F.col("arrival") <= high))
+        new = workstate.summarized(part)
+        if store.latest():
+            new = workstate.merged(workstate.StateSummary(**{n: store.read(n) for n in new.tables()}), new)
+        store.save(new.tables())
+    return _shown(workstate.states_of(workstate.StateSummary(**{n: store.read(n) for n in new.tables()})))
+
+
+@SECTION.add("a6_latest_committed_states", SECTION["i1_work_states"].oracle)
+def _(spark, sf):
+    """Work states with their anchors saved, replaced, and read back; a third version that never got its manifest is not seen."""
+    rows, store = assigned(spark, sf), Snapshots(spark, new_folder(spark))
+    store.save({"states": workstate.work_states(rows.filter("arrival % 2 = 0"))})
+    store.save({"states": workstate.work_states(rows)})
+    store.write({"states": workstate.work_states(rows.filter("arrival % 3 = 0"))})
+    return _shown(store.read("states"))
 
 
 @SECTION.add("i3_structural_deltas", f"""WITH {DELTAS} SELECT event_id, trajectory_id, version, version = 1 AS created,

@@ -29,6 +29,22 @@ def _(spark, sf):
     return spark.read.schema(e.schema).parquet(path).select("event_id", "event_type", "user_id")
 
 
+@SECTION.add("a2_refused_appends", """SELECT event_id, event_type, CASE WHEN event_id % 3 = 0 THEN 'first' ELSE 'second' END AS part,
+    2 AS refused FROM events WHERE event_id % 3 < 2""")
+def _(spark, sf):
+    """Two appends of new events are taken; one that repeats an event of the log, and one that holds an event twice, are refused whole."""
+    path, e = new_folder(spark), drivers.table(spark, sf, "events").select("event_id", "event_type")
+    third, refused = F.col("event_id") % 3, 0
+    tables.append_new(e.filter(third == 0).withColumn("part", F.lit("first")), path, ["event_id"])
+    tables.append_new(e.filter(third == 1).withColumn("part", F.lit("second")), path, ["event_id"])
+    for rows in (e.filter((third == 2) | (F.col("event_id") % 30 == 0)), e.filter(third == 2).union(e.filter("event_id % 30 = 2"))):
+        try:
+            tables.append_new(rows.withColumn("part", F.lit("third")), path, ["event_id"])
+        except tables.DuplicateRows:
+            refused += 1
+    return spark.read.parquet(path).select("event_id", "event_type", "part", F.lit(refused).alias("refused"))
+
+
 @SECTION.add("a3_json_lines", f"""WITH {BASE} SELECT event_id, event_type, round(value, 6) AS value, k FROM b""")
 def _(spark, sf):
     """A file of JSON lines with blank lines between them, read with a fixed schema."""

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from loomtrace.session import durable, release
+
 AUDIT_ORDER = {  # read order per audit table
     "decisions": ["created_at", "event_id"], "corrections": ["created_at", "correction_id"],
     "signals": ["created_at", "signal_id"], "proposals": ["created_at", "proposal_id"],
@@ -24,6 +29,85 @@ def append_events(events: DataFrame, path: str, partition_by: list[str] | None =
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+class DuplicateRows(ValueError):
+    """An append that holds keys twice, or keys that the table has already."""
+
+
+def append_new(rows: DataFrame, path: str, key: list[str], buckets: int = 64) -> None:
+    """Append rows with new keys; any key that is there already, or twice among the rows, refuses the whole append.
+
+    The table is partitioned by a hash of the key, and only the partitions that the rows fall into are compared (of the key columns), so a
+    small append does not read a large log. One writer at a time.
+    """
+    spark = rows.sparkSession
+    new = durable(rows.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")))
+    counts = new.groupBy("bucket", *key).count()
+    twice = counts.filter("count > 1").count()
+    known = 0
+    if exists(spark, path):
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+        there = spark.read.schema(new.schema).parquet(path).filter(F.col("bucket").isin(touched)).select("bucket", *key)
+        known = there.join(counts, ["bucket", *key], "left_semi").count()
+    if twice or known:
+        release(new)
+        raise DuplicateRows(f"{twice} keys occur twice and {known} are in the table already")
+    new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+    release(new)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+class Snapshots:
+    """Versions of a set of tables. A version counts once its manifest is there, which is written last and never over another.
+
+    Readers take the latest committed version; what a failed or unfinished writer left has no manifest and is not seen. Two writers of one
+    version cannot both commit where the file system refuses to create a file twice.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        folder = self.path(f"{self.root}/manifests")
+        if not self.fs.exists(folder):
+            return []
+        return sorted(int(f.getPath().getName().split(".")[0]) for f in self.fs.listStatus(folder) if f.getPath().getName().endswith(".json"))
+
+    def latest(self) -> int | None:
+        return max(self.versions(), default=None)
+
+    def write(self, tables: dict[str, DataFrame]) -> dict:
+        """Write the tables into a folder of their own and give the manifest that would commit them."""
+        folder = f"{self.root}/data/{uuid4().hex}"
+        for name, table in tables.items():
+            table.write.parquet(f"{folder}/{name}")
+        return {"folder": folder, "tables": {n: t.schema.json() for n, t in tables.items()}}
+
+    def commit(self, manifest: dict, version: int) -> int:
+        """Make the tables of ``manifest`` version ``version``; fails if that version is committed already."""
+        stream = self.fs.create(self.path(f"{self.root}/manifests/{version:09d}.json"), False)
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
+        return version
+
+    def save(self, tables: dict[str, DataFrame]) -> int:
+        return self.commit(self.write(tables), (self.latest() or 0) + 1)
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        """A table of the latest committed version, or of ``version``."""
+        version = self.latest() if version is None else version
+        if version not in self.versions():
+            raise LookupError(f"no committed version {version}")
+        file = self.spark.read.text(f"{self.root}/manifests/{version:09d}.json", wholetext=True).first()[0]
+        manifest = json.loads(file)
+        return self.spark.read.schema(StructType.fromJson(json.loads(manifest["tables"][name]))).parquet(f"{manifest['folder']}/{name}")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """JSON lines with a fixed schema; blank lines are skipped by the reader."""
     return spark.read.schema(schema).json(path)
