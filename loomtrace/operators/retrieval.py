@@ -27,13 +27,39 @@ def _signature(anchors: Column, strength: str) -> Column:
     return F.sort_array(F.array_distinct(F.transform(own, value)))
 
 
+#: Events with more strong anchors than this are matched with the signatures that share one, in place of listing the subsets.
+MOST_KEYS = 6
+
+
+def _signed_subsets(wanted: DataFrame) -> DataFrame:
+    """``wanted`` with a row for each non-empty ``subset`` of ``strong`` and its ``sign`` in the sum."""
+    masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), MOST_KEYS) - 1)
+    rows = wanted.select("*", F.explode(masks).alias("mask")).filter(F.expr("mask < shiftleft(1, size(strong))"))
+    subset = F.expr("filter(strong, (x, i) -> (shiftright(mask, i) & 1) = 1)")
+    return rows.withColumn("subset", subset).withColumn("sign", F.when(F.size("subset") % 2 == 1, 1).otherwise(-1)).drop("mask")
+
+
+def _containing(wanted: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """``subset, t_boundary, n``: of each asked subset the trajectories that have all its anchors, per set of boundary types."""
+    single = other.groupBy(*keys, F.array("key").alias("subset"), "t_boundary").agg(F.sum("n").alias("n"))
+    more = _signed_subsets(wanted.filter(F.size("strong") <= MOST_KEYS)).filter(F.size("subset") > 1).select(*keys, "subset").distinct()
+    often = other.groupBy(*keys, "key").agg(F.count("*").alias("often"))
+    # A subset with an anchor that no trajectory has is contained in none.
+    rarest = more.select("*", F.explode("subset").alias("key")).join(often, [*keys, "key"]).groupBy(*keys, "subset").agg(
+        F.min_by("key", "often").alias("key"), F.count("*").alias("found")).filter(F.col("found") == F.size("subset"))
+    both = rarest.join(other, [*keys, "key"]).filter(F.size(F.array_except("subset", "t_strong")) == 0)
+    return single.unionByName(both.groupBy(*keys, "subset", "t_boundary").agg(F.sum("n").alias("n")))
+
+
 def rescue_counts(events: DataFrame, trajectories: DataFrame) -> DataFrame:
     """Per event the number of other persons' trajectories of its workspace that its anchors recall.
 
     A trajectory is recalled by a boundary type on both sides or by a shared strong anchor. Pairs are never listed. Boundary
     recall only depends on the sets of boundary types, of which a workspace has at most eight, so it is a sum of counts per
-    set. Strong recall matches distinct strong-anchor signatures with counts, so copies cost one row; signatures the boundary
-    types recall already are left out.
+    set. Strong recall is the number of trajectories with any of an event's strong anchors: by inclusion and exclusion, the signed sum
+    over the subsets of its anchors of the trajectories that have all of a subset. A single anchor's number is a plain count, so N events
+    and trajectories that share one ticket cost N rows; larger subsets look at the trajectories with their rarest anchor. Trajectories that
+    the boundary types recall already are left out.
     """
     person = [*SCOPE, "person_id"]
 
@@ -51,15 +77,15 @@ def rescue_counts(events: DataFrame, trajectories: DataFrame) -> DataFrame:
         return wanted.join(sets, keys).filter(overlap).groupBy(*keys, "boundary").agg(F.sum("n").alias(name))
 
     def by_strong(keys: list[str], name: str) -> DataFrame:
-        def exploded(rows: DataFrame) -> DataFrame:
-            return rows.select("*", F.explode("strong").alias("key"))
-        sets = theirs.groupBy(*keys, "strong", "boundary").agg(F.sum("n").alias("n"))
+        sets = theirs.groupBy(*keys, "strong", "boundary").agg(F.sum("n").alias("n")).withColumnsRenamed({"boundary": "t_boundary", "strong": "t_strong"})
+        other = sets.select("*", F.explode("t_strong").alias("key"))
         wanted = asked.filter(F.size("strong") > 0).select(*keys, "strong", "boundary").distinct()
-        renamed = sets.withColumnsRenamed({"boundary": "t_boundary", "strong": "t_strong"})
-        other = exploded(sets).select(*keys, "key", F.col("strong").alias("t_strong"), F.col("boundary").alias("t_boundary"))
-        matched = exploded(wanted).join(other, [*keys, "key"]).filter(~overlap).select(
-            *keys, "strong", "boundary", "t_strong", "t_boundary").distinct()
-        return matched.join(renamed, [*keys, "t_strong", "t_boundary"]).groupBy(*keys, "strong", "boundary").agg(F.sum("n").alias(name))
+        large = wanted.filter(F.size("strong") > MOST_KEYS)
+        matched = large.select("*", F.explode("strong").alias("key")).join(other, [*keys, "key"]).filter(~overlap).select(
+            *keys, "strong", "boundary", "t_strong", "t_boundary", "n").distinct()
+        signed = _signed_subsets(wanted.filter(F.size("strong") <= MOST_KEYS)).join(_containing(wanted, other, keys), [*keys, "subset"]).filter(~overlap)
+        return signed.select(*keys, "strong", "boundary", (F.col("n") * F.col("sign")).alias("n")).union(
+            matched.select(*keys, "strong", "boundary", "n")).groupBy(*keys, "strong", "boundary").agg(F.sum("n").alias(name))
 
     rows = asked
     for keys, tag in ((SCOPE, "all"), (person, "own")):

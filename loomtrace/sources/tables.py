@@ -125,10 +125,16 @@ def read_json_array(spark: SparkSession, path: str, schema: str | StructType) ->
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def verify_digests(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
-    """SHA-256 of the bytes of each file joined with the expected digest (``file``, ``sha256``)."""
+def verify_digests(spark: SparkSession, path: str, expected: DataFrame, name: int = -1, end: int = 0) -> DataFrame:
+    """SHA-256 of the bytes of each file joined with the expected digest (``file``, ``sha256``).
+
+    ``name`` is the part of the path that names the file (-1: the last; a folder ``key=value`` is named by its value); ``end`` bytes at the
+    end of a file, such as a line separator, are left out.
+    """
+    part = F.element_at(F.split("path", "/"), name)
+    content = F.substring(F.col("content"), F.lit(1), F.length("content") - end) if end else F.col("content")
     files = spark.read.format("binaryFile").load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("actual"))
+        F.regexp_replace(part, "^[^=]+=", "").alias("file"), F.sha2(content, 256).alias("actual"))
     return files.join(expected, "file", "left").withColumn("match", F.coalesce(F.col("actual") == F.col("sha256"), F.lit(False)))
 
 
