@@ -2,44 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def order_statistics(df: DataFrame, value: str, low: float, high: float, cells: int = 1024, levels: int = 4) -> DataFrame:
-    """Minimum, upper median (element n // 2 of the sorted values) and maximum of values in ``[low, high]``.
+def order_statistics(df: DataFrame, value: str, error: float = 1e-4, cells: int = 1024) -> DataFrame:
+    """Minimum, upper median (element n // 2 of the sorted values) and maximum; nulls and NaN are left out.
 
-    No global sort: a pass counts the values per cell (at most ``cells`` rows reach the driver), finds the cell that holds
-    the wanted rank and goes on inside it, until the cell is small. Only the distinct values of that cell are ranked.
+    A quantile sketch of rank error ``error`` brackets the median; one more pass counts what lies below the bracket and the values inside
+    it, cut into ``cells`` of which only the totals are added up in order. Nothing is sorted as a whole, and the median is exact.
     """
-    placed = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    base, width, rest = low, (high - low) / cells, None
-    inside = placed
-    for _ in range(levels):
-        cell = F.greatest(F.lit(0), F.least(F.floor((F.col("v") - base) / width), F.lit(cells - 1))).cast("int")
-        numbered = inside.withColumn("cell", cell)
-        counts = sorted((r["cell"], r["count"]) for r in numbered.groupBy("cell").count().collect())
-        if rest is None:
-            rest = sum(n for _, n in counts) // 2
-        hit = None
-        for hit, n in counts:
-            if n > rest:
-                break
-            rest -= n
-        if hit is None:
-            break
-        inside = numbered.filter(F.col("cell") == hit).select("v")
-        base, width = base + hit * width, width / cells
-        if n <= 10_000:
-            break
-    ranked = inside.groupBy("v").agg(F.count("*").alias("n")).groupBy().agg(
-        F.sort_array(F.collect_list(F.struct("v", "n"))).alias("vs"))
-    walk = F.aggregate(
-        "vs", F.struct(F.lit(rest or 0).cast("long").alias("rest"), F.lit(None).cast("double").alias("at")),
-        lambda s, c: F.when(s["at"].isNotNull(), s).when(
-            c["n"] > s["rest"], F.struct(s["rest"].alias("rest"), c["v"].alias("at"))).otherwise(
-            F.struct((s["rest"] - c["n"]).alias("rest"), s["at"].alias("at"))))
-    median = ranked.select(walk["at"].alias("median"))
-    ends = placed.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("cases"))
+    placed = df.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
+    bracket = placed.approxQuantile("v", [max(0.0, 0.5 - 2 * error), min(1.0, 0.5 + 2 * error)], error)
+    low, high = bracket or (0.0, 0.0)
+    ends = placed.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("cases"), F.count_if(F.col("v") < low).alias("below"))
+    cell = F.floor((F.col("v") - low) / ((high - low) or 1.0) * cells).alias("cell")
+    inside = placed.filter((F.col("v") >= low) & (F.col("v") <= high)).groupBy("v").agg(F.count("*").alias("n")).select("v", "n", cell)
+    earlier = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    totals = inside.groupBy("cell").agg(F.sum("n").alias("n")).select(  # at most ``cells`` + 1 rows
+        "cell", F.coalesce(F.sum("n").over(earlier(F.lit(0)).orderBy("cell")), F.lit(0)).alias("before"))
+    ranked = inside.withColumn("smaller", F.coalesce(F.sum("n").over(earlier("cell").orderBy("v")), F.lit(0))).join(F.broadcast(totals), "cell")
+    first = F.col("below") + F.col("before") + F.col("smaller")
+    middle = F.floor(F.col("cases") / 2)
+    median = ranked.join(F.broadcast(ends.select("below", "cases"))).filter((first <= middle) & (middle < first + F.col("n"))).agg(F.max("v").alias("median"))
     return ends.join(F.broadcast(median)).select(  # one row each
         F.round("lo", 6).alias("min_margin"), F.round("median", 6).alias("median_margin"),
         F.round("hi", 6).alias("max_margin"), "cases")
@@ -235,3 +219,13 @@ def gold_frontier(history: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.col("second_event").alias("event_id"), F.lit("attach").alias("kind"), none.alias("excluded_work"),
             F.concat(F.lit("gold_"), "work").alias("gold_candidate")))))).alias("c"))
     return cases.select("user_id", "c.event_id", "c.kind", F.col("c.kind").alias("gold_action"), "c.excluded_work", "c.gold_candidate"), candidates
+
+
+def frontier_candidates(cases: DataFrame, candidates: DataFrame) -> DataFrame:
+    """A row per frontier case and candidate of its user, without the work that a *new* case is to begin; ``is_gold`` marks the right one.
+
+    As long as the answer: a user of n works has about 2 n cases of n candidates each.
+    """
+    both = cases.join(candidates, "user_id").filter(~F.col("work").eqNullSafe(F.col("excluded_work")))
+    return both.select("user_id", "event_id", "gold_action", "candidate_id", "durable_goal",
+                       F.coalesce(F.col("candidate_id") == F.col("gold_candidate"), F.lit(False)).alias("is_gold"))

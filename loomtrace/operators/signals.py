@@ -7,6 +7,8 @@ trajectory, so a hot trajectory is spread out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomtrace.functions.canonical import metadata_fingerprint
@@ -268,15 +270,19 @@ def transitions(events: DataFrame, index: str, chunk: Column) -> DataFrame:
     return rows.filter((F.col("actor_type") == "human") & (F.col(index) >= 1) & F.col("previous_text").isNotNull())
 
 
-def history_of(events: DataFrame, targets: DataFrame) -> DataFrame:
+def history_of(events: DataFrame, targets: DataFrame, chunk: Callable[[Column], Column] = lambda ts: F.date_trunc("DAY", ts)) -> DataFrame:
     """Strictly earlier events of each target's trajectory; ``local`` marks the target's own conversation.
 
     ``targets`` holds any set of target events (``trajectory_id``, ``target_id``, ``target_conversation``, ``target_ts``). The result
-    has a row per target and earlier event, so it is as long as the targets' histories together.
+    has a row per target and earlier event, so it is as long as the targets' histories together. ``chunk`` cuts time into pieces: a
+    target meets the pieces of its trajectory that there are up to its own, one row each, and events are joined by (trajectory, piece).
+    Pieces before its own count as a whole, times are compared in its own only, and a long trajectory is spread over its pieces.
     """
-    t = targets.select(TID, "target_id", "target_conversation", "target_ts")
-    return events.join(t, TID).filter(F.col("ts") < F.col("target_ts")).select(
-        TID, "target_id", "event_id", "ts", (F.col("conversation_id") == F.col("target_conversation")).alias("local"))
+    own = targets.select(TID, "target_id", "target_conversation", "target_ts", chunk(F.col("target_ts")).alias("_own"))
+    placed = events.select(TID, "event_id", "ts", "conversation_id", chunk(F.col("ts")).alias("_piece"))
+    wanted = own.join(placed.select(TID, "_piece").distinct(), TID).filter(F.col("_piece") <= F.col("_own"))
+    rows = placed.join(wanted, [TID, "_piece"]).filter((F.col("_piece") < F.col("_own")) | (F.col("ts") < F.col("target_ts")))
+    return rows.select(TID, "target_id", "event_id", "ts", (F.col("conversation_id") == F.col("target_conversation")).alias("local"))
 
 
 def sampled(rows: DataFrame, key: Column, share: float) -> DataFrame:

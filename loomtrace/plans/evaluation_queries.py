@@ -294,6 +294,20 @@ def _(spark, sf):
     return cases.select("user_id", "event_id", "gold_action", "excluded_work", "gold_candidate")
 
 
+@SECTION.add("k15_frontier_candidates", """WITH t AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS n FROM orders),
+  c AS (SELECT *, CASE n WHEN 1 THEN 'new' ELSE 'attach' END AS gold_action, CASE n WHEN 1 THEN o_orderpriority END AS excluded FROM t WHERE n <= 2),
+  k AS (SELECT o_custkey, o_orderpriority, o_orderstatus FROM t WHERE n = 1)
+  SELECT c.o_custkey::VARCHAR AS user_id, o_orderkey::VARCHAR AS event_id, gold_action, 'gold_' || k.o_orderpriority AS candidate_id, k.o_orderstatus AS durable_goal,
+    coalesce(gold_action = 'attach' AND k.o_orderpriority = c.o_orderpriority, false) AS is_gold
+  FROM c JOIN k ON k.o_custkey = c.o_custkey WHERE k.o_orderpriority IS DISTINCT FROM excluded""")
+def _(spark, sf):
+    """The candidates of every frontier case: the works of its user, without the one it is to begin."""
+    h = drivers.table(spark, sf, "orders").select(
+        F.col("o_custkey").cast("string").alias("user_id"), F.col("o_orderpriority").alias("work"), F.col("o_orderkey").cast("string").alias("event_id"),
+        F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("text"))
+    return evaluate.frontier_candidates(*evaluate.gold_frontier(h))
+
+
 @SECTION.add("k17_gated_frontier", f"""WITH {GATED_MODAL}, g AS (SELECT *, CASE WHEN ok THEN action ELSE 'clarify' END AS ga, CASE WHEN ok AND action <> 'new' THEN candidate_id END AS gc,
     ['new', 'attach', 'branch', 'abstain'][case_id % 4 + 1] AS gold, CASE WHEN case_id % 4 IN (1, 2) THEN 't' || (case_id % 7) END AS gcand,
     {drivers.CATEGORIES!r}[case_id % 5 + 1] AS category FROM hgr),

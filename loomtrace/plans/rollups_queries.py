@@ -158,7 +158,7 @@ def _(spark, sf):
     from loomtrace.operators.evaluate import order_statistics
     m = drivers.table(spark, sf, "lineitem").select(
         ((F.col("l_discount") + F.col("l_tax") + F.col("l_partkey") % 7 / 100.0) / 2).alias("margin"))
-    return order_statistics(m, "margin", 0.0, 1.0)
+    return order_statistics(m, "margin")
 
 
 @SECTION.add("b06_timeline", f"""WITH {TRACE} SELECT trajectory_id, seq, event_id, conversation_id, thread_id, goal_id,
