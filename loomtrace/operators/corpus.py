@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from hashlib import sha256
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from loomtrace.operators import ordered
 
@@ -52,3 +54,24 @@ def derangement(rows: DataFrame, key: str, value: Column, name: str) -> DataFram
     hashed = rows.withColumn("_h", F.sha2(F.col(key).cast("string"), 256)).withColumn("_one", F.lit(1))
     out = ordered.next_value(hashed, ["_one"], ["_h"], F.substring("_h", 1, 2), value, name, cyclic=True)
     return out.drop("_h", "_one")
+
+
+def taxonomy_sha(version: str, maturity: dict[str, str]) -> str:
+    """Digest of a taxonomy: its version and the maturity of each signal, in order of the signals."""
+    return sha256(":".join([version, *(f"{n}={m}" for n, m in sorted(maturity.items()))]).encode()).hexdigest()
+
+
+def taxonomy_table(spark: SparkSession, version: str, maturity: dict[str, str]) -> DataFrame:
+    """``signal, maturity, taxonomy_version, taxonomy_sha256``, to be stored; every row carries the digest of the whole."""
+    digest = taxonomy_sha(version, maturity)
+    return spark.createDataFrame([(n, m, version, digest) for n, m in maturity.items()], "signal string, maturity string, taxonomy_version string, taxonomy_sha256 string")
+
+
+def verified_taxonomy(table: DataFrame) -> DataFrame:
+    """A stored taxonomy whose digest fits its rows; ``ValueError`` where it was changed. A taxonomy is a short list that people keep."""
+    rows = table.collect()
+    for version in {r.taxonomy_version for r in rows}:
+        own = [r for r in rows if r.taxonomy_version == version]
+        if {r.taxonomy_sha256 for r in own} != {taxonomy_sha(version, {r.signal: r.maturity for r in own})}:
+            raise ValueError(f"taxonomy {version} does not fit its digest")
+    return table

@@ -90,22 +90,22 @@ def payload_hash(metadata: str = "metadata_json") -> Column:
 def idempotency(events: DataFrame, hash_column: str = "payload_hash", order: str = "ingest_seq") -> DataFrame:
     """One row per (organisation, event id, payload): accepted, duplicates of it, or a conflicting payload.
 
-    The first delivery of an event id wins. Copies are counted by partial aggregation, so an id delivered millions of
+    The first delivery of an event id wins; of payloads with one sequence number the smaller digest. Copies are counted by partial aggregation, so an id delivered millions of
     times does not gather in one task.
     """
     payloads = events.groupBy("organization_id", "event_id", hash_column).agg(
         F.min(order).alias("first_seq"), F.count("*").alias("deliveries"))
-    firsts = payloads.groupBy("organization_id", "event_id").agg(F.min("first_seq").alias("accepted_seq"))
+    firsts = payloads.groupBy("organization_id", "event_id").agg(F.min(F.struct("first_seq", hash_column)).alias("accepted"))
     return payloads.join(firsts, ["organization_id", "event_id"]).select(
         "organization_id", "event_id", hash_column, "first_seq", "deliveries",
-        F.when(F.col("first_seq") == F.col("accepted_seq"), "accepted").otherwise("conflict").alias("status"))
+        F.when(F.col(hash_column) == F.col(f"accepted.{hash_column}"), "accepted").otherwise("conflict").alias("status"))
 
 
 def accepted_events(events: DataFrame, order: str = "ingest_seq") -> DataFrame:
     """The first delivery of each (organisation, event id)."""
     rest = [c for c in events.columns if c not in ("organization_id", "event_id")]
     return events.groupBy("organization_id", "event_id").agg(
-        F.min_by(F.struct(*rest), F.col(order)).alias("e")).select("organization_id", "event_id", "e.*")
+        F.min_by(F.struct(*rest), F.struct(F.col(order), F.xxhash64(*rest))).alias("e")).select("organization_id", "event_id", "e.*")
 
 
 def first_wins(rows: DataFrame, existing: DataFrame, keys: list[str], order: str) -> DataFrame:

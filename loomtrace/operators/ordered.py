@@ -75,6 +75,47 @@ def running_max_before(
     )
 
 
+def running_totals(df: DataFrame, keys: list[str], order: list[str], chunk: Column, values: dict[str, Column]) -> DataFrame:
+    """Add, per row, the sum of each expression over the rows of its key up to and with it."""
+    base = df.select("*", *[v.alias(f"_v_{n}") for n, v in values.items()], chunk.alias("_chunk"))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*_columns(order)).rowsBetween(Window.unboundedPreceding, 0)
+    local = base.select("*", *[F.sum(f"_v_{n}").over(inside).alias(f"_l_{n}") for n in values])
+    summary = base.groupBy(*keys, "_chunk").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
+    across = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(*keys, "_chunk", *[F.sum(f"_s_{n}").over(across).alias(f"_c_{n}") for n in values])
+    return (
+        local.join(carry, [*keys, "_chunk"], "left")
+        .select(*df.columns, *[(F.col(f"_l_{n}") + F.coalesce(f"_c_{n}", F.lit(0))).cast("long").alias(n) for n in values])
+    )
+
+
+def bounded_pieces(df: DataFrame, keys: list[str], time: str, number: str, first: Column, most: int = 50_000, name: str = "piece") -> DataFrame:
+    """Add a chunk column that never decreases along ``(time, number)`` and holds about ``most`` rows of a key at most.
+
+    ``first`` is a coarse chunk, such as the day. Where a key has more rows in one, it is cut at quantiles of ``time``; a border time is a
+    piece of its own, so that many rows of one time are there together, and is cut by ``number``, a unique whole number. Only keys with
+    such chunks are looked at a second time.
+    """
+    micros = F.unix_micros(F.col(time).cast("timestamp")).cast("double")
+    base = df.withColumn("_first", first)
+    busy = base.groupBy(*keys, "_first").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > most)
+    n_busy, largest = busy.agg(F.count("*"), F.max("_rows")).first()
+    none = F.lit(0).cast("long")
+    if not n_busy:
+        return base.withColumn(name, F.struct(F.col("_first").alias("first"), none.alias("at"), none.alias("part"))).drop("_first")
+    cuts = min(-(-largest // most), 10_000)
+    shares = F.array(*(F.lit(i / cuts) for i in range(1, cuts)))
+    hot = base.join(busy.select(*keys, "_first"), [*keys, "_first"], "left_semi")
+    borders = hot.groupBy(*keys, "_first").agg(F.percentile_approx(micros, shares, 20 * cuts).alias("_borders"))
+    borders = F.broadcast(borders) if n_busy * cuts <= 1_000_000 else borders
+    rows = base.join(borders, [*keys, "_first"], "left")
+    marks = F.array_distinct(F.coalesce("_borders", F.array().cast("array<double>")))
+    before, on = F.size(F.filter(marks, lambda b: b < micros)), F.array_contains(marks, micros)
+    piece = F.struct(F.col("_first").alias("first"), (2 * before + on.cast("int")).cast("long").alias("at"),
+                     F.when(on, F.floor(F.col(number) / most)).otherwise(0).cast("long").alias("part"))
+    return rows.withColumn(name, piece).select(*df.columns, name)
+
+
 def ordinal(df: DataFrame, keys: list[str], order: list[str], chunk: Column, name: str) -> DataFrame:
     """Add the 1-based position of each row within its key."""
     base = df.withColumn("_chunk", chunk)

@@ -28,6 +28,12 @@ def day_chunk() -> Column:
     return F.date_trunc("DAY", "ts")
 
 
+def in_pieces(events: DataFrame, most: int = 50_000) -> DataFrame:
+    """``events`` with a column ``piece`` to be passed as ``chunk``: days, and a busy day of a trajectory cut so that a piece has about
+    ``most`` rows."""
+    return ordered.bounded_pieces(events, [TID], "ts", "seq", day_chunk(), most)
+
+
 def truthy(name: str) -> Column:
     return F.nullif(F.col(name), F.lit(""))
 
@@ -220,8 +226,8 @@ def resolutions(events: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Successful tool events with the last agent event before them."""
     cut = chunk if chunk is not None else day_chunk()
     agent = F.when(F.col("actor_type") == "agent", F.struct("event_id", "actor_id"))
-    slim = events.select(TID, *ORDER, "event_id", "actor_type", "actor_id", "status", "thread_id", "goal_id", "tool_name")
-    rows = ordered.last_before(slim, [TID], ORDER, cut, {"agent_event": agent})
+    slim = events.select(TID, *ORDER, cut.alias("_cut"), "event_id", "actor_type", "actor_id", "status", "thread_id", "goal_id", "tool_name")
+    rows = ordered.last_before(slim, [TID], ORDER, F.col("_cut"), {"agent_event": agent})
     return rows.filter((F.col("actor_type") == "tool") & (F.col("status") == "success")).select(
         TID, "event_id", "tool_name", "thread_id", "goal_id", F.col("agent_event.event_id").alias("agent_event_id"),
         F.col("agent_event.actor_id").alias("agent_id"))
@@ -231,8 +237,8 @@ def agents(events: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Per agent: own events, and tool failures and successes while it was the most recent agent."""
     cut = chunk if chunk is not None else day_chunk()
     own = F.when(F.col("actor_type") == "agent", truthy("actor_id"))
-    slim = events.select(TID, *ORDER, "actor_type", "actor_id", "status")
-    rows = ordered.last_before(slim, [TID], ORDER, cut, {"current": own})
+    slim = events.select(TID, *ORDER, cut.alias("_cut"), "actor_type", "actor_id", "status")
+    rows = ordered.last_before(slim, [TID], ORDER, F.col("_cut"), {"current": own})
     agent = F.when(F.col("actor_type") == "agent", truthy("actor_id")).when(
         F.col("actor_type") == "tool", F.col("current"))
     tool = F.col("actor_type") == "tool"
@@ -247,8 +253,8 @@ def previous_text(events: DataFrame, chunk: Column | None = None) -> DataFrame:
     """For each human event the last non-empty human or agent text before it."""
     cut = chunk if chunk is not None else day_chunk()
     spoken = F.when(F.col("actor_type").isin("human", "agent"), truthy("text"))
-    slim = events.select(TID, *ORDER, "event_id", "actor_type", "text")
-    rows = ordered.last_before(slim, [TID], ORDER, cut, {"previous": spoken})
+    slim = events.select(TID, *ORDER, cut.alias("_cut"), "event_id", "actor_type", "text")
+    rows = ordered.last_before(slim, [TID], ORDER, F.col("_cut"), {"previous": spoken})
     return rows.filter("actor_type = 'human'").select(
         TID, "event_id", F.col("text"), F.coalesce("previous", F.lit("")).alias("previous_text"))
 

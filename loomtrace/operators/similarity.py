@@ -14,7 +14,7 @@ from loomtrace.session import by_key, durable
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
-# Default stop words, closed-class English words. Pass another list to match another vectorizer.
+# Default stop words: an own short list of closed-class English words. Pass another list to match another vectorizer.
 STOP_WORDS = (
     "a about above after again against all also am an and any are as at be because been before being below between "
     "both but by can cannot could did do does doing down during each few for from further had has have having he her "

@@ -5,15 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass, fields
 from hashlib import sha256
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loomtrace.functions.canonical import digest
 from loomtrace.functions.text import unique_ignoring_case
+from loomtrace.operators import ordered
 from loomtrace.operators.ordered import top_rows
 
 STATE_LISTS = {  # state field -> event column
     "entities": "entities", "artifacts": "artifacts", "open_questions": "unresolved", "decisions": "decisions",
-    "attempts": "attempts", "outcomes": "outcomes", "surfaces": "surface", "conversation_ids": "conversation_id",
+    "attempts": "attempts", "failures": "failures", "outcomes": "outcomes", "surfaces": "surface", "conversation_ids": "conversation_id",
 }
 # Fields of a normalized state; identifiers, versions and times are left out.
 NORMALIZED = ["durable_goal", "current_state", "lifecycle", "entities", "artifacts", "anchors", "open_questions",
@@ -98,7 +99,7 @@ def states_of(summary: StateSummary) -> DataFrame:
     state = core.join(listed, STATE_KEYS, "left").join(added, STATE_KEYS, "left").join(context, STATE_KEYS, "left")
     return state.withColumns({
         "durable_goal": F.coalesce("durable_goal", F.lit("")), "current_state": F.coalesce("current_state", F.lit("")),
-        "lifecycle": F.lit("active"), "resolved_questions": empty, "failures": empty,
+        "lifecycle": F.lit("active"), "resolved_questions": empty,
         "anchors": F.coalesce("anchors", F.array().cast("array<struct<type:string,value:string,strength:string>>")),
         "recent_context": F.coalesce("recent_context", empty),
         **{n: F.coalesce(n, empty) for n in STATE_LISTS},
@@ -114,36 +115,44 @@ def _tagged(name: str, values: Column) -> Column:
     return F.transform(values, lambda v, i: F.struct(F.lit(name).alias("field"), i.alias("i"), v.alias("value")))
 
 
-def structural_deltas(rows: DataFrame) -> DataFrame:
-    """What each assigned event changed in the state of its trajectory, in arrival order.
+#: Fields of a state in which an event can show. Questions are never marked as resolved by an event.
+DELTA_FIELDS = ["lifecycle", "durable_goal", "current_state", *STATE_LISTS, "anchors", "recent_context"]
 
-    Goal, current state and distinct counts are running values; a field has changed where its value differs from the version before.
+
+def structural_deltas(rows: DataFrame, chunk: Column | None = None) -> DataFrame:
+    """What each assigned event changed in the state of its trajectory: its ``version``, goal and current state after it, the number of
+    distinct values of each list, and the ``changed`` fields. With the first event a field has changed if it is not empty.
+
+    A list changes with a value that it did not have, the context with every line. ``chunk`` cuts a trajectory along ``arrival`` (by
+    default every 50,000 positions, so a chunk has a bounded number of rows); what crosses a border travels in one row per chunk.
     """
-    keys = ["organization_id", "trajectory_id"]
-    order = Window.partitionBy(*keys).orderBy("arrival", "event_id")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    new = _new_values(rows, "attempts", F.col("attempts")).join(_new_values(rows, "surfaces", F.array("surface_name")), [*keys, "event_id"], "full")
-    now = rows.join(new, [*keys, "event_id"], "left").select(
-        *keys, "event_id", "arrival", F.row_number().over(order).alias("version"),
-        F.first(F.when(F.col("goal") != "", F.col("goal")), ignorenulls=True).over(so_far).alias("durable_goal"),
-        F.last(F.when(F.col("problem") != "", F.col("problem")), ignorenulls=True).over(so_far).alias("current_state"),
-        *(F.sum(F.coalesce(f"new_{c}", F.lit(0))).over(so_far).alias(c) for c in ("attempts", "surfaces")))
-    changed = [F.when(~F.col(c).eqNullSafe(F.lag(c).over(order)), F.lit(c)) for c in ("durable_goal", "current_state", "attempts", "surfaces")]
-    before = F.coalesce(F.lag("surfaces").over(order), F.lit(0))
-    return now.select("*", before.alias("surfaces_before"), F.array_compact(F.array(*changed)).alias("changed"))
-
-
-def _new_values(rows: DataFrame, name: str, values: Column) -> DataFrame:
-    """Per event how many of its values its trajectory had not seen before."""
-    keys = ["organization_id", "trajectory_id"]
-    seen = rows.select(*keys, "arrival", "event_id", F.explode(F.array_distinct(values)).alias("value"))
-    first = seen.groupBy(*keys, "value").agg(F.min_by("event_id", F.struct("arrival", "event_id")).alias("event_id"))
-    return first.groupBy(*keys, "event_id").agg(F.count("*").alias(f"new_{name}"))
+    cut = (chunk if chunk is not None else F.floor(F.col("arrival") / 50_000)).alias("_cut")
+    order, filled = ["arrival", "event_id"], lambda c: F.when(F.col(c) != "", F.col(c))
+    values = rows.select(*STATE_KEYS, *order, F.explode(F.flatten(F.array(*[
+        _tagged(name, F.col(column)) for name, column in STATE_LISTS.items()]))).alias("x")).filter("x.value <> ''")
+    first = values.groupBy(*STATE_KEYS, "x.field", "x.value").agg(F.min(F.struct(*order)).alias("at"))
+    new = first.groupBy(*STATE_KEYS, F.col("at.event_id").alias("event_id")).agg(*[F.count_if(F.col("field") == n).alias(f"new_{n}") for n in STATE_LISTS])
+    slim = rows.select(*STATE_KEYS, *order, "goal", "problem", (F.size("added_anchors") > 0).alias("_anchors"),
+                       ((F.col("problem") != "") | F.col("parent_id").isNotNull()).alias("_line"), cut).join(new, [*STATE_KEYS, "event_id"], "left")
+    slim = slim.fillna(0, [f"new_{n}" for n in STATE_LISTS])
+    known = ordered.last_before(slim, STATE_KEYS, order, F.col("_cut"), {"state_before": filled("problem")})
+    now = ordered.running_totals(known, STATE_KEYS, order, F.col("_cut"), {"version": F.lit(1), **{n: F.col(f"new_{n}") for n in STATE_LISTS}})
+    goals = rows.filter("goal <> ''").groupBy(*STATE_KEYS).agg(F.min(F.struct(*order, "goal")).alias("_goal"))
+    now = now.join(goals, STATE_KEYS, "left")
+    here = F.struct(*order)
+    reached = F.struct("_goal.arrival", "_goal.event_id") <= here
+    changed = {"lifecycle": F.col("version") == 1, "durable_goal": F.struct("_goal.arrival", "_goal.event_id") == here,
+               "current_state": filled("problem").isNotNull() & ~filled("problem").eqNullSafe(F.col("state_before")),
+               **{n: F.col(f"new_{n}") > 0 for n in STATE_LISTS}, "anchors": F.col("_anchors"), "recent_context": F.col("_line")}
+    fields_ = F.array_compact(F.array(*[F.when(changed[n], F.lit(n)) for n in DELTA_FIELDS]))
+    return now.select(*STATE_KEYS, *order, "version", F.when(reached, F.col("_goal.goal")).alias("durable_goal"),
+                      F.coalesce(filled("problem"), "state_before").alias("current_state"), *STATE_LISTS,
+                      (F.col("surfaces") - F.col("new_surfaces")).alias("surfaces_before"), fields_.alias("changed"))
 
 
 TAXONOMY_VERSION, PRODUCER_VERSION = "1", "structural-1"
-SIGNALS = ("trajectory_created", "state_changed", "durable_goal_changed", "structurally_inert", "attempt_count", "surface_count",
-           "cross_surface_continuation")
+SIGNALS = ("trajectory_created", "state_changed", "durable_goal_changed", "structurally_inert", "failure_count", "attempt_count",
+           "unresolved_question_count", "surface_count", "cross_surface_continuation")
 
 
 def taxonomy_digest() -> str:
@@ -155,7 +164,8 @@ def structural_signals(deltas: DataFrame) -> DataFrame:
     created = F.col("version") == 1
     changed = F.size("changed") > 0
     values = dict(zip(SIGNALS, (
-        created, changed, F.array_contains("changed", "durable_goal"), ~changed, F.col("attempts"), F.col("surfaces"),
+        created, changed, F.array_contains("changed", "durable_goal"), ~changed, F.col("failures"), F.col("attempts"), F.col("open_questions"),
+        F.col("surfaces"),
         ~created & (F.col("surfaces_before") > 0) & (F.col("surfaces") > F.col("surfaces_before"))), strict=True))
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("signal"), v.cast("string").alias("value")) for n, v in values.items()])).alias("s")
     return deltas.select("organization_id", "event_id", "trajectory_id", each).select(

@@ -9,7 +9,7 @@ from loomtrace.operators import corpus, retrieval, similarity
 from loomtrace.plans.oracle import ORG
 from loomtrace.plans.registry import Section
 from loomtrace.plans.text_queries import _ANCHORS
-from loomtrace.session import durable
+from loomtrace.session import durable, new_folder
 from loomtrace.sources import drivers
 
 SECTION = Section()
@@ -77,13 +77,21 @@ def _(spark, sf):
     return corpus.leakage(o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus = 'P'"), "trajectory_id")
 
 
-@SECTION.add("e12_taxonomy_join", f"""WITH {ORG}, s AS (SELECT event_id, ['state_changed', 'resistance', 'repair'][k % 3 + 1] AS signal FROM oe)
-  SELECT event_id, signal, CASE signal WHEN 'state_changed' THEN 'L1' ELSE 'L2' END AS maturity, '1.0.0' AS taxonomy_version FROM s""")
+#: Signals of the taxonomy and how mature each is.
+TAXONOMY = {"state_changed": "L1", "resistance": "L2", "repair": "L2", "topic_switch": "L2"}
+
+
+@SECTION.add("e12_taxonomy_join", f"""WITH {ORG}, s AS (SELECT event_id, ['state_changed', 'resistance', 'repair', 'unheard_of'][k % 4 + 1] AS signal FROM oe),
+  t(signal, maturity) AS (VALUES {', '.join(f"('{n}', '{m}')" for n, m in TAXONOMY.items())})
+  SELECT event_id, signal, maturity, CASE WHEN maturity IS NOT NULL THEN '1.0.0' END AS taxonomy_version,
+    CASE WHEN maturity IS NOT NULL THEN '{corpus.taxonomy_sha("1.0.0", TAXONOMY)}' END AS taxonomy_sha256 FROM s LEFT JOIN t USING (signal)""")
 def _(spark, sf):
-    e = drivers.org_events(spark, sf).select("event_id", drivers.pick(["state_changed", "resistance", "repair"], F.col("k") % 3).alias("signal"))
-    taxonomy = e.select("signal").distinct().select("signal", F.when(F.col("signal") == "state_changed", "L1").otherwise("L2").alias(
-        "maturity"), F.lit("1.0.0").alias("taxonomy_version"))
-    return e.join(taxonomy, "signal").select("event_id", "signal", "maturity", "taxonomy_version")
+    """Signals of events with what a stored, versioned taxonomy says of them; a signal that it does not know gets nulls."""
+    path = new_folder(spark)
+    corpus.taxonomy_table(spark, "1.0.0", TAXONOMY).write.parquet(path)
+    names = ["state_changed", "resistance", "repair", "unheard_of"]
+    e = drivers.org_events(spark, sf).select("event_id", drivers.pick(names, F.col("k") % 4).alias("signal"))
+    return e.join(corpus.verified_taxonomy(spark.read.parquet(path)), "signal", "left")
 
 
 @SECTION.add("e13_predictions_with_gold", """WITH p AS (SELECT 'p' || (l_partkey % 500) AS trajectory_id, l_suppkey % 20 AS gold FROM lineitem)

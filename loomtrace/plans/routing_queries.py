@@ -23,17 +23,23 @@ LOG = f"""{BASE}, lw AS (SELECT *, 'tr_' || user_id || '_' || (event_id // 50) A
     (k % 31 + 70) / 100.0::DOUBLE AS confidence, ['rule', 'gate', 'judge'][k % 3 + 1] AS source, (k * 37 % 101) / 100.0::DOUBLE AS candidate_score,
     CASE WHEN k % 4 <> 0 THEN (k * 37 % 101) / 100.0::DOUBLE / 2 END AS second_score, 'rule_' || (k % 4) AS rules,
     {words(drivers.SURFACES)}[event_id % 3 + 1] AS surface, CASE WHEN k % 3 <> 0 THEN 'goal ' || (k % 5) ELSE '' END AS goal,
-    CASE WHEN k % 4 <> 0 THEN 'note ' || k ELSE '' END AS problem, CASE WHEN k % 6 = 0 THEN 'try ' || (event_id % 2) END AS attempt, k
+    CASE WHEN k % 4 <> 0 THEN 'note ' || k ELSE '' END AS problem, CASE WHEN k % 6 = 0 THEN 'try ' || (event_id % 2) END AS attempt,
+    CASE WHEN k % 5 = 3 THEN 'err ' || (k % 2) END AS failure, CASE WHEN k % 7 = 0 THEN 'q ' || (event_id % 3) END AS question, 'c' || (k % 3) AS conv, k
     FROM lw LEFT JOIN lf USING (work)), a AS (SELECT * FROM dl WHERE decision <> 'clarify')"""
 
-DELTAS = f"""{LOG}, fa AS (SELECT *, CASE WHEN attempt IS NOT NULL AND row_number() OVER (PARTITION BY trajectory_id, attempt ORDER BY arrival) = 1 THEN 1 ELSE 0 END AS na,
-    CASE WHEN row_number() OVER (PARTITION BY trajectory_id, surface ORDER BY arrival) = 1 THEN 1 ELSE 0 END AS ns FROM a),
+_NEW = ", ".join(f"CASE WHEN {c} IS NOT NULL AND row_number() OVER (PARTITION BY trajectory_id, {c} ORDER BY arrival) = 1 THEN 1 ELSE 0 END AS n_{c}"
+                 for c in ("attempt", "failure", "question", "surface", "conv"))
+DELTAS = f"""{LOG}, fa AS (SELECT *, {_NEW} FROM a),
   nw AS (SELECT *, row_number() OVER o AS version, first_value(nullif(goal, '') IGNORE NULLS) OVER o AS durable_goal,
-    last_value(nullif(problem, '') IGNORE NULLS) OVER o AS current_state, sum(na) OVER o AS attempts, sum(ns) OVER o AS surfaces FROM fa
+    last_value(nullif(problem, '') IGNORE NULLS) OVER o AS current_state, sum(n_attempt) OVER o AS attempts, sum(n_failure) OVER o AS failures,
+    sum(n_question) OVER o AS questions, sum(n_surface) OVER o AS surfaces FROM fa
     WINDOW o AS (PARTITION BY trajectory_id ORDER BY arrival ROWS UNBOUNDED PRECEDING)),
   dt AS (SELECT *, coalesce(lag(surfaces) OVER w, 0) AS before, durable_goal IS DISTINCT FROM lag(durable_goal) OVER w AS cg,
-    current_state IS DISTINCT FROM lag(current_state) OVER w AS cs, attempts IS DISTINCT FROM lag(attempts) OVER w AS ca,
-    surfaces IS DISTINCT FROM lag(surfaces) OVER w AS cu FROM nw WINDOW w AS (PARTITION BY trajectory_id ORDER BY arrival))"""
+    current_state IS DISTINCT FROM lag(current_state) OVER w AS cs FROM nw WINDOW w AS (PARTITION BY trajectory_id ORDER BY arrival)),
+  dc AS (SELECT *, concat_ws('|', CASE WHEN version = 1 THEN 'lifecycle' END, CASE WHEN cg THEN 'durable_goal' END, CASE WHEN cs THEN 'current_state' END,
+    CASE WHEN n_question > 0 THEN 'open_questions' END, CASE WHEN n_attempt > 0 THEN 'attempts' END, CASE WHEN n_failure > 0 THEN 'failures' END,
+    CASE WHEN n_surface > 0 THEN 'surfaces' END, CASE WHEN n_conv > 0 THEN 'conversation_ids' END,
+    CASE WHEN problem <> '' OR parent_id IS NOT NULL THEN 'recent_context' END) AS changed FROM dt)"""
 
 
 def assigned(spark, sf):
@@ -86,19 +92,18 @@ def _(spark, sf):
     return _shown(store.read("states"))
 
 
-@SECTION.add("i3_structural_deltas", f"""WITH {DELTAS} SELECT event_id, trajectory_id, version, version = 1 AS created,
-    concat_ws('|', CASE WHEN cg THEN 'durable_goal' END, CASE WHEN cs THEN 'current_state' END, CASE WHEN ca THEN 'attempts' END,
-    CASE WHEN cu THEN 'surfaces' END) AS changed FROM dt""")
+@SECTION.add("i3_structural_deltas", f"WITH {DELTAS} SELECT event_id, trajectory_id, version, version = 1 AS created, changed FROM dc")
 def _(spark, sf):
     d = workstate.structural_deltas(assigned(spark, sf))
     return d.select("event_id", "trajectory_id", "version", (F.col("version") == 1).alias("created"), F.array_join("changed", "|").alias("changed"))
 
 
 @SECTION.add("i4_structural_signals", f"""WITH {DELTAS}, sg AS (SELECT organization_id, event_id, trajectory_id, unnest([
-    {{'signal': 'trajectory_created', 'value': (version = 1)::VARCHAR}}, {{'signal': 'state_changed', 'value': (cg OR cs OR ca OR cu)::VARCHAR}},
-    {{'signal': 'durable_goal_changed', 'value': cg::VARCHAR}}, {{'signal': 'structurally_inert', 'value': (NOT (cg OR cs OR ca OR cu))::VARCHAR}},
-    {{'signal': 'attempt_count', 'value': attempts::VARCHAR}}, {{'signal': 'surface_count', 'value': surfaces::VARCHAR}},
-    {{'signal': 'cross_surface_continuation', 'value': (version > 1 AND before > 0 AND surfaces > before)::VARCHAR}}]) AS s FROM dt)
+    {{'signal': 'trajectory_created', 'value': (version = 1)::VARCHAR}}, {{'signal': 'state_changed', 'value': (changed <> '')::VARCHAR}},
+    {{'signal': 'durable_goal_changed', 'value': cg::VARCHAR}}, {{'signal': 'structurally_inert', 'value': (changed = '')::VARCHAR}},
+    {{'signal': 'failure_count', 'value': failures::VARCHAR}}, {{'signal': 'attempt_count', 'value': attempts::VARCHAR}},
+    {{'signal': 'unresolved_question_count', 'value': questions::VARCHAR}}, {{'signal': 'surface_count', 'value': surfaces::VARCHAR}},
+    {{'signal': 'cross_surface_continuation', 'value': (version > 1 AND before > 0 AND surfaces > before)::VARCHAR}}]) AS s FROM dc)
   SELECT organization_id, event_id, trajectory_id, s.signal AS signal, s.value AS value, 'L1' AS maturity, '{workstate.TAXONOMY_VERSION}' AS taxonomy_version,
     '{workstate.taxonomy_digest()}' AS taxonomy_sha256, '{workstate.PRODUCER_VERSION}' AS producer_version, 'event:' || event_id AS evidence FROM sg""")
 def _(spark, sf):

@@ -75,7 +75,9 @@ def _events(spark, sf):
 def _state_view(name: str, columns: list[str]):
     @SECTION.add(name, f"WITH {_STATE_CTE} SELECT trajectory_id, {', '.join(columns)} FROM state")
     def run(spark, sf, columns=tuple(columns)):
-        return signals.state(_events(spark, sf)).select("trajectory_id", *columns)
+        pieces = signals.in_pieces(_events(spark, sf)) if name == "c13_state" else None
+        states = signals.state(_events(spark, sf)) if pieces is None else signals.state(pieces, F.col("piece"))
+        return states.select("trajectory_id", *columns)
 
 
 _state_view("c13_state", _STATE)
@@ -117,7 +119,7 @@ _BEFORE = "(PARTITION BY trajectory_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED P
   SELECT w.trajectory_id, w.event_id, w.tool_name, w.thread_id, w.goal_id, w.agent_event_id, a.actor_id AS agent_id
   FROM w LEFT JOIN te a ON a.event_id = w.agent_event_id WHERE w.actor_type = 'tool' AND w.status = 'success'""")
 def _(spark, sf):
-    return signals.resolutions(_events(spark, sf))
+    return signals.resolutions(signals.in_pieces(_events(spark, sf)), F.col("piece"))
 
 
 @SECTION.add("c15_agents", f"""WITH {TRACE}, w AS (SELECT *,
@@ -128,7 +130,7 @@ def _(spark, sf):
   SELECT trajectory_id, agent_id, events, coalesce(f, 0) AS tool_failures_after, coalesce(s, 0) AS tool_successes_after
   FROM own LEFT JOIN after USING (trajectory_id, agent_id)""")
 def _(spark, sf):
-    return signals.agents(_events(spark, sf))
+    return signals.agents(signals.in_pieces(_events(spark, sf)), F.col("piece"))
 
 
 @SECTION.add("c16_previous_text", f"""WITH {TRACE}, w AS (SELECT *, last_value(

@@ -237,4 +237,6 @@ def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 3 != 0, F.concat(F.lit("goal "), s(k % 5))).otherwise("").alias("goal"),
         F.when(k % 4 != 0, F.concat(F.lit("note "), s(k))).otherwise("").alias("problem"),
         F.when(k % 6 == 0, F.array(F.concat(F.lit("try "), s(eid % 2)))).otherwise(F.array().cast("array<string>")).alias("attempts"),
-        *(F.array().cast("array<string>").alias(c) for c in ("entities", "artifacts", "unresolved", "decisions", "outcomes")), "k")
+        F.when(k % 5 == 3, F.array(F.concat(F.lit("err "), s(k % 2)))).otherwise(F.array().cast("array<string>")).alias("failures"),
+        F.when(k % 7 == 0, F.array(F.concat(F.lit("q "), s(eid % 3)))).otherwise(F.array().cast("array<string>")).alias("unresolved"),
+        *(F.array().cast("array<string>").alias(c) for c in ("entities", "artifacts", "decisions", "outcomes")), "k")

@@ -134,3 +134,17 @@ def test_thread_state_priority(spark):
 def test_no_task_sees_a_whole_hot_trajectory(spark):
     plan = signals.state(frame(spark, random_rows(1)))._jdf.queryExecution().executedPlan().toString()
     assert "_chunk" in plan
+
+
+def test_a_busy_day_is_cut_into_pieces(spark):
+    """Rows of one day, many of one time, in pieces of a few rows: the same counters as without."""
+    rng = random.Random(11)
+    rows = [(f"t{s}", *r[1:4], START + timedelta(minutes=rng.choice([5, 5, 5, *range(30)])), *r[5:]) for s in range(3) for r in random_rows(s)]
+    df = frame(spark, rows)
+    pieces = signals.in_pieces(df, most=4)
+    sizes = [r["count"] for r in pieces.groupBy("trajectory_id", "piece").count().collect()]
+    assert max(sizes) <= 12 and len(sizes) > 20
+    chunk = F.col("piece")
+    assert {r["trajectory_id"]: r.asDict() for r in signals.state(pieces, chunk).collect()} == states(df)
+    for operator in (signals.resolutions, signals.agents, signals.previous_text):
+        assert sorted(map(str, operator(pieces, chunk).collect())) == sorted(map(str, operator(df).collect()))
