@@ -28,7 +28,11 @@ BAD = ("nav menu footer header sidebar side ad ads advert advertisement banner c
        "pagination pager recommended alert search byline skip toc").split()
 TAGS = "p h1 h2 h3 li ul div section article main nav header footer aside form table td blockquote pre figure body".split()
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: A quote opens a value only after an equals sign. A tag whose quotes leave it without an end shows that they are broken.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)(?:>|\Z)""", re.S)
+_UNQUOTED = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>""", re.S)
+#: What can still come where no tag has an end.
+_UNENDED = re.compile(r"<[!?].*()()()", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|itemprop|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -49,8 +53,12 @@ class Page:
         """
         open_, links, block, at, silent, depth = [0], 0, 0, 0, "", 0
         head, inside, begun, plain = False, [], 0, set()
+        token, end_of_tags = _TOKEN, html.rfind(">")
         while True:
-            m = _TOKEN.search(html, at)
+            m = (token if at <= end_of_tags else _UNENDED).search(html, at)
+            if m and m[2] and token is _TOKEN and html[m.end() - 1] != ">":
+                token = _UNQUOTED  # from here on quotes mean nothing, so that a page is read in time that grows with its length
+                continue
             last = m is None or m[1] == "/" and m[2].lower() in ("body", "html")
             if silent and last and not (m and (m[2].lower() in inside)):
                 plain.add(silent)  # read again from its start tag; each name at most once

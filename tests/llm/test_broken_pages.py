@@ -1,4 +1,6 @@
 """Pages whose silent elements have no end."""
+import time
+
 import numpy as np
 import pytest
 
@@ -28,6 +30,20 @@ def every_block(html):
     ("<div><object><object>no</object>no</object>a</div>", ["a"]),
     ("<noscript><script>'</noscript>'</script>no</noscript>a", ["a"]),
     ("<div><svg><title>no</svg>a</div>", ["a"]),
+    ("<article><p data-x=it's>Hello there one</p><p>it's fine two</p></article>", ["Hello there one", "it's fine two"]),
+    ("<p title='a>b' data-y=\"c>d\">one</p>", ["one"]),
+    ("<p title= 'a>b'>one</p><p title=\"broken>two</p><p>three</p>", ["one", "two", "three"]),
+    ("<p>a < b and b > c</p><p>x <y", ["a < b and b > c", "x <y"]),
+    ("<p>one</p><!-- no", ["one"]),
+    ("<p>one<!-- no --> two</p>", ["one two"]),
 ])
 def test_text_of_broken_pages(html, want):
     assert every_block(html) == want
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<a b='", '<a b="', "<p x=it's>", "<a", "<!--", "<", "='", '<a b="c">', "<a b=\"'>"])
+def test_broken_quotes_take_linear_time(piece):
+    began = time.perf_counter()
+    Page("<p>text</p>" + piece * (100_000 // len(piece)))
+    Page(piece * (100_000 // len(piece)) + "<p>text</p>")
+    assert time.perf_counter() - began < 2
