@@ -45,11 +45,12 @@ class Learning:
     #: Word beginnings of these lengths are terms, beside whole words.
     shortest: int = 4
     longest: int = 8
-    #: A term needs so many toxic rows, different words before it, and times the rate of clean rows; the most frequent ``most_terms`` stay.
+    #: A term needs so many toxic rows, different words before it, and times the rate of clean rows; more terms (or
+    #: phrases that excuse one) than ``most_terms`` are an error, never cut.
     least_rows: int = 5
     least_contexts: int = 5
     ratio: float = 20.0
-    most_terms: int = 20_000
+    most_terms: int = 200_000
     #: A pair of words excuses the term in it when it is in so many clean rows and in no toxic one.
     excuse_rows: int = 3
 
@@ -92,9 +93,13 @@ def hits(words: list[str], automaton, excuses: frozenset[str]) -> list[tuple[int
 
 def features(words: list[str], automaton, excuses: frozenset[str]) -> tuple[float, float, float]:
     """Logarithm of the summed weights, the sum by the root of the length, the heaviest weight."""
-    found = [w for _, w in hits(words, automaton, excuses)]
-    total = sum(found)
-    return float(np.log1p(total)), total / max(1.0, len(words)) ** 0.5, max(found, default=0.0)
+    return of_hits(hits(words, automaton, excuses), len(words))
+
+
+def of_hits(found: list[tuple[int, float]], n_words: int) -> tuple[float, float, float]:
+    weights = [w for _, w in found]
+    total = sum(weights)
+    return float(np.log1p(total)), total / max(1.0, n_words) ** 0.5, max(weights, default=0.0)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -102,13 +107,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rule: Learning) -> DataFrame:
-    """``text, toxic`` of the rows to learn from, each text once. At most about ``fit_rows`` labels are broadcast; texts are not shuffled before."""
+    """``text, toxic`` of the rows to learn from, each text once; of equal texts with different labels the toxic one counts. At most about
+    ``fit_rows`` labels are broadcast; texts are not shuffled before."""
     usable = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(
         F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     share = max(1, -(-usable.count() // rule.fit_rows))
     chosen = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text <> ''")
-    return rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic").dropDuplicates(["text"])
+    return rows.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, rule: Learning = Learning()) -> Lexicon:
@@ -149,7 +155,15 @@ def _candidates(rows: DataFrame, n: dict[int, int], rule: Learning) -> dict[str,
     counts = counts.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     rate = (F.col("toxic") + 0.5) / (n[1] + 1) / ((F.col("clean") + 0.5) / (n[0] + 1))
     top = counts.filter((F.col("toxic") >= rule.least_rows) & (rate >= rule.ratio)).select("term", "toxic", F.log(rate).alias("w"))
-    return {r.term: r.w for r in top.orderBy(F.desc("toxic"), "term").limit(rule.most_terms).collect()}
+    return {r.term: r.w for r in _all(top, "term", rule.most_terms)}
+
+
+def _all(rows: DataFrame, key: str, most: int) -> list:
+    """The rows in order of ``key``; an error if there are more than the driver should hold."""
+    out = rows.limit(most + 1).collect()
+    if len(out) > most:
+        raise ValueError(f"more than {most} terms pass the thresholds; raise them or most_terms")
+    return sorted(out, key=lambda r: r[key])
 
 
 def _varied(rows: DataFrame, candidates: dict[str, float], rule: Learning) -> dict[str, float]:
@@ -196,7 +210,7 @@ def _excuses(rows: DataFrame, lexicon: Lexicon, rule: Learning) -> frozenset[str
     pairs = map_batches(rows.select("text", "toxic"), "phrase string, toxic int", make)
     counts = pairs.groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
     chosen = counts.filter((F.col("toxic") == 0) & (F.col("clean") >= rule.excuse_rows))
-    return frozenset(r.phrase for r in chosen.orderBy(F.desc("clean"), "phrase").limit(rule.most_terms).collect())
+    return frozenset(r.phrase for r in _all(chosen, "phrase", rule.most_terms))
 
 
 def _curve(rows: DataFrame, lexicon: Lexicon, steps: int = 25, ridge: float = 1e-2) -> np.ndarray:
@@ -231,8 +245,9 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
         def step(batch):
             words = [folded(t) for t in batch.column(1).to_pylist()]
-            f = np.array([(1.0, *features(w, automaton, excuses)) for w in words])
-            return {"score": 1 / (1 + np.exp(-np.clip(f @ curve, -30, 30))), "n_hits": [len(hits(w, automaton, excuses)) for w in words]}
+            found = [hits(w, automaton, excuses) for w in words]
+            f = np.array([(1.0, *of_hits(h, len(w))) for h, w in zip(found, words, strict=True)])
+            return {"score": 1 / (1 + np.exp(-np.clip(f @ curve, -30, 30))), "n_hits": [len(h) for h in found]}
         return step
 
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))

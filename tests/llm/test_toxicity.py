@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import pytest
 from fixtures import ODD, prose
 
 from loomtrace.llm import toxicity
@@ -58,3 +59,22 @@ def test_without_labels(spark):
     lexicon = toxicity.learn(docs, spark.createDataFrame([], "doc_id bigint, toxic int"))
     assert lexicon.weights == {} and features(["a"], lexicon.automaton(), frozenset()) == (0.0, 0.0, 0.0)
     assert {r.score < 0.5 for r in toxicity.score(docs, lexicon).collect()} == {True}
+
+
+def test_equal_texts_with_different_labels(spark):
+    """The toxic label counts, however the rows are dealt; null ids and texts, repeated rows and clashing names do no harm."""
+    rows = [(i, "one text", "x", "y") for i in range(30)] + [(None, "one text", "x", "y"), (90, None, "x", "y"), (91, "", "x", "y"), (91, "", "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic string, score string")
+    labels = spark.createDataFrame([(i, int(i == 3)) for i in range(30)] + [(3, 0), (None, 1), (90, 1)], "doc_id bigint, toxic int")
+    usable = {r.doc_id for r in docs.filter(~toxicity.held_out(docs.doc_id)).collect()}
+    want = [("one text", int(3 in usable))]
+    for n in (1, 3, 7):
+        assert [tuple(r) for r in toxicity.labelled(docs.repartition(n), labels.repartition(n), toxicity.Learning()).collect()] == want
+    scored = toxicity.score(docs, toxicity.learn(docs, labels)).collect()
+    assert len(scored) == len(rows) and all(0 <= r.score <= 1 for r in scored)
+    assert toxicity.score(docs.limit(0), toxicity.learn(docs.limit(0), labels)).collect() == []
+
+
+def test_too_many_terms_are_an_error(spark):
+    with pytest.raises(ValueError):
+        toxicity._all(spark.range(5).withColumnRenamed("id", "term"), "term", 4)
