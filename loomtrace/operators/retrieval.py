@@ -111,3 +111,9 @@ def union_candidates(own: DataFrame, rescue: DataFrame) -> DataFrame:
     """Own candidates before rescued ones, each trajectory once per event."""
     tagged = own.withColumn("source_rank", F.lit(0)).unionByName(rescue.withColumn("source_rank", F.lit(1)))
     return tagged.groupBy("event_id", "trajectory_id").agg(F.min("source_rank").alias("source_rank"))
+
+
+def looked_up(rows: DataFrame, scores: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """``rows`` with the stored ``score`` of their keys and whether there is one. Of keys stored more than once the highest counts."""
+    stored = scores.groupBy(*keys).agg(F.max(score).alias(score)).withColumn("found", F.lit(True))
+    return rows.join(stored, keys, "left").withColumn("found", F.coalesce("found", F.lit(False)))

@@ -10,7 +10,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = ["sources", "text", "signals", "rollups", "ingest", "joins", "sets", "gates", "similarity", "routing",
-           "evaluation", "streaming", "hooks"]
+           "evaluation", "streaming", "hooks", "conditions"]
 
 
 @dataclass(frozen=True)
