@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def order_statistics(df: DataFrame, value: str, error: float = 1e-4, cells: int = 1024) -> DataFrame:
-    """Minimum, upper median (element n // 2 of the sorted values) and maximum; nulls and NaN are left out.
+def order_statistics(df: DataFrame, value: str, low: float | None = None, high: float | None = None, cells: int = 1024, error: float = 1e-4) -> DataFrame:
+    """Minimum, upper median (element n // 2 of the sorted values) and maximum; nulls and NaN are left out. ``low`` and ``high`` say where
+    the values are known to lie; they are not needed.
 
     A quantile sketch of rank error ``error`` brackets the median; one more pass counts what lies below the bracket and the values inside
     it, cut into ``cells`` of which only the totals are added up in order. Nothing is sorted as a whole, and the median is exact.
     """
     placed = df.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
     bracket = placed.approxQuantile("v", [max(0.0, 0.5 - 2 * error), min(1.0, 0.5 + 2 * error)], error)
-    low, high = bracket or (0.0, 0.0)
+    low, high = bracket or (low or 0.0, high or 0.0)
     ends = placed.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("cases"), F.count_if(F.col("v") < low).alias("below"))
     cell = F.floor((F.col("v") - low) / ((high - low) or 1.0) * cells).alias("cell")
     inside = placed.filter((F.col("v") >= low) & (F.col("v") <= high)).groupBy("v").agg(F.count("*").alias("n")).select("v", "n", cell)

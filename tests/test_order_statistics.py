@@ -8,7 +8,7 @@ from loomtrace.operators.signals import history_of
 
 def stats(spark, values, error=1e-4):
     df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
-    return tuple(order_statistics(df, "v", error).first())
+    return tuple(order_statistics(df, "v", error=error).first())
 
 
 @pytest.mark.parametrize("error", [1e-4, 0.05])
