@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
+from tempfile import mkdtemp
 
 from loomtrace.plans import registry
 from loomtrace.session import local_session
@@ -20,7 +21,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session("bench", cores=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8)
+    spark = local_session("bench", cores=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, checkpoint_dir=f"file://{mkdtemp()}")
     spark.sparkContext.setLogLevel("ERROR")
     queries, seconds = registry.load(), {}
     for name in HEADLINE:
