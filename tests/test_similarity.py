@@ -92,3 +92,26 @@ def test_similar_pairs_with_copies(spark, block_rows):
             if rows[i][1] != rows[j][1] and sims[i, j] >= 0.88:
                 want[min(first[i], first[j]), max(first[i], first[j])] += 1
     assert {k: v[1] for k, v in got.items()} == dict(want)
+
+
+@pytest.mark.parametrize("threshold", [0.88, 0.3])
+def test_vectors_without_clusters_are_not_copied_to_every_cell(spark, threshold, monkeypatch):
+    """What is shuffled for comparison grows with the blocks and not with the pivots, and all pairs are found."""
+    rng = np.random.default_rng(7)
+    vecs = rng.normal(size=(400, 16)).astype(np.float32)
+    vecs[300:] = vecs[:100] + rng.normal(size=(100, 16)).astype(np.float32) * 0.1
+    df = spark.createDataFrame([(i, f"t{i}", [float(x) for x in v]) for i, v in enumerate(vecs)], "id BIGINT, trajectory_id STRING, embedding ARRAY<FLOAT>")
+    moved = []
+    shuffled = similarity.by_key
+    monkeypatch.setattr(similarity, "by_key", lambda d, *keys: moved.append(d.count()) or shuffled(d, *keys))
+    got = {(r["id_a"], r["id_b"]) for r in similarity.similar_pairs(df, threshold, pivot_count=100, block_rows=100).collect()}
+    u = vecs.astype(np.float64) / np.linalg.norm(vecs.astype(np.float64), axis=1, keepdims=True)
+    assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= threshold, 1)))}
+    assert moved[0] <= 400 * 8  # blocks are at least half full
+
+
+def test_blocks_hold_every_cell_within_the_limit():
+    sizes = np.array([3, 250, 40, 70, 1, 99])
+    first, parts, holds = similarity._blocks(sizes, np.random.default_rng(1).random((6, 6)), 100)
+    assert parts.tolist() == [1, 3, 1, 1, 1, 1] and all(holds[first[c]:first[c] + parts[c], c].all() for c in range(6))
+    assert holds.sum() == 8 and all(holds[b] @ (sizes / parts) <= 100 for b in range(len(holds)))
