@@ -1,11 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages of all documents are TF-IDF vectors over hashed words. One distributed pass sums their second-moment matrix times a random
-matrix, from which the driver gets the leading singular vectors (fixed size); the space is fitted on a bounded sample of passages. Windows
-of every document and the benchmark items are compared by the cosine in that space, whitened so that common directions do not count, and
-only with items of which the surroundings have enough words at all, which loses nothing that the verification would accept. What comes
-close is verified by the longest common subsequence of words and by the item's answer. Texts are read twice: once to hash their words,
-once for documents with candidates.
+matrix, from which the driver gets the leading singular vectors (fixed size); the space is fitted on all passages. Windows of every
+document and the benchmark items are compared by the cosine in that space, whitened so that common directions do not count, and only with
+items of which the surroundings have enough words at all, which loses nothing that the verification would accept. What comes close is
+verified by the longest common subsequence of words and by the item's answer. Texts are read twice: once to hash their words, once for
+documents with candidates.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from loomtrace.llm.arrow import lists, map_batches
 from loomtrace.llm.links import by_ids
 from loomtrace.llm.registry import table
-from loomtrace.llm.shingles import mixed
 from loomtrace.llm.totals import total
 from loomtrace.session import durable, release
 
@@ -51,9 +50,7 @@ class Settings:
     unit: int = 4
     segment: int = 20_000
     items: int = 1_000
-    #: Passages, chosen by their hash, that the space is fitted on; document frequencies are counted over all. Bytes of text and words that
-    #: are expanded at once.
-    fit_passages: int = 200_000
+    #: Bytes of text and words that are expanded at once.
     text_bytes: int = 4_000_000
     words: int = 500_000
 
@@ -144,8 +141,8 @@ def passages(ids: np.ndarray, lengths: np.ndarray, size: int, pad: int) -> np.nd
 def fit(hashed: DataFrame, s: Settings = Settings()) -> np.ndarray:
     """``dims x rank`` table: row of a word's bucket = its weight times the whitened singular directions.
 
-    Document frequencies cover every passage of every document (``ids`` of ``hashed_words``), the sketch about ``fit_passages`` of them,
-    the same ones on every run. Without any words the table is zero.
+    Document frequencies and the sketch cover every passage of every document (``ids`` of ``hashed_words``). Without any words the table
+    is zero.
     """
     hashed, sketch = hashed.select("ids"), s.rank + s.extra
 
@@ -164,18 +161,14 @@ def fit(hashed: DataFrame, s: Settings = Settings()) -> np.ndarray:
     omega = np.random.default_rng(s.seed).standard_normal((s.dims + 1, sketch)).astype(np.float32)
     shared = hashed.sparkSession.sparkContext.broadcast((idf, np.ascontiguousarray((omega * idf[:, None]).T)))
 
-    share = min(1.0, s.fit_passages / max(int(counts[-1]), 1))
-    places = np.random.default_rng(s.seed).integers(1, 1 << 62, s.passage, dtype=np.uint64) | np.uint64(1)
-
     def moments():
         weight, random = shared.value
 
         def step(batch, out):
             y = out.reshape(sketch, s.dims)
             for rows in _passages(batch, s):
-                chosen = (mixed((rows.astype(np.uint64) * places).sum(axis=1)) >> np.uint64(11)) < np.uint64(share * 2**53)
-                for lo in range(0, int(chosen.sum()), 4000):  # bounds the temporary arrays
-                    part = rows[chosen][lo:lo + 4000]
+                for lo in range(0, len(rows), 4000):  # bounds the temporary arrays
+                    part = rows[lo:lo + 4000]
                     w = weight[part]
                     norm = np.maximum((w * w).sum(axis=1), 1e-9)
                     flat = part.ravel()

@@ -134,3 +134,10 @@ def test_odd_rows_and_columns(spark):
     bench = spark.createDataFrame([(7, text + ".", "x"), (7, text + ".", "x"), (None, text, "x"), (9, None, "x")], "item_id bigint, text string, near string")
     got = decontaminate.contaminated(docs, bench).collect()
     assert sorted((r.doc_id, r.item_id or 0) for r in got) == [(1, 0), (1, 7), (4, 0), (4, 7)]
+
+
+def test_the_space_is_fitted_on_all_passages(spark):
+    """Passages of one word each, all words equally frequent: every word has a direction of its own, and all have the same weight."""
+    hashed = spark.range(260_004).selectExpr("array(cast(id % 12 AS int)) AS ids")
+    weight = np.linalg.norm(decontaminate.fit(hashed, Settings(dims=64, rank=12, extra=4)), axis=1)
+    assert weight[0] > 0 and np.allclose(weight[:12], weight[0], rtol=1e-2) and weight[12:].max() < 1e-2 * weight[0]
