@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from loomtrace.functions.canonical import metadata_fingerprint
@@ -56,6 +56,7 @@ class TrajectoryCounters(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
+        met: set[str] = set()  # agents looked up in this batch
         s = dict(zip(_NAMES, self.value.get(), strict=True)) if self.value.exists() else {**dict.fromkeys(_COUNTS, 0), **dict.fromkeys(_FACTS), "behavior_confidence": 0.0}
         primitives = {p: n for n, p in signals.BEHAVIOUR_COUNTERS.items()}
         for conversation in batch["conversation_id"].unique():
@@ -68,7 +69,9 @@ class TrajectoryCounters(StatefulProcessor):
                 s[f"{actor}_events"] += 1
             if actor == "agent":
                 if actor_id:
-                    s["agent_count"] += self._first("a", actor_id)
+                    if actor_id not in met:
+                        met.add(actor_id)
+                        s["agent_count"] += self._first("a", actor_id)
                     s["agent_handoffs"] += s["last_agent_id"] is not None and s["last_agent_id"] != actor_id
                     s["last_agent_id"] = actor_id
                 s["has_agent"], s["agent_raw"] = True, actor_id
@@ -113,34 +116,39 @@ def trajectory_state(events: DataFrame, ttl_ms: int = KEEP_FOREVER) -> DataFrame
 
 
 class Deliveries(StatefulProcessor):
-    """The digest of the payload that an event id was accepted with, and per digest the deliveries and the first of them."""
+    """The digest of the payload that an event id was accepted with, its first delivery and the number of them; the same for each other
+    digest, entry by entry. Most ids have one payload, so a batch asks the store for one value of an id and puts one back."""
 
     def __init__(self, names: list[str], ttl_ms: int = KEEP_FOREVER):
-        self.names, self.ttl_ms = names, ttl_ms or None
+        self.digest, self.seq, self.ttl_ms = names.index("payload_hash"), names.index("ingest_seq"), ttl_ms or None
+        self.names = [*names, "first_seq", "deliveries", "status", "is_new"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.accepted = handle.getValueState("accepted", "payload_hash string", self.ttl_ms)
-        self.seen = handle.getMapState("seen", "payload_hash string", "first_seq bigint, deliveries bigint", self.ttl_ms)
+        facts = "first_seq bigint, deliveries bigint"
+        self.accepted = handle.getValueState("accepted", f"payload_hash string, {facts}", self.ttl_ms)
+        self.others = handle.getMapState("others", "payload_hash string", facts, self.ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         firsts: dict[str, list] = {}  # per digest the first row and the count: copies cost nothing
-        for part in rows:
-            for digest, group in part.groupby("payload_hash", sort=False):
-                row = group.loc[group["ingest_seq"].idxmin()]
-                old = firsts.get(digest)
-                firsts[digest] = [row if old is None or row["ingest_seq"] < old[0]["ingest_seq"] else old[0], len(group) + (old[1] if old else 0)]
-        ordered = sorted(firsts.items(), key=lambda x: (x[1][0]["ingest_seq"], x[0]))
-        known = self.accepted.get()[0] if self.accepted.exists() else None
-        out = []
-        for digest, (row, n) in ordered:
-            new = known is None
-            if new:
-                known = digest
-                self.accepted.update((digest,))
-            first, before = self.seen.getValue((digest,)) if self.seen.containsKey((digest,)) else (int(row["ingest_seq"]), 0)
-            self.seen.updateValue((digest,), (int(first), int(before) + n))
-            out.append([*(row[c] for c in self.names), int(first), int(before) + n, "accepted" if digest == known else "conflict", new])
-        yield pd.DataFrame(out, columns=[*self.names, "first_seq", "deliveries", "status", "is_new"])
+        made = Row(*self.names)
+        for row in rows:
+            old = firsts.setdefault(row[self.digest], [row, 0])
+            old[1] += 1
+            if row[self.seq] < old[0][self.seq]:
+                old[0] = row
+        held, touched = self.accepted.get(), False
+        for digest, (row, n) in sorted(firsts.items(), key=lambda x: (x[1][0][self.seq], x[0])):
+            new = held is None
+            if new or digest == held[0]:
+                first, count = (row[self.seq], n) if new else (held[1], held[2] + n)
+                held, touched, status = (digest, first, count), True, "accepted"
+            else:
+                first, before = self.others.getValue((digest,)) or (row[self.seq], 0)
+                count, status = before + n, "conflict"
+                self.others.updateValue((digest,), (first, count))
+            yield made(*row, first, count, status, new)
+        if touched:
+            self.accepted.update(held)
 
     def close(self) -> None:
         pass
@@ -152,7 +160,7 @@ def idempotent(events: DataFrame, ttl_ms: int = KEEP_FOREVER) -> DataFrame:
     ``is_new`` marks the row with which it was accepted."""
     hashed = events.withColumn("payload_hash", ingest.payload_hash())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hashed.schema.fields)
-    return hashed.groupBy("organization_id", "event_id").transformWithStateInPandas(
+    return hashed.groupBy("organization_id", "event_id").transformWithState(
         Deliveries(hashed.columns, ttl_ms), f"{schema}, first_seq bigint, deliveries bigint, status string, is_new boolean",
         outputMode="Update", timeMode="ProcessingTime" if ttl_ms else "None")
 

@@ -1,5 +1,7 @@
 import random
 
+import pandas as pd
+from pyspark.sql import Row
 from test_signals import frame, random_rows
 from test_streaming import payload
 
@@ -81,3 +83,41 @@ def test_old_state_is_dropped(spark):
     sink = stateful.LatestSink(root, "trajectory_id")
     stateful.run_all(stateful.trajectory_state(stream, ttl_ms=1), sink, root)
     assert sink.read(spark).first()["event_count"] < df.count()
+
+
+class Store:
+    """Stands for a state store and counts what is asked of it."""
+
+    def __init__(self):
+        self.calls, self.kept = 0, {}
+
+    getValueState = getMapState = lambda self, name, schema, ttl: self
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name in ("update", "updateValue"):
+                self.kept[args[0] if len(args) > 1 else None] = args[-1]
+            key = args[0] if args else None
+            return key in self.kept if name in ("exists", "containsKey") else self.kept.get(key)
+        return call
+
+
+def test_an_id_with_copies_asks_the_store_twice_a_batch():
+    store, names = Store(), ["event_id", "ingest_seq", "payload_hash"]
+    processor = stateful.Deliveries(names)
+    processor.init(store)
+    for batch, deliveries in enumerate((7, 14)):
+        rows = [Row(*names)("e", 10 * batch + k, "d") for k in (3, 1, 2, 4, 5, 6, 0)]
+        out = [r.asDict() for r in processor.handleInputRows(("o", "e"), iter(rows), None)]
+        assert out == [{"event_id": "e", "ingest_seq": 10 * batch, "payload_hash": "d", "first_seq": 0, "deliveries": deliveries, "status": "accepted", "is_new": not batch}]
+    assert store.calls == 4
+
+
+def test_an_agent_is_looked_up_once_a_batch():
+    columns = ["ts", "seq", "conversation_id", "actor_type", "actor_id", "tool_name", "status", "fp", "behaves", "primitive", "confidence"]
+    store, processor = Store(), stateful.TrajectoryCounters()
+    processor.init(store)
+    rows = pd.DataFrame([(k, k, "c", "agent", f"a{k % 2}", None, None, None, False, None, 0.0) for k in range(50)], columns=columns)
+    out = next(iter(processor.handleInputRows(("t",), iter([rows]), None)))
+    assert out["agent_count"][0] == 2 and out["agent_handoffs"][0] == 49 and store.calls <= 3 + 2 * 3
