@@ -91,7 +91,7 @@ class Store:
     def __init__(self):
         self.calls, self.kept = 0, {}
 
-    getValueState = getMapState = lambda self, name, schema, ttl: self
+    getValueState = getMapState = lambda self, name, *schemas: self
 
     def __getattr__(self, name):
         def call(*args):
