@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loomtrace.session import with_small
+
 
 def order_statistics(df: DataFrame, value: str, low: float | None = None, high: float | None = None, cells: int = 1024, error: float = 1e-4) -> DataFrame:
     """Minimum, upper median (element n // 2 of the sorted values) and maximum; nulls and NaN are left out. ``low`` and ``high`` say where
@@ -180,7 +182,7 @@ def text_baseline(train: DataFrame, test: DataFrame, text: str, label: str, feat
     n = train.groupBy(label).agg(F.count("*").alias("_n"))
     total = train.agg(F.count("*").alias("_t"), F.count_distinct(label).alias("_k"))
     weights = n.join(F.broadcast(total)).select(label, (F.col("_t") / (F.col("_k") * F.col("_n"))).alias("_w"))  # one row per class
-    weighted = train.join(weights, label).withColumn("label", F.col(label).cast("double"))
+    weighted = with_small(train, weights, label, "inner").withColumn("label", F.col(label).cast("double"))
     pipeline = Pipeline(stages=[
         RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False),
         HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=features), IDF(inputCol="_tf", outputCol="_x"),
