@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Window, functions as F
 
@@ -13,8 +15,9 @@ from loomtrace.sources import drivers
 SECTION = Section()
 
 
-def _words(texts: pd.Series) -> list[set[str]]:
-    return [set(t.split(" ")) for t in texts]
+def _words(texts: pd.Series) -> Iterator[set[str]]:
+    """The words of one text after the other; the sets of a whole batch would take many times its size."""
+    return (set(t.split(" ")) for t in texts)
 
 
 def echo_model(previous: pd.Series, current: pd.Series) -> pd.DataFrame:
