@@ -9,7 +9,7 @@ from loomtrace.operators.evaluate import histogram, score_band
 from loomtrace.operators.gates import hybrid_gate
 from loomtrace.plans.oracle import BASE, words
 from loomtrace.plans.registry import Section
-from loomtrace.session import new_folder
+from loomtrace.session import durable, new_folder
 from loomtrace.sources import drivers
 from loomtrace.sources.tables import Snapshots
 
@@ -71,7 +71,7 @@ def _shown(states):
 @SECTION.add("i1_snapshot_and_later_log", SECTION["i1_work_states"].oracle)
 def _(spark, sf):
     """Three parts of the log: each is merged into the stored summary of what came before, of which only the snapshot is read."""
-    rows, store = assigned(spark, sf), Snapshots(spark, new_folder(spark))
+    rows, store = durable(assigned(spark, sf)), Snapshots(spark, new_folder(spark))
     borders = rows.stat.approxQuantile("arrival", [1 / 3, 2 / 3], 0.001)
     for low, high in zip([None, *borders], [*borders, None]):
         part = rows.filter((F.lit(True) if low is None else F.col("arrival") > low) & (F.lit(True) if high is None else F.col("arrival") <= high))
