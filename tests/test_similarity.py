@@ -63,6 +63,20 @@ def test_joined_documents_equal_concatenation(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("documents", [1, 500])
+def test_terms_are_made_in_all_tasks(spark, documents, monkeypatch):
+    """Token lists of few bytes are not merged into one task before they are made into terms, whether they are one document's or many."""
+    n, dealt = int(spark.conf.get("spark.sql.shuffle.partitions")), []
+    deal = similarity.by_key
+    monkeypatch.setattr(similarity, "by_key", lambda d, *keys: dealt.append(deal(d, *keys)) or dealt[-1])
+    rows = [(i % documents, i, f"w{i} v{i % 7}") for i in range(1000)] + [(0, None, "zebra text")] * 5
+    df = spark.createDataFrame(rows, "doc INT, pos INT, text STRING")
+    got = Counter({(r["doc"], r["term"]): r["tf"] for r in similarity.joined_term_counts(df, ["doc"], "pos", F.floor(F.col("pos") / 100)).collect()})
+    assert got[0, "zebra"] == 5 and sum(v for (_, term), v in got.items() if " " not in term) == 2010
+    sizes = [r["count"] for r in dealt[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert len(dealt) == 1 and sum(sizes) == 1005 and len(sizes) == n and max(sizes) < 2 * 1005 / n
+
+
 def test_pair_tfidf(spark):
     pairs = [(0, "red green blue", "red blue green"), (1, "a", "b"), (2, "red", "red"), (3, "", "red")]
     got = {r["k"]: r["score"] for r in similarity.pair_tfidf(spark.createDataFrame(pairs, "k INT, l STRING, r STRING"), "k", "l", "r", []).collect()}
