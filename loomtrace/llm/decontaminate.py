@@ -138,6 +138,37 @@ def passages(ids: np.ndarray, lengths: np.ndarray, size: int, pad: int) -> np.nd
     return out
 
 
+def add_moments(rows: np.ndarray, weight: np.ndarray, random: np.ndarray, y: np.ndarray, often: int = 16) -> None:
+    """Add to ``y`` (``dims x sketch``) the second moments of passages times a random matrix.
+
+    ``random`` has the weighted random row of each word; the last word is the filling, of weight 0. Words that occur more than ``often``
+    times in these passages are added up by a matrix product, the others occurrence by occurrence.
+    """
+    dims = len(y)
+    w = weight[rows]
+    each = np.take(random, rows[:, 0], axis=0, mode="clip")
+    for k in range(1, rows.shape[1]):
+        each += np.take(random, rows[:, k], axis=0, mode="clip")
+    each /= np.maximum((w * w).sum(axis=1), 1e-9)[:, None]
+    flat = rows.ravel()
+    times = np.bincount(flat, minlength=dims + 1)
+    times[dims] = 0
+    common = np.flatnonzero(times > often)
+    width = len(common) + 1
+    column = np.full(dims + 1, len(common))
+    column[common] = np.arange(len(common))
+    counts = np.bincount((np.arange(len(rows))[:, None] * width + column[rows]).ravel(), minlength=len(rows) * width)
+    y[common] += (counts.reshape(len(rows), width)[:, :-1].astype(np.float32).T @ each) * weight[common, None]
+    rest = np.flatnonzero((times[flat] <= often) & (flat < dims))
+    rest = rest[np.argsort(flat[rest], kind="stable")]
+    word, passage = flat[rest], rest // rows.shape[1]
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    nth = np.arange(len(word)) - np.repeat(first, np.diff(np.append(first, len(word))))
+    for n in range(int(nth.max(initial=-1)) + 1):
+        now = np.flatnonzero(nth == n)  # each word once
+        y[word[now]] += np.take(each, passage[now], axis=0, mode="clip") * weight[word[now], None]
+
+
 def fit(hashed: DataFrame, s: Settings = Settings()) -> np.ndarray:
     """``dims x rank`` table: row of a word's bucket = its weight times the whitened singular directions.
 
@@ -159,25 +190,19 @@ def fit(hashed: DataFrame, s: Settings = Settings()) -> np.ndarray:
     counts = total(hashed, s.dims + 1, np.int64, frequencies)
     idf = np.append(np.log((counts[-1] + 1) / (counts[:-1] + 1)), 0).astype(np.float32)  # the last is the filling
     omega = np.random.default_rng(s.seed).standard_normal((s.dims + 1, sketch)).astype(np.float32)
-    shared = hashed.sparkSession.sparkContext.broadcast((idf, np.ascontiguousarray((omega * idf[:, None]).T)))
+    shared = hashed.sparkSession.sparkContext.broadcast((idf, omega * idf[:, None]))
 
     def moments():
         weight, random = shared.value
 
         def step(batch, out):
-            y = out.reshape(sketch, s.dims)
+            y = out.reshape(s.dims, sketch)
             for rows in _passages(batch, s):
-                for lo in range(0, len(rows), 4000):  # bounds the temporary arrays
-                    part = rows[lo:lo + 4000]
-                    w = weight[part]
-                    norm = np.maximum((w * w).sum(axis=1), 1e-9)
-                    flat = part.ravel()
-                    for k in range(sketch):
-                        each = random[k][part].sum(axis=1) / norm
-                        y[k] += np.bincount(flat, weights=(each[:, None] * w).ravel(), minlength=s.dims + 1)[:s.dims]
+                for lo in range(0, len(rows), 2000):  # bounds the temporary arrays
+                    add_moments(rows[lo:lo + 2000], weight, random, y)
         return step
 
-    y = total(hashed, sketch * s.dims, np.float32, moments, blocks=128).astype(np.float64).reshape(sketch, s.dims).T
+    y = total(hashed, s.dims * sketch, np.float32, moments, blocks=128).astype(np.float64).reshape(s.dims, sketch)
     shared.destroy()
     if not y.any():
         return np.zeros((s.dims, s.rank), dtype=np.float32)

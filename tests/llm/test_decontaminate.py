@@ -141,3 +141,20 @@ def test_the_space_is_fitted_on_all_passages(spark):
     hashed = spark.range(260_004).selectExpr("array(cast(id % 12 AS int)) AS ids")
     weight = np.linalg.norm(decontaminate.fit(hashed, Settings(dims=64, rank=12, extra=4)), axis=1)
     assert weight[0] > 0 and np.allclose(weight[:12], weight[0], rtol=1e-2) and weight[12:].max() < 1e-2 * weight[0]
+
+
+def test_moments_of_common_rare_and_filling_words():
+    """Sums as by a dense matrix of passages, whether a word occurs once, often in one passage, or in most of them."""
+    rng = np.random.default_rng(4)
+    rows = (60 * rng.random((70, 12)) ** 3).astype(np.int32)
+    rows[::3, 5:] = 60  # filled up
+    rows[7], rows[8] = 59, 60
+    weight, omega = np.append(rng.random(60), 0).astype(np.float32), rng.standard_normal((61, 5)).astype(np.float32)
+    dense = np.zeros((70, 61))
+    np.add.at(dense, (np.arange(70)[:, None], rows), weight[rows])
+    norm = np.maximum((weight[rows] ** 2).sum(axis=1), 1e-9)[:, None]
+    want = (dense.T @ (dense @ omega / norm))[:60]
+    for often in (0, 3, 16, 1000):
+        y = np.ones((60, 5), dtype=np.float32)
+        decontaminate.add_moments(rows, weight, omega * weight[:, None], y, often)
+        assert np.allclose(y - 1, want, rtol=1e-3, atol=1e-4)
