@@ -274,7 +274,8 @@ class Listed(NamedTuple):
 
 class Postings(NamedTuple):
     """Buckets of the items and of their answers; per item the words that a paraphrase, a copy and an answer need; and how often an item has
-    a bucket, by column of the buckets that any item has."""
+    a bucket, by column of the buckets that any item or answer has. The first columns are of buckets that many items have; ``often`` is how
+    often items have those, and ``bucket`` the bucket of each column."""
 
     words: Listed
     answers: Listed
@@ -282,7 +283,9 @@ class Postings(NamedTuple):
     copied: np.ndarray
     answered: np.ndarray
     column: np.ndarray
+    bucket: np.ndarray
     known: np.ndarray
+    often: np.ndarray
     reach: int
 
 
@@ -295,18 +298,24 @@ def listed(texts: list[list[bytes]], buckets: Buckets) -> Listed:
     return Listed(np.searchsorted(at[order], np.arange(buckets.dims + 2)), of[order], times[order])
 
 
-def postings(items: list[Item], s: Settings) -> Postings:
+def postings(items: list[Item], s: Settings, share: int = 100) -> Postings:
+    """A bucket that more than one of ``share`` items have counts as one of many items."""
     buckets = Buckets(s.dims)
     words, answers = listed([i.words for i in items], buckets), listed([i.answer for i in items], buckets)
     at = np.repeat(np.arange(s.dims + 1), np.diff(words.starts))
+    n_items = np.diff(words.starts)
+    used = np.flatnonzero((n_items > 0) | (np.diff(answers.starts) > 0))
+    bucket = np.append(s.dims, used[np.argsort(-n_items[used], kind="stable")])  # column 0 is for all that no item has
     column = np.zeros(s.dims + 1, dtype=np.int32)
-    used = np.unique(at)
-    column[used] = np.arange(1, len(used) + 1)  # column 0 is for all that no item has
-    known = np.zeros((len(items), len(used) + 1), dtype=np.uint8)
+    column[bucket[1:]] = np.arange(1, len(bucket))
+    times = np.zeros((int((n_items * share > len(items)).sum()) + 1, len(items)), dtype=np.float32)
+    many = column[at] < len(times)
+    times[column[at][many], words.items[many]] = words.times[many]
+    known = np.zeros((len(items), len(bucket)), dtype=np.uint8)
     known[words.items, column[at]] = np.minimum(words.times, 255)
     n = np.array([len(i.words) for i in items])
-    return Postings(words, answers, s.paraphrase * n, s.verbatim * n, s.answer * np.array([len(i.answer) for i in items]), column, known,
-                    2 * max(length_classes(items), default=1) + 4 * s.unit)
+    return Postings(words, answers, s.paraphrase * n, s.verbatim * n, s.answer * np.array([len(i.answer) for i in items]), column, bucket,
+                    known, times, 2 * max(length_classes(items), default=1) + 4 * s.unit)
 
 
 def covered(block: np.ndarray, word: np.ndarray, n_blocks: int, n_items: int, p: Listed) -> np.ndarray:
@@ -316,25 +325,37 @@ def covered(block: np.ndarray, word: np.ndarray, n_blocks: int, n_items: int, p:
     return np.bincount(np.repeat(block, n) * n_items + p.items[at], weights=p.times[at], minlength=n_blocks * n_items).reshape(n_blocks, n_items)
 
 
-def possible(ids: np.ndarray, lengths: np.ndarray, p: Postings) -> tuple[np.ndarray, np.ndarray]:
+def possible(ids: np.ndarray, lengths: np.ndarray, p: Postings, cells: int = 8_000_000) -> tuple[np.ndarray, np.ndarray]:
     """For every two neighbouring blocks of ``reach`` words, whether they have as many of an item's words as the verification needs, in any
     order: enough for a copy, or enough for a paraphrase and its answer. And the number of each segment's first block. A stretch of up to
-    ``reach`` words lies in the two blocks from the one it begins in."""
+    ``reach`` words lies in the two blocks from the one it begins in. Blocks are taken so many at once that a table of them and of all
+    words of items has about ``cells`` cells.
+    """
     per = -(-lengths // p.reach)
     base = np.cumsum(per) - per
-    of = np.repeat(np.arange(len(lengths)), lengths)
-    place = (np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)) // p.reach
-    has = p.words.starts[ids + 1] > p.words.starts[ids]  # an answer need not be part of its item
-    has |= p.answers.starts[ids + 1] > p.answers.starts[ids]
-    words, first, place = ids[has].astype(np.int64), base[of[has]], place[has]
-    dims = len(p.words.starts)
-    pairs = np.unique(np.concatenate([(first + place) * dims + words, ((first + place - 1) * dims + words)[place > 0]]))
-    block, word = pairs // dims, pairs % dims
-    shape = int(per.sum()), len(p.needed)
-    found = covered(block, word, *shape, p.words)
-    could, some = found >= p.copied, found >= p.needed
-    ask = (some & ~could).any(axis=1)[block]  # answers matter in these blocks only
-    return could | some & (covered(block[ask], word[ask], *shape, p.answers) >= p.answered), base
+    block = np.repeat(base, lengths) + (np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)) // p.reach
+    column = p.column[ids]
+    block, column = block[column > 0], column[column > 0]
+    n_blocks, n_items, many = int(per.sum()), len(p.needed), len(p.often)
+    last = np.zeros(n_blocks, dtype=bool)
+    last[(base + per - 1)[per > 0]] = True
+    could = np.zeros((n_blocks, n_items), dtype=bool)
+    step = max(1, cells // len(p.bucket))
+    for lo in range(0, n_blocks, step):
+        hi = min(lo + step, n_blocks)
+        x, y = np.searchsorted(block, (lo, hi + 1))
+        has = np.zeros((hi - lo + 1, len(p.bucket)), dtype=bool)
+        has[block[x:y] - lo, column[x:y]] = True
+        has = has[:-1] | has[1:] & ~last[lo:hi, None]
+        at, few = np.divmod(np.flatnonzero(has[:, many:]), max(1, len(p.bucket) - many))
+        found = has[:, :many].astype(np.float32) @ p.often + covered(at, p.bucket[many + few], hi - lo, n_items, p.words)
+        copy, some = found >= p.copied, found >= p.needed
+        ask = np.flatnonzero((some & ~copy).any(axis=1))  # answers matter in these blocks only
+        at, word = np.divmod(np.flatnonzero(has[ask]), len(p.bucket))
+        answered = np.zeros(found.shape, dtype=bool)
+        answered[ask] = covered(at, p.bucket[word], len(ask), n_items, p.answers) >= p.answered
+        could[lo:hi] = copy | some & answered
+    return could, base
 
 
 def candidates_in(ids: np.ndarray, lengths: np.ndarray, directions: np.ndarray, classes: dict, p: Postings, s: Settings):

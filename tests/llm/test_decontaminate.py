@@ -127,6 +127,31 @@ def test_the_gate_loses_nothing():
     assert passed > 100 and could.mean() < 0.9
 
 
+def test_the_gate_counts_words_in_tables_of_bounded_size():
+    """Words that many items have, words that few have and words of answers alone; tables of one block, of a few and of all blocks."""
+    rng = random.Random(23)
+    s = Settings()
+    words = lambda n: [*prose(rng, n, 40), *(f"rare{rng.randrange(300)}" for _ in range(n // 3))]
+    made = decontaminate.prepared([{"item_id": i, "text": " ".join(words(rng.randrange(3, 25))), "answer": " ".join(words(6)) if i % 2 else None} for i in range(60)],
+                                  np.zeros((s.dims, s.rank), dtype=np.float32), s)
+    buckets, lengths = decontaminate.Buckets(s.dims), np.array([0, 7, 900, 0, 1, 400, 60, 0])
+    ids = buckets.of([w.encode() for w in words(1100)[:int(lengths.sum())]])
+    for share in (1, 8, 100):
+        p = decontaminate.postings(made, s, share)
+        per, begins = -(-lengths // p.reach), np.cumsum(lengths) - lengths
+        want = []
+        for d, n in enumerate(lengths):
+            for k in range(per[d]):
+                here = set(ids[begins[d] + k * p.reach:begins[d] + min(n, (k + 2) * p.reach)].tolist())
+                count = lambda text: sum(b in here for b in buckets.of(text).tolist())  # noqa: E731,B023
+                want.append([count(i.words) >= s.verbatim * len(i.words) or count(i.words) >= s.paraphrase * len(i.words) and count(i.answer) >= s.answer * len(i.answer)
+                             for i in made])
+        for cells in (1, 3 * len(p.bucket), 8_000_000):
+            could, base = decontaminate.possible(ids, lengths, p, cells)
+            assert could.tolist() == want and base.tolist() == (np.cumsum(per) - per).tolist()
+    assert 0.02 < np.mean(want) < 0.98 and len(p.often) < len(p.bucket)
+
+
 def test_odd_rows_and_columns(spark):
     text = " ".join(f"q{k}" for k in range(30))
     rows = [(1, text, "x", "y"), (1, text, "x", "y"), (None, text, "x", "y"), (2, None, "x", "y"), (3, "", "x", "y"), (4, "q1 " * 50_000 + text, "x", "y")]
