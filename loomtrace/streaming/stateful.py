@@ -1,7 +1,8 @@
 """Streams that keep their state by key in the state store: nothing of earlier batches is read again.
 
 ``trajectory_state`` holds one value of fixed size for each trajectory, ``idempotent`` the payload digest of each event id. Both take the
-rows of a key in order within a batch; a batch is as large as the source's trigger makes it.
+rows of a key in order within a batch; a batch is as large as the source's trigger makes it. Keys are dealt to cells (``pages``), as a call to
+the store for each key costs far more than the key's work.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from loomtrace.functions.canonical import metadata_fingerprint
 from loomtrace.operators import ingest, signals
-from loomtrace.session import new_folder
+from loomtrace.session import durable, new_folder, release
+from loomtrace.streaming.pages import Pages, cell
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Milliseconds after the last update at which the state of a key is dropped; 0 keeps it.
@@ -28,6 +31,8 @@ _FACTS = {"last_agent_id": "string", "has_agent": "boolean", "agent_raw": "strin
           "behavior_confidence": "double"}
 _VALUE = ", ".join([*(f"{c} bigint" for c in _COUNTS), *(f"{c} {t}" for c, t in _FACTS.items())])
 _NAMES = [*_COUNTS, *_FACTS]
+_PRIMITIVES = {p: n for n, p in signals.BEHAVIOUR_COUNTERS.items()}
+_EVENT = ("conversation_id", "actor_type", "actor_id", "tool_name", "status", "fp", "behaves", "primitive", "confidence")
 #: Columns of a state row, as ``signals.state`` gives them.
 STATE = ("trajectory_id string, " + ", ".join(f"{c} bigint" for c in _COUNTS) + ", unresolved boolean, recovered boolean, last_agent_id string, "
          "last_tool_name string, last_behavior string, behavior_confidence double")
@@ -38,6 +43,16 @@ def _none(value):
     return None if value is None or value != value else value
 
 
+def in_order(rows: Iterator[pd.DataFrame], *more: str) -> list[tuple]:
+    """The columns ``more`` and ``_EVENT`` of a batch's rows by time."""
+    batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
+    return list(zip(*([_none(x) for x in batch[c].tolist()] for c in (*more, *_EVENT)), strict=True))
+
+
+def _frame(states: list[dict]) -> pd.DataFrame:
+    return pd.DataFrame(states).astype({c: "object" for c in ("trajectory_id", "last_agent_id", "last_tool_name", "last_behavior")})
+
+
 class TrajectoryCounters(StatefulProcessor):
     """Counters and last facts of a trajectory; which conversations and agents it has met is kept entry by entry in the store."""
 
@@ -55,22 +70,24 @@ class TrajectoryCounters(StatefulProcessor):
         return 1
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
-        met: set[str] = set()  # agents looked up in this batch
-        s = dict(zip(_NAMES, self.value.get(), strict=True)) if self.value.exists() else {**dict.fromkeys(_COUNTS, 0), **dict.fromkeys(_FACTS), "behavior_confidence": 0.0}
-        primitives = {p: n for n, p in signals.BEHAVIOUR_COUNTERS.items()}
-        for conversation in batch["conversation_id"].unique():
-            s["conversation_count"] += self._first("c", _none(conversation))
-        for actor, actor_id, tool, status, fp, behaves, primitive, confidence in zip(
-                *(batch[c] for c in ("actor_type", "actor_id", "tool_name", "status", "fp", "behaves", "primitive", "confidence")), strict=True):
-            actor, actor_id, tool, status = _none(actor), _none(actor_id), _none(tool), _none(status)
+        yield _frame([self._after(key[0], in_order(rows))])
+
+    def _after(self, trajectory: str | None, events: list[tuple]) -> dict:
+        """The state row after ``events`` (``_EVENT``), which follow each other in time."""
+        met: set[tuple] = set()  # conversations and agents looked up in this batch
+        held = self.value.get()
+        s = dict(zip(_NAMES, held, strict=True)) if held is not None else {**dict.fromkeys(_COUNTS, 0), **dict.fromkeys(_FACTS), "behavior_confidence": 0.0}
+        for conversation, actor, actor_id, tool, status, fp, behaves, primitive, confidence in events:
+            if ("c", conversation) not in met:
+                met.add(("c", conversation))
+                s["conversation_count"] += self._first("c", conversation)
             s["event_count"] += 1
             if actor in ("human", "agent", "tool"):
                 s[f"{actor}_events"] += 1
             if actor == "agent":
                 if actor_id:
-                    if actor_id not in met:
-                        met.add(actor_id)
+                    if ("a", actor_id) not in met:
+                        met.add(("a", actor_id))
                         s["agent_count"] += self._first("a", actor_id)
                     s["agent_handoffs"] += s["last_agent_id"] is not None and s["last_agent_id"] != actor_id
                     s["last_agent_id"] = actor_id
@@ -91,19 +108,38 @@ class TrajectoryCounters(StatefulProcessor):
                 if status in ("failed", "success"):
                     s["last_outcome"] = status
             if behaves:
-                s["last_behavior"], s["behavior_confidence"] = _none(primitive), float(confidence)
-            if _none(primitive) in primitives and behaves:
-                s[primitives[primitive]] += 1
+                s["last_behavior"], s["behavior_confidence"] = primitive, float(confidence)
+                if primitive in _PRIMITIVES:
+                    s[_PRIMITIVES[primitive]] += 1
         self.value.update(tuple(int(s[c]) for c in _COUNTS) + tuple(s[c] for c in _FACTS))
-        out = {"trajectory_id": key[0], **{c: int(s[c]) for c in _COUNTS}, "unresolved": s["last_outcome"] == "failed",
-               "recovered": s["last_outcome"] == "success" and s["tool_failures"] > 0, "last_agent_id": s["last_agent_id"],
-               "last_tool_name": s["last_tool_name"], "last_behavior": s["last_behavior"], "behavior_confidence": s["behavior_confidence"]}
-        yield pd.DataFrame([out]).astype({c: "object" for c in ("last_agent_id", "last_tool_name", "last_behavior")})
+        return {"trajectory_id": trajectory, **{c: int(s[c]) for c in _COUNTS}, "unresolved": s["last_outcome"] == "failed",
+                "recovered": s["last_outcome"] == "success" and s["tool_failures"] > 0, "last_agent_id": s["last_agent_id"],
+                "last_tool_name": s["last_tool_name"], "last_behavior": s["last_behavior"], "behavior_confidence": s["behavior_confidence"]}
 
     def close(self) -> None:
         pass
 
 
+class CellsOfTrajectories(TrajectoryCounters):
+    """``TrajectoryCounters`` for all trajectories of a cell, their state in its pages."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.pages = Pages(handle, self.ttl_ms)
+        super().init(self.pages)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        by: dict[str | None, list[tuple]] = {}
+        for trajectory, *event in in_order(rows, "trajectory_id"):
+            by.setdefault(trajectory, []).append(event)
+        self.pages.open(timerValues)
+        out = []
+        for trajectory, events in by.items():
+            self.pages.key = (trajectory,)
+            out.append(self._after(trajectory, events))
+        self.pages.close()
+        yield _frame(out)
+
+
 def trajectory_state(events: DataFrame, ttl_ms: int = KEEP_FOREVER) -> DataFrame:
     """A stream of state rows (``signals.state``) for a stream of trace events whose batches follow each other in time: in each batch one
     row for every trajectory that it touches. ``ttl_ms`` drops trajectories that have been silent so long."""
@@ -111,8 +147,8 @@ def trajectory_state(events: DataFrame, ttl_ms: int = KEEP_FOREVER) -> DataFrame
     slim = events.select("trajectory_id", "ts", "seq", "conversation_id", "actor_type", "actor_id", "tool_name", "status",
                          metadata_fingerprint(F.col("metadata_json")).alias("fp"), behaviour.isNotNull().alias("behaves"),
                          behaviour["primitive"].alias("primitive"), F.coalesce(behaviour["confidence"], F.lit(0.0)).alias("confidence"))
-    return slim.groupBy("trajectory_id").transformWithStateInPandas(
-        TrajectoryCounters(ttl_ms), STATE, outputMode="Update", timeMode="ProcessingTime" if ttl_ms else "None")
+    return slim.withColumn("cell", cell("trajectory_id")).groupBy("cell").transformWithStateInPandas(
+        CellsOfTrajectories(ttl_ms), STATE, outputMode="Update", timeMode="ProcessingTime" if ttl_ms else "None")
 
 
 class Deliveries(StatefulProcessor):
@@ -129,13 +165,19 @@ class Deliveries(StatefulProcessor):
         self.others = handle.getMapState("others", "payload_hash string", facts, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        firsts: dict[str, list] = {}  # per digest the first row and the count: copies cost nothing
-        made = Row(*self.names)
+        firsts: dict[str, list] = {}
         for row in rows:
-            old = firsts.setdefault(row[self.digest], [row, 0])
-            old[1] += 1
-            if row[self.seq] < old[0][self.seq]:
-                old[0] = row
+            self._note(firsts, row)
+        yield from (Row(*self.names)(*out) for out in self._settled(firsts))
+
+    def _note(self, firsts: dict[str, list], row: tuple) -> None:
+        """Per digest the first row and the count: copies cost nothing."""
+        old = firsts.setdefault(row[self.digest], [row, 0])
+        old[1] += 1
+        if row[self.seq] < old[0][self.seq]:
+            old[0] = row
+
+    def _settled(self, firsts: dict[str, list]) -> Iterator[tuple]:
         held, touched = self.accepted.get(), False
         for digest, (row, n) in sorted(firsts.items(), key=lambda x: (x[1][0][self.seq], x[0])):
             new = held is None
@@ -146,7 +188,7 @@ class Deliveries(StatefulProcessor):
                 first, before = self.others.getValue((digest,)) or (row[self.seq], 0)
                 count, status = before + n, "conflict"
                 self.others.updateValue((digest,), (first, count))
-            yield made(*row, first, count, status, new)
+            yield (*row, first, count, status, new)
         if touched:
             self.accepted.update(held)
 
@@ -154,15 +196,51 @@ class Deliveries(StatefulProcessor):
         pass
 
 
+class CellsOfDeliveries(Deliveries):
+    """``Deliveries`` for all event ids of a cell, their state in its pages. Rows come and go as strings; the sequence number is a string too."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.pages = Pages(handle, self.ttl_ms)
+        super().init(self.pages)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names = self.names[:-4]
+        by: dict[tuple, dict[str, list]] = {}
+        for batch in rows:
+            columns = [[_none(x) for x in batch.iloc[:, i - len(names)].tolist()] for i in range(len(names))]  # tuples of rows rename some columns
+            columns[self.seq] = [x if x is None else int(x) for x in columns[self.seq]]
+            for org, event, row in zip(columns[names.index("organization_id")], columns[names.index("event_id")], zip(*columns, strict=True), strict=True):
+                self._note(by.setdefault((org, event), {}), row)
+        self.pages.open(timerValues)
+        out = []
+        for self.pages.key, firsts in by.items():
+            out += self._settled(firsts)
+        self.pages.close()
+        yield pd.DataFrame(out, columns=self.names, dtype=object)
+
+
+#: Makes JSON that reads back as it was.
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def idempotent(events: DataFrame, ttl_ms: int = KEEP_FOREVER) -> DataFrame:
     """A stream of canonical events with ``payload_hash``, ``first_seq, deliveries, status`` so far and ``is_new``: one row per event id and
     payload that a batch delivers. The first delivery of an id wins, and of deliveries with one sequence number the smaller digest;
     ``is_new`` marks the row with which it was accepted."""
     hashed = events.withColumn("payload_hash", ingest.payload_hash())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hashed.schema.fields)
-    return hashed.groupBy("organization_id", "event_id").transformWithState(
-        Deliveries(hashed.columns, ttl_ms), f"{schema}, first_seq bigint, deliveries bigint, status string, is_new boolean",
+    texts = [f.name for f in hashed.schema.fields if f.dataType.typeName() == "string"]
+    rest = [f.name for f in hashed.schema.fields if f.name not in (*texts, "ingest_seq")]
+    packed = hashed.select(cell("organization_id", "event_id").alias("cell"), *texts, F.col("ingest_seq").cast("string"),
+                           F.to_json(F.struct(*rest), _EXACT).alias("other_columns") if rest else F.lit(None).cast("string").alias("other_columns"))
+    schema = ", ".join(f"`{c}` string" for c in [*texts, "other_columns"]) + ", ingest_seq bigint"
+    names = [c for c in packed.columns if c != "cell"]
+    out = packed.groupBy("cell").transformWithStateInPandas(
+        CellsOfDeliveries(names, ttl_ms), f"{schema}, first_seq bigint, deliveries bigint, status string, is_new boolean",
         outputMode="Update", timeMode="ProcessingTime" if ttl_ms else "None")
+    of = StructType([f for f in hashed.schema.fields if f.name in rest])
+    read = F.from_json("other_columns", of, _EXACT)
+    return out.withColumn("other_columns", read).select(*(F.col("other_columns")[c].alias(c) if c in rest else F.col(c).cast(hashed.schema[c].dataType).alias(c) for c in hashed.columns),
+                                                "first_seq", "deliveries", "status", "is_new")
 
 
 class LateSink:
@@ -233,11 +311,13 @@ def replay(rows: DataFrame, order: str, key: list[str], batches: int, root: str)
 
     The borders are quantiles, so batches are about equally large; what ties at a border stays together.
     """
-    borders = rows.stat.approxQuantile(order, [i / batches for i in range(1, batches)], 0.001)
+    held = durable(rows)  # each part below reads it again
+    borders = held.stat.approxQuantile(order, [i / batches for i in range(1, batches)], 0.001)
     edges = [None, *sorted(set(borders)), None]
     for low, high in zip(edges, edges[1:]):
-        part = rows.filter((F.lit(True) if low is None else F.col(order) > low) & (F.lit(True) if high is None else F.col(order) <= high))
+        part = held.filter((F.lit(True) if low is None else F.col(order) > low) & (F.lit(True) if high is None else F.col(order) <= high))
         part.repartition(*key).write.mode("append").parquet(root)
+    release(held)
 
 
 def run_all(stream: DataFrame, sink, root: str) -> None:
