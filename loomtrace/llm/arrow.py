@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+def give_back() -> None:
+    """Return to the system what Arrow and the C library keep of freed memory: Python workers are used again, so it would add to what the next
+    step needs."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_rows(df: DataFrame, carry: list[str], schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """``mapInArrow`` for a function that gives new columns, one value per row, from a batch.
 
@@ -25,6 +34,9 @@ def map_rows(df: DataFrame, carry: list[str], schema: str, make: Callable[[], Ca
                 columns = step(batch)
                 made = [columns[n] if isinstance(columns[n], pa.Array) else pa.array(columns[n], type=t) for n, t in fields]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *made], names=[*carry, *(n for n, _ in fields)])
+                del batch, columns, made
+        del step
+        give_back()
 
     return df.mapInArrow(run, T.StructType([df.schema[c] for c in carry] + new.fields))
 
@@ -38,6 +50,8 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[Iterato
         for columns in make()(batches):
             made = [columns[n] if isinstance(columns[n], pa.Array) else pa.array(columns[n], type=t) for n, t in fields]
             yield pa.RecordBatch.from_arrays(made, names=[n for n, _ in fields])
+            del columns, made
+        give_back()
 
     return df.mapInArrow(run, target)
 
